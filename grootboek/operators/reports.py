@@ -18,7 +18,7 @@ from grootboek.vocabulary import (
     EXPENSE,
     INCOME,
     INTERNAL,
-    LISTF.col("flow_kind")S,
+    LIST_KINDS,
     REFUND,
     SAVING,
     SETTLEMENT,
@@ -286,7 +286,7 @@ def transactions(
     A transfer leg is matched before the limit applies. Category filters serve spending lists; an income list takes
     the subcategory only.
     """
-    picked = rows.where(F.col("flow_kind").isin(*LISTF.col("flow_kind")S.get(kind, ("",))))
+    picked = rows.where(F.col("flow_kind").isin(*LIST_KINDS.get(kind, ("",))))
     if kind in ("spend", "refund"):
         picked = picked.where(chosen(category, subcategory))
     elif kind == "income":
