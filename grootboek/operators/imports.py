@@ -247,7 +247,7 @@ def nearest_charge(rows: DataFrame, group: list[str], order: str, v: Vocabulary
         *amount,
         "day",
         best["gap"].alias("gap"),
-        F.col("same_amount").isNotNull().alias("same_amount"),
+        F.when(best.isNotNull(), F.col("same_amount").isNotNull()).alias("same_amount"),
         best["category"].alias("charge_category"),
         best["subcategory"].alias("charge_subcategory"),
         F.col("in_doubt") & best.isNotNull(),
