@@ -74,10 +74,9 @@ def normalize(c: Column, limit: int = INDEX_LIMIT) -> Column:
     return _key_of_clean(strip_iban(c), limit)
 
 
-def corpus_key(c: Column) -> Column:
-    """``normalize(index_text(c))``; masking runs a second time only where the text was cut."""
-    text = index_text(c)
-    again = F.when(F.length(text) >= INDEX_LIMIT, strip_iban(text)).otherwise(text)
+def key_of_index_text(c: Column) -> Column:
+    """``normalize`` of a text that ``index_text`` made; masking runs a second time only where that cut the text."""
+    again = F.when(F.length(c) >= INDEX_LIMIT, strip_iban(c)).otherwise(c)
     return _key_of_clean(again, INDEX_LIMIT)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grootboek.checkpoints import checkpointed
 from grootboek.functions.ids import score_as_similarity, valid_source, valid_tx_id
 from grootboek.functions.text import LABEL_LIMIT, strip, strip_iban, text_or_empty
 from grootboek.operators.classify import is_structural_pair
@@ -44,7 +45,8 @@ def judge(items: DataFrame, ledger: DataFrame, pairs: DataFrame, v: Vocabulary =
     ``similarity``. A pair must be in use or allowed, or be introduced by a new subcategory; once an accepted item has
     introduced it, items with a later ``seq`` may use it.
     """
-    wanted = _wanted(items)
+    # Read three times below, and usually the end of a long plan.
+    wanted = checkpointed(_wanted(items))
     found = wanted.join(ledger.select(*_ROW, "flow_kind"), _ROW, "left")
     empty = (F.col("category") == "") | (F.col("subcategory") == "")
     structural = is_structural_pair(F.col("category"), F.col("subcategory"), v)
@@ -56,7 +58,7 @@ def judge(items: DataFrame, ledger: DataFrame, pairs: DataFrame, v: Vocabulary =
     in_use = in_use.withColumns({"since": F.lit(None).cast("bigint"), "allowed": F.lit(True)})
     known_pairs = in_use.unionByName(introduced).groupBy(*_PAIR)
     known_pairs = known_pairs.agg(F.max("allowed").alias("_allowed"), F.min("since").alias("_since"))
-    found = lookup(found, known_pairs, _PAIR, spread=["seq"])
+    found = lookup(found, known_pairs, _PAIR, spread=["seq"], counted=wanted)
 
     known = F.coalesce("_allowed", F.lit(False)) | F.coalesce(F.col("_since") < F.col("seq"), F.lit(False))
     reason = (

@@ -19,7 +19,6 @@ from grootboek.functions.text import (
     strip_iban,
     text_or_empty,
 )
-from grootboek.operators.memory import TEXT_KEY
 from grootboek.schema import BANK, CARD, conform
 from grootboek.skew import lookup
 from grootboek.sources.bank_csv import parse_bank_rows
@@ -40,15 +39,18 @@ def _certain(v: Vocabulary) -> Column:
     return F.when(F.coalesce(sure, F.lit(False)), v.tone_sure).otherwise(v.tone_doubt)
 
 
-def recall(rows: DataFrame, memory: DataFrame, description: str, direction: Column) -> DataFrame:
+def _with_recall_keys(rows: DataFrame, direction: Column) -> DataFrame:
+    keyed = rows.withColumns({"_text": normalize(F.col("description")), "_way": strip(direction)})
+    usable = (F.col("_text") != "") & (F.col("_way") != "")
+    return keyed.withColumns({"_text": F.when(usable, F.col("_text")), "_way": F.when(usable, F.col("_way"))})
+
+
+def recall(rows: DataFrame, memory: DataFrame, direction: Column, counted: DataFrame | None = None) -> DataFrame:
     """Attach what earlier rows with the same text and direction were booked as, as ``memory``."""
-    key, way = normalize(F.col(description)), strip(direction)
-    usable = (key != "") & (way != "")
-    keyed = rows.withColumns(
-        {"_text": F.when(usable, key), "_way": F.when(usable, way)}
-    )
+    keyed = _with_recall_keys(rows, direction)
+    plain = None if counted is None else _with_recall_keys(counted, direction)
     known = memory.select(F.col("text_key").alias("_text"), F.col("direction").alias("_way"), "memory")
-    return lookup(keyed, known, ["_text", "_way"], spread=_ROW).drop("_text", "_way")
+    return lookup(keyed, known, ["_text", "_way"], spread=_ROW, counted=plain).drop("_text", "_way")
 
 
 def mark_duplicates(rows: DataFrame, ledger: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
@@ -140,7 +142,7 @@ def preview_bank(
     safe = safe.select(
         *_ROW, "tx_id", "error", "tx_date", "direction", "amount", "account", *BANK_EXTRA
     )
-    known = recall(mark_duplicates(safe, ledger, v), memory, "description", F.col("direction"))
+    known = recall(mark_duplicates(safe, ledger, v), memory, F.col("direction"), counted=safe)
     credit = F.col("direction") == v.credit
     fallback = F.when(credit, _pair(v.default_credit_pair)).otherwise(_pair(v.default_debit_pair))
     labelled = _label_choice(known, fallback, F.lit(False), v)
@@ -169,7 +171,8 @@ def preview_card(
     safe = safe.select(
         *_ROW, "tx_id", "error", "tx_date", "direction", "amount", "account", *CARD_EXTRA, "unparsed"
     )
-    known = recall(mark_duplicates(safe, ledger, v), memory, "description", F.when(good, F.lit(v.debit)))
+    as_debit = F.when(good, F.lit(v.debit))
+    known = recall(mark_duplicates(safe, ledger, v), memory, as_debit, counted=safe)
     collected = F.coalesce(F.col("card_type") == v.collection_type, F.lit(False))
     labelled = _label_choice(known, _pair(v.default_debit_pair), collected, v)
     shown = F.when(good, redact(F.col("description"))).otherwise(redact(F.col("unparsed")))
@@ -209,10 +212,8 @@ def nearest_charge(rows: DataFrame, group: list[str], order: str, v: Vocabulary
     Rows meet as one entry per (text, amount, day): the nearest day before and after is a running value over at most
     one entry per calendar day, so neither pairs nor whole texts are gathered.
     """
-    key = normalize(F.col("description"))
-    keyed = rows.withColumns(
-        {"text_key": F.when(key != "", key), "day": ymd_int(F.col("tx_date"))}
-    ).where(F.col("text_key").isNotNull() & F.col("day").isNotNull() & F.col("amount").isNotNull())
+    keyed = rows.withColumns({"text_key": normalize(F.col("description")), "day": ymd_int(F.col("tx_date"))})
+    keyed = keyed.where((F.col("text_key") != "") & F.col("day").isNotNull() & F.col("amount").isNotNull())
     text, amount = [*group, "text_key"], [*group, "text_key", "amount"]
     label = F.struct("category", "subcategory")
     is_debit = F.col("direction") == v.debit
@@ -238,22 +239,25 @@ def nearest_charge(rows: DataFrame, group: list[str], order: str, v: Vocabulary
         F.col("nearest").alias("same_amount"),
         (~F.col("low").eqNullSafe(F.col("high"))).alias("in_doubt"),
     )
-    any_days = days.groupBy(*text, "day").agg(F.min("debit").alias("debit"), F.sum("credits").alias("credits"))
-    other = _nearest_day(any_days, text).where(F.col("credits") > 0)
-    other = other.select(*text, "day", F.col("nearest").alias("any_amount"))
-    answers = lookup(same, other, [*text, "day"], spread=["amount"])
+    any_days = days.groupBy(*text, "day").agg(
+        F.min("debit").alias("debit"), F.count_if(F.col("credits") > 0).alias("amounts")
+    )
+    other = _nearest_day(any_days, text).where(F.col("amounts") > 0)
+    other = other.select(*text, "day", "amounts", F.col("nearest").alias("any_amount"))
+    answers = lookup(same, other, [*text, "day"], spread=["amount"], weight="amounts")
     best = F.coalesce("same_amount", "any_amount")
     answers = answers.select(
         *amount,
         "day",
+        "credits",
         best["gap"].alias("gap"),
         F.when(best.isNotNull(), F.col("same_amount").isNotNull()).alias("same_amount"),
         best["category"].alias("charge_category"),
         best["subcategory"].alias("charge_subcategory"),
-        F.col("in_doubt") & best.isNotNull(),
+        (F.col("in_doubt") & best.isNotNull()).alias("in_doubt"),
     )
-    answers = answers.toDF(*amount, "day", "gap", "same_amount", "charge_category", "charge_subcategory", "in_doubt")
-    return lookup(keyed.where(is_credit), answers, [*amount, "day"], spread=[order])
+    found = lookup(keyed.where(is_credit), answers, [*amount, "day"], spread=[order], weight="credits")
+    return found.drop("credits")
 
 
 def _nearest_day(days: DataFrame, group: list[str]) -> DataFrame:

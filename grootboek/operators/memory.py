@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grootboek.functions.text import corpus_key, merchant_key, strip, text_or_empty
+from grootboek.functions.text import index_text, key_of_index_text, merchant_key, strip, text_or_empty
 from grootboek.operators.classify import without_structural
 from grootboek.skew import lookup
 from grootboek.vocabulary import DEFAULT, STRUCTURAL_KINDS, Vocabulary
@@ -27,19 +27,26 @@ def memory_corpus(ledger: DataFrame) -> DataFrame:
 
     ``text_key`` and ``direction`` are NULL where a row has no usable key.
     """
-    return without_structural(ledger).select("src", "tx_id", *memory_keys())
-
-
-def memory_keys() -> list[Column]:
-    """Under which text, direction and label a ledger row is remembered."""
-    key, direction = corpus_key(F.col("description")), strip(F.col("direction"))
-    usable = (key != "") & (direction != "")
-    return [
-        F.when(usable, key).alias("text_key"),
-        F.when(usable, direction).alias("direction"),
-        text_or_empty(F.col("category")).alias("category"),
-        text_or_empty(F.col("subcategory")).alias("subcategory"),
-    ]
+    rows = without_structural(ledger).select("src", "tx_id", "description", "direction", *LABEL)
+    return with_memory_keys(rows).select("src", "tx_id", *[F.col(f"own_{k}").alias(k) for k in (*TEXT_KEY, *LABEL)])
+
+
+def with_memory_keys(rows: DataFrame) -> DataFrame:
+    """Adds ``own_...``: the text, direction and label under which a ledger row is remembered.
+
+    The text goes through several expressions; each step is a column of its own, so it is computed once.
+    """
+    steps = rows.withColumn("_text", index_text(F.col("description")))
+    steps = steps.withColumns({"_key": key_of_index_text(F.col("_text")), "_way": strip(F.col("direction"))})
+    usable = (F.col("_key") != "") & (F.col("_way") != "")
+    return steps.withColumns(
+        {
+            "own_text_key": F.when(usable, F.col("_key")),
+            "own_direction": F.when(usable, F.col("_way")),
+            "own_category": text_or_empty(F.col("category")),
+            "own_subcategory": text_or_empty(F.col("subcategory")),
+        }
+    ).drop("_text", "_key", "_way")
 
 
 def _label_counts(corpus: DataFrame) -> DataFrame:

@@ -127,11 +127,12 @@ def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
     """The ``need`` best vectors per query, from bounded blocks of queries and points."""
     block = ["scope", "cell", "part", "group"]
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("scope", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    def blocks(rows: DataFrame, size: str, count: str) -> DataFrame:
+        sizes = rows.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias(size))
+        return sizes.withColumn(count, F.ceil(F.col(size) / BLOCK_ROWS).cast("int"))
 
-    # Two counts per cell, joined once: a bounded table, one row per (scope, pivot).
-    shape = blocks(points, "parts").join(blocks(probes, "groups"), ["scope", "cell"])
+    # One row per (scope, pivot): how many blocks of points and of queries meet there.
+    shape = blocks(points, "points_n", "parts").join(blocks(probes, "probes_n", "groups"), ["scope", "cell"], "left")
 
     def place(count: str) -> Column:
         return F.pmod(F.xxhash64("vector_key"), F.col(count)).cast("int")
@@ -139,10 +140,10 @@ def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    spread = ["vector_key"]
-    left = lookup(probes, shape, ["scope", "cell"], spread=spread, how="inner")
+    cell, spread = ["scope", "cell"], ["vector_key"]
+    left = lookup(probes, shape.fillna(0, ["probes_n"]), cell, spread=spread, weight="probes_n", how="inner")
     left = left.withColumn("group", place("groups")).withColumn("part", every("parts"))
-    right = lookup(points, shape, ["scope", "cell"], spread=spread, how="inner")
+    right = lookup(points, shape, cell, spread=spread, weight="points_n").where(F.col("groups") > 0)
     right = right.withColumn("part", place("parts")).withColumn("group", every("groups"))
 
     def best(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +203,7 @@ def nearest(
         F.md5(F.col("embedding").cast("string").cast("binary")).alias("vector_key"),
     )
     asked = _distinct_vectors(queries, "point_id", scope, 1).select(*_VECTOR, "vector")
-    asked = lookup(asked, _cells_of(assigned), "scope", spread=["vector_key"], how="inner")
+    asked = lookup(asked, _cells_of(assigned), "scope", spread=["vector_key"], counted=keyed, how="inner")
     # The first answer also carries the limit for the second look; both are read several times.
     found = checkpointed(_compare(_probes(asked, pivots, need, max_cells, first=True), assigned, need))
     if max_cells is None:

@@ -22,9 +22,9 @@ from grootboek.operators.memory import (
     TEXT_KEY,
     leave_one_out_answers,
     memory_corpus,
-    memory_keys,
     merchant_stats,
     split_texts,
+    with_memory_keys,
 )
 from grootboek.operators.period import Period
 from grootboek.skew import lookup
@@ -160,11 +160,10 @@ def present(rows: DataFrame) -> DataFrame:
 def with_suggestions(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """Ledger rows with ``suggest``: the leave-one-out answer of text memory. ``corpus`` must include the rows."""
     keys = [*TEXT_KEY, *LABEL]
-    keyed = rows.select("*", F.struct(*memory_keys()).alias("_k"))
-    keyed = keyed.select(*rows.columns, *[F.col(f"_k.{k}").alias(f"_own_{k}") for k in keys])
+    own = [f"own_{k}" for k in keys]
+    keyed = with_memory_keys(rows)
     answers = leave_one_out_answers(corpus)
-    answers = answers.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "label_n", "memory")
-    own = [f"_own_{k}" for k in keys]
+    answers = answers.select(*[F.col(k).alias(f"own_{k}") for k in keys], "label_n", "memory")
     found = lookup(keyed, answers, own, spread=_ROW, weight="label_n")
     suggest = F.struct(
         "memory.category",
@@ -182,58 +181,71 @@ def flag(
     merchants: DataFrame,
     splits: DataFrame,
     neighbours_mixed: Column | None = None,
+    counted: DataFrame | None = None,
     v: Vocabulary = DEFAULT,
 ) -> DataFrame:
     """Doubt flags per row, the suggestion after the rules, and whether it may be applied in bulk.
 
     A shop booked as savings with a large credit loses its suggestion; with a small one it gets the shop's usual
-    label, as does a shop booked as other income. ``rows`` come from ``with_suggestions`` and ``present``.
+    label, as does a shop booked as other income. ``rows`` come from ``with_suggestions`` and ``present``; ``counted`` may
+    be the same rows before suggestions were attached, to count frequent keys from.
     """
-    keyed = rows.withColumn("_merchant", F.when(F.col("merchant_name") != "", merchant_key(F.col("merchant_name"))))
-    keyed = keyed.withColumn("_text", F.when(F.col("text_key") != "", F.col("text_key")))
+    def with_keys(table: DataFrame) -> DataFrame:
+        return table.withColumns(
+            {
+                "_merchant": F.when(F.col("merchant_name") != "", merchant_key(F.col("merchant_name"))),
+                "_text": F.when(F.col("text_key") != "", F.col("text_key")),
+            }
+        )
+
+    plain = with_keys(rows if counted is None else counted)
     stats = merchants.select(F.col("merchant_key").alias("_merchant"), "majority", "mixed")
-    keyed = lookup(keyed, stats, "_merchant", spread=_ROW)
+    keyed = lookup(with_keys(rows), stats, "_merchant", spread=_ROW, counted=plain)
     texts = splits.select(F.col("text_key").alias("_text"), F.lit(True).alias("_is_split"))
-    keyed = lookup(keyed, texts, "_text", spread=_ROW)
+    keyed = lookup(keyed, texts, "_text", spread=_ROW, counted=plain)
 
     suggest, majority = F.col("suggest"), F.col("majority")
     category, sub = text_or_empty(F.col("category")), text_or_empty(F.col("subcategory"))
-    is_other = casefold(sub) == v.other_sub
-    is_shop = majority.isNotNull()
     saving_names = [name.casefold() for name in v.saving_counterparts]
-    saving_shop = F.coalesce((F.col("flow_kind") == SAVING) & ~F.col("_merchant").isin(*saving_names), F.lit(False))
-    large = saving_shop & F.coalesce(
-        (F.col("direction") == v.credit) & (F.col("amount") >= LARGE_SAVING), F.lit(False)
+    saving_shop = (F.col("flow_kind") == SAVING) & ~F.col("_merchant").isin(*saving_names)
+    large = (F.col("direction") == v.credit) & (F.col("amount") >= LARGE_SAVING)
+    same_label = suggest["category"].eqNullSafe(category) & suggest["subcategory"].eqNullSafe(F.col("subcategory"))
+    unknown = F.lit(False)
+    # Each condition becomes a column before the next step uses it, so none is repeated inside another.
+    keyed = keyed.withColumns(
+        {
+            "_saving_shop": F.coalesce(saving_shop, unknown),
+            "_large": F.coalesce(large, unknown),
+            "_other": casefold(sub) == v.other_sub,
+            "_income": (category == v.income_category) & ~sub.isin(*v.real_income_subs) & majority.isNotNull(),
+            "_mismatch": suggest.isNotNull() & ~same_label,
+            "_knn_split": unknown if neighbours_mixed is None else F.coalesce(neighbours_mixed, unknown),
+            "_split": F.coalesce("_is_split", unknown),
+            "_mixed": F.coalesce("mixed", unknown),
+        }
     )
-    small = saving_shop & ~large
-    as_income = (
-        ~saving_shop
-        & (category == v.income_category)
-        & is_other
-        & is_shop
-        & ~sub.isin(*v.real_income_subs)
+    step = (
+        F.when(F.col("_saving_shop") & F.col("_large"), "shop_saving_large")
+        .when(F.col("_saving_shop"), "shop_saving_small")
+        .when(F.col("_other") & F.col("_income"), "shop_as_income")
+        .when(F.col("_other"), "overig")
+        .otherwise("")
+    )
+    keyed = keyed.withColumn("_step", step)
+    keyed = keyed.withColumns(
+        {
+            "_by_rule": F.col("_step").isin("shop_saving_small", "shop_as_income") & majority.isNotNull(),
+            "_unsafe": F.col("_knn_split") | F.col("_split") | F.col("_mixed"),
+        }
     )
-    other = ~saving_shop & ~as_income & is_other
-
-    same_label = suggest["category"].eqNullSafe(category) & suggest["subcategory"].eqNullSafe(F.col("subcategory"))
-    mismatch = suggest.isNotNull() & ~same_label
-    knn_split = F.lit(False) if neighbours_mixed is None else F.coalesce(neighbours_mixed, F.lit(False))
-    split_text = F.coalesce("_is_split", F.lit(False))
-    mixed = F.coalesce("mixed", F.lit(False))
     named = (
-        (mismatch, "knn_mismatch"),
-        (knn_split, "knn_split"),
-        (split_text, "split_text"),
-        (mixed, "mixed_entity"),
-        (large, "shop_saving_large"),
-        (small, "shop_saving_small"),
-        (as_income, "shop_as_income"),
-        (other, "overig"),
-        (F.col("flow_kind") == UNCLASSIFIED, "unclassified"),
+        (F.col("_mismatch"), F.lit("knn_mismatch")),
+        (F.col("_knn_split"), F.lit("knn_split")),
+        (F.col("_split"), F.lit("split_text")),
+        (F.col("_mixed"), F.lit("mixed_entity")),
+        (F.col("_step") != "", F.col("_step")),
+        (F.col("flow_kind") == UNCLASSIFIED, F.lit("unclassified")),
     )
-    flags = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for condition, name in named]))
-
-    by_rule = (small | as_income) & is_shop
     rule = F.struct(
         majority["category"].alias("category"),
         majority["subcategory"].alias("subcategory"),
@@ -242,20 +254,22 @@ def flag(
         majority["n"].alias("neighbor_n"),
         F.lit(_RULE).alias("source"),
     )
-    final = F.when(large, F.lit(None)).when(by_rule, rule).otherwise(suggest)
-    unsafe = (knn_split | split_text | mixed) & ~by_rule
-    from_text = other & suggest.isNotNull() & (suggest["source"] == _TEXT)
-    above = F.when(large | unsafe, False).otherwise(by_rule | suggest.isNotNull())
-    bulk = (by_rule | F.coalesce(from_text, F.lit(False))) & ~unsafe & ~F.col("corrected")
+    is_large = F.col("_step") == "shop_saving_large"
+    from_text = (F.col("_step") == "overig") & F.coalesce(suggest["source"] == _TEXT, unknown) & ~F.col("_unsafe")
+    suggested = F.when(is_large, unknown).otherwise(suggest.isNotNull() & ~F.col("_unsafe"))
     flagged = keyed.withColumns(
-        {"flags": flags, "suggest": final, "above": above, "bulk_ok": bulk}
-    )
-    return flagged.withColumn("doubt", F.size("flags") > 0).drop(
-        "_merchant", "_text", "majority", "mixed", "_is_split"
+        {
+            "flags": F.array_compact(F.array(*[F.when(condition, name) for condition, name in named])),
+            "suggest": F.when(is_large, F.lit(None)).when(F.col("_by_rule"), rule).otherwise(suggest),
+            "above": F.col("_by_rule") | suggested,
+            "bulk_ok": (F.col("_by_rule") | from_text) & ~F.col("corrected"),
+        }
     )
+    return flagged.select(*rows.columns, "flags", "above", "bulk_ok", (F.size("flags") > 0).alias("doubt"))
 
 
 def doubt_flags(ledger: DataFrame, bank: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
     """Every reviewable row with its suggestion and flags."""
-    rows = with_suggestions(without_structural(ledger), memory_corpus(ledger))
-    return flag(present(rows), merchant_stats(bank, v), split_texts(ledger), v=v)
+    plain = without_structural(ledger)
+    rows = present(with_suggestions(plain, memory_corpus(ledger)))
+    return flag(rows, merchant_stats(bank, v), split_texts(ledger), counted=present(plain), v=v)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grootboek.checkpoints import checkpointed
 from grootboek.functions.text import anonymise, looks_secret, normalize, redact, strip_iban
 from grootboek.functions.text import index_text as index_text_of
 from grootboek.operators import audits, corrections, imports, memory, neighbours, reports, review, settle
@@ -341,9 +342,9 @@ def refund_follows_charge(spark, sf_dir):
     return found.select("src", "id", *fields)
 
 
-def _overrides(spark, sf_dir):
-    """A reviewer's choices, one per new bank row of a merchant: some rename the label, some the merchant."""
-    rows = _bank_preview(spark, sf_dir).where(F.col("status") == "nieuw")
+def _overrides(staged: DataFrame) -> DataFrame:
+    """A reviewer's choices, one per new row: urgent ones get another label, high ones a merchant."""
+    rows = staged.where(F.col("status") == "nieuw")
     chosen = rows.groupBy("tx_id").agg(F.min("mutation_kind").alias("kind"))
     return chosen.select(
         "tx_id",
@@ -355,14 +356,15 @@ def _overrides(spark, sf_dir):
 
 @query
 def import_commit(spark, sf_dir):
-    rows = imports.apply_overrides(_bank_preview(spark, sf_dir), _overrides(spark, sf_dir))
+    staged = checkpointed(_bank_preview(spark, sf_dir))
+    rows = imports.apply_overrides(staged, _overrides(staged))
     fresh = imports.new_rows(rows, fx.bank_ledger(spark, sf_dir))
     return imports.to_ledger(fresh, "bank", F.col("pos")).drop("similarity", "orig_category", "orig_subcategory")
 
 
 @query
 def redacted_documents(spark, sf_dir):
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = fx.table(spark, sf_dir, "documents")
     text = F.col("text")
     return texts.select(
         "doc_id",

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording a Python stack per column expression costs more than planning these queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -34,11 +34,11 @@ def _renamed(columns: Sequence[str], mark: str) -> list[Column]:
     return [F.col(c).alias(f"_{mark}_{c}") for c in columns]
 
 
-def _heaviest(facts: DataFrame, dim: DataFrame, keys: list[str], weight: str | None, hot_keys: int) -> DataFrame:
+def _heaviest(counted: DataFrame, dim: DataFrame, keys: list[str], weight: str | None, hot_keys: int) -> DataFrame:
     """The hot keys with their dimension row, or NULL where the dimension has none."""
     if weight is not None:
         return dim.orderBy(F.desc(weight), *keys).limit(hot_keys)
-    present = facts.where(_all([F.col(k).isNotNull() for k in keys]))
+    present = counted.where(_all([F.col(k).isNotNull() for k in keys]))
     top = (
         present.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -56,21 +56,22 @@ def lookup(
     on: str | Sequence[str],
     spread: Sequence[str],
     weight: str | None = None,
+    counted: DataFrame | None = None,
     how: str = "left",
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """``facts`` with the columns of ``dim``, which has one row per key.
 
     ``spread`` names columns that identify a row of ``facts``. ``weight`` is a column of ``dim`` that holds the number
-    of fact rows of a key; give it only if every key of ``facts`` is in ``dim``. Without it the heavy keys are counted
-    from ``facts``. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
+    of fact rows of a key; give it only if every key of ``facts`` is in ``dim``. Without it the heavy keys are counted:
+    from ``counted`` where an earlier, cheaper form of the rows has the keys already, else from ``facts``. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
     """
     keys = [on] if isinstance(on, str) else list(on)
     payload = [c for c in dim.columns if c not in keys]
     value = F.struct(F.lit(True).alias("_found"), *payload)
 
     shaped = dim.select(*keys, *([weight] if weight else []), value.alias("_value"))
-    hot = _heaviest(facts, shaped, keys, weight, hot_keys)
+    hot = _heaviest(facts if counted is None else counted, shaped, keys, weight, hot_keys)
     hot = hot.select(*_renamed(keys, "hot"), F.col("_value").alias(_HOT))
     served = facts.join(F.broadcast(hot), _all([F.col(k) == F.col(f"_hot_{k}") for k in keys]), "left")
 
