@@ -20,7 +20,7 @@ def parse_amount(c: Column) -> Column:
 def hash_token(amount: Column) -> Column:
     """The shortest decimal text of an amount, as it enters the card id: ``1101.57``, ``12``, ``-12.5``, ``0``."""
     text = F.regexp_replace(amount.cast(MONEY).cast("string"), r"\.?0+$", "")
-    return F.when(text.isin("-0", ""), F.lit("0")).otherwise(text)
+    return F.regexp_replace(text, "^-0$", "0")
 
 
 def signed_net(kind: Column, amount: Column, plus: str, minus: str) -> Column:

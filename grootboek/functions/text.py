@@ -29,13 +29,21 @@ LABEL_LIMIT = 191
 SEARCH_LIMIT = 80
 SEARCH_WILDCARDS = "%_\\"
 
-# Characters that count as blank at either end of a text.
-BLANKS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
-    "         　"
-)
+# Characters that count as blank.
+BLANKS = "".join(
+    chr(code) for span in (range(9, 14), range(28, 33), range(0x2000, 0x200B)) for code in span
+) + "\x85\xa0     　"
 BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 
+# Cheap tests that hold wherever masking or collapsing could change something: a character beyond printable ASCII, two
+# spaces, or the beginnings of an IBAN or a long number. Most texts pass none of them and are left as they are.
+MAYBE_LOOSE = "[^ -~]|  "
+MAYBE_IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{10}"
+MAYBE_DIGIT_RUN = r"\d{8}"
+
+# Folding and key punctuation in one pass: the first two letters are replaced, the other characters dropped.
+_FOLD_FROM, _FOLD_TO = "ςſ", "σs"
+
 
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -45,46 +53,51 @@ def strip(c: Column) -> Column:
     return F.btrim(text_or_empty(c), F.lit(BLANKS))
 
 
-def one_spaced(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(text_or_empty(c), BLANK_RUN, " "), F.lit(" "))
+def _rewritten(c: Column, test: str, *replacements: tuple[str, str]) -> Column:
+    """The text with the replacements made where ``test`` matches, else only its outer blanks removed."""
+    changed = c
+    for pattern, by in replacements:
+        changed = F.regexp_replace(changed, pattern, by)
+    return text_or_empty(F.trim(F.when(c.rlike(test), changed).otherwise(c)))
 
 
 def casefold(c: Column) -> Column:
     """Caseless form. ``lower`` plus the letters whose folded form differs from their lower case."""
-    return F.replace(F.translate(F.lower(c), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), F.lit("ß"), F.lit("ss"))
 
 
 def strip_iban(c: Column) -> Column:
     """Mask IBANs and runs of eight or more digits, then collapse blanks."""
-    masked = F.regexp_replace(text_or_empty(c), IBAN, MASK)
-    return one_spaced(F.regexp_replace(masked, DIGIT_RUN, MASK))
+    test = f"{MAYBE_IBAN}|{MAYBE_DIGIT_RUN}|{MAYBE_LOOSE}"
+    return _rewritten(c, test, (IBAN, MASK), (DIGIT_RUN, MASK), (BLANK_RUN, " "))
 
 
 def index_text(c: Column, limit: int = INDEX_LIMIT) -> Column:
     return F.left(strip_iban(c), F.lit(limit))
 
 
-def _key_of_clean(c: Column, limit: int) -> Column:
-    bare = F.translate(casefold(c), KEY_PUNCTUATION, "")
-    return F.left(one_spaced(bare), F.lit(limit))
+def key_of_clean(c: Column, limit: int = INDEX_LIMIT) -> Column:
+    """``normalize`` of a text that ``strip_iban`` made. Dropped punctuation may leave spaces in a row."""
+    bare = F.translate(F.lower(c), _FOLD_FROM + KEY_PUNCTUATION, _FOLD_TO)
+    bare = F.replace(bare, F.lit("ß"), F.lit("ss"))
+    return F.left(F.trim(F.regexp_replace(bare, " {2,}", " ")), F.lit(limit))
 
 
 def normalize(c: Column, limit: int = INDEX_LIMIT) -> Column:
     """The key under which two descriptions count as the same text."""
-    return _key_of_clean(strip_iban(c), limit)
+    return key_of_clean(strip_iban(c), limit)
 
 
 def key_of_index_text(c: Column) -> Column:
     """``normalize`` of a text that ``index_text`` made; masking runs a second time only where that cut the text."""
     again = F.when(F.length(c) >= INDEX_LIMIT, strip_iban(c)).otherwise(c)
-    return _key_of_clean(again, INDEX_LIMIT)
+    return key_of_clean(again, INDEX_LIMIT)
 
 
 def redact(c: Column, limit: int = DISPLAY_LIMIT) -> Column:
     """Display text: IBANs masked, blanks collapsed, cut to ``limit`` with an ellipsis."""
-    text = one_spaced(F.regexp_replace(text_or_empty(c), IBAN, MASK))
-    short = F.concat(F.left(text, F.lit(limit - 1)), F.lit(MASK))
-    return F.when(F.length(text) > limit, short).otherwise(text)
+    text = _rewritten(c, f"{MAYBE_IBAN}|{MAYBE_LOOSE}", (IBAN, MASK), (BLANK_RUN, " "))
+    return F.regexp_replace(text, rf"(?s)^(.{{{limit - 1}}}).{{2,}}$", "$1" + MASK)
 
 
 def merchant_key(c: Column) -> Column:

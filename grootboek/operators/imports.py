@@ -124,22 +124,17 @@ def preview_bank(
     """
     parsed = parse_bank_rows(raw)
 
-    def clean(column: str) -> Column:
-        return anonymise(F.col(column), rules, v)
-
-    def label_only(column: str) -> Column:
-        return F.when(is_account_label(clean(column), v), clean(column)).otherwise("")
-
-    hidden = F.col("error").isNotNull()
+    good = F.col("error").isNull()
+    cleaned = {"description": "raw_description", "memo": "raw_memo"}
+    cleaned |= {"account": "raw_account", "counter_account": "raw_counter_account"}
     safe = parsed.withColumns(
-        {
-            "description": F.when(hidden, "").otherwise(clean("raw_description")),
-            "memo": F.when(hidden, "").otherwise(clean("raw_memo")),
-            "account": F.when(hidden, "").otherwise(label_only("raw_account")),
-            "counter_account": F.when(hidden, "").otherwise(label_only("raw_counter_account")),
-        }
+        {name: F.when(good, anonymise(F.col(raw), rules, v)).otherwise("") for name, raw in cleaned.items()}
     )
-    safe = safe.select(
+    # Account numbers that no rule turned into a label do not pass.
+    label_only = {
+        c: F.when(is_account_label(F.col(c), v), F.col(c)).otherwise("") for c in ("account", "counter_account")
+    }
+    safe = safe.withColumns(label_only).select(
         *_ROW, "tx_id", "error", "tx_date", "direction", "amount", "account", *BANK_EXTRA
     )
     known = recall(mark_duplicates(safe, ledger, v), memory, F.col("direction"), counted=safe)

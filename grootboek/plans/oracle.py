@@ -265,7 +265,7 @@ _add(
 )
 _add("unclassified_count", f"SELECT count(*) AS n FROM ledger WHERE {_WHOLE} AND flow_kind = 'unclassified'")
 _add(
-    "latest_months",
+    "latest_month",
     """
 SELECT 'calendar' AS cycle, max(ym) AS ym FROM bank
 UNION ALL
@@ -274,11 +274,11 @@ SELECT 'payday', named_ym FROM cuts, (SELECT max(tx_date) AS d FROM bank) WHERE
     _STARTS,
 )
 _add(
-    "first_and_last_year",
+    "year_bounds",
     f"SELECT {_i('min(year(tx_date))', 'first_year')}, {_i('max(year(tx_date))', 'last_year')} FROM ledger",
 )
 _add(
-    "payday_starts_all",
+    "payday_starts",
     "SELECT named_ym, calendar_ym, payday, strftime(start_date, '%Y-%m-%d') AS start_date FROM starts",
     _STARTS,
 )

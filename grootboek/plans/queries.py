@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grootboek.checkpoints import checkpointed
-from grootboek.functions.text import anonymise, looks_secret, normalize, redact, strip_iban
-from grootboek.functions.text import index_text as index_text_of
+from grootboek.functions.text import INDEX_LIMIT, anonymise, key_of_clean, looks_secret, redact, strip_iban
 from grootboek.operators import audits, corrections, imports, memory, neighbours, reports, review, settle
 from grootboek.operators.classify import transfer_legs
 from grootboek.operators.period import (
@@ -51,7 +50,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = lambda spark, sf_dir: plain(function(spark, sf_dir))
+    name = function.__name__.removeprefix("q_")
+    QUERIES[name] = lambda spark, sf_dir: plain(function(spark, sf_dir))
     return function
 
 
@@ -160,19 +160,19 @@ def unclassified_count(spark, sf_dir):
 
 
 @query
-def latest_months(spark, sf_dir):
+def q_latest_month(spark, sf_dir):
     bank = fx.bank_ledger(spark, sf_dir)
     calendar = latest_month(bank).select(F.lit("calendar").alias("cycle"), "ym")
     return calendar.unionByName(latest_month(bank, by_payday=True).select(F.lit("payday").alias("cycle"), "ym"))
 
 
 @query
-def first_and_last_year(spark, sf_dir):
+def q_year_bounds(spark, sf_dir):
     return year_bounds(fx.ledger(spark, sf_dir))
 
 
 @query
-def payday_starts_all(spark, sf_dir):
+def q_payday_starts(spark, sf_dir):
     return payday_starts(fx.bank_ledger(spark, sf_dir), WHOLE)
 
 
@@ -364,16 +364,15 @@ def import_commit(spark, sf_dir):
 
 @query
 def redacted_documents(spark, sf_dir):
-    texts = fx.table(spark, sf_dir, "documents")
-    text = F.col("text")
+    texts = fx.table(spark, sf_dir, "documents").withColumn("clean", strip_iban(F.col("text")))
     return texts.select(
         "doc_id",
-        redact(text).alias("shown"),
-        F.md5(strip_iban(text).cast("binary")).alias("clean_md5"),
-        index_text_of(text).alias("index_text"),
-        F.md5(anonymise(text, fx.RULES).cast("binary")).alias("anonymous_md5"),
-        looks_secret(text).alias("secret"),
-        F.length(normalize(text)).alias("key_length"),
+        redact(F.col("text")).alias("shown"),
+        F.md5(F.col("clean").cast("binary")).alias("clean_md5"),
+        F.left("clean", F.lit(INDEX_LIMIT)).alias("index_text"),
+        F.md5(anonymise(F.col("text"), fx.RULES).cast("binary")).alias("anonymous_md5"),
+        looks_secret(F.col("text")).alias("secret"),
+        F.length(key_of_clean(F.col("clean"))).alias("key_length"),
     )
 
 
