@@ -82,7 +82,7 @@ def stitch_lines(lines: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
 def parse_card_lines(stitched: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
     """Date, description, type, signed amount, hash token and id of each matched line.
 
-    A known type is the first one named anywhere in the line. The word for costs stays in the description: ids of
+    A known type is the first one named anywhere in the line. A costs line keeps its tail in the description: ids of
     earlier imports were made that way. ``error`` is set for lines that are no transaction or have no such date.
     """
     line = F.col("line")
