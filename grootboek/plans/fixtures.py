@@ -180,8 +180,17 @@ SCHEMAS = {
 }
 
 
+# Unique columns to spread a table by when it is stored in fewer pieces than there are cores.
+SPREAD = {"orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Text work on a table of one piece would keep a single core busy, so such a table is spread."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, SPREAD[name])
+    return df
 
 
 def _mapped(source: DataFrame, mapping: dict[str, str]) -> DataFrame:
