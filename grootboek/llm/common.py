@@ -42,14 +42,14 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    if batch.num_rows <= 1 or (batch.num_rows <= PIECE_ROWS and batch.column(at).nbytes <= PIECE_BYTES):
+def _pieces(batch: pa.RecordBatch, at: int, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows <= 1 or (batch.num_rows <= rows and batch.column(at).nbytes <= size):
         if batch.num_rows:
             yield batch
         return
     half = batch.num_rows // 2
-    yield from _pieces(batch.slice(0, half), at)
-    yield from _pieces(batch.slice(half), at)
+    yield from _pieces(batch.slice(0, half), at, rows, size)
+    yield from _pieces(batch.slice(half), at, rows, size)
 
 
 def map_texts(
@@ -86,6 +86,8 @@ def explode_texts(
     fields: str | T.StructType,
     start: Callable[[], Callable[[list[list]], list]],
     text: int = -1,
+    piece_rows: int = PIECE_ROWS,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Rows of ``fields`` made from pieces of ``df``: the function maps the columns' value lists to columns of the
     result, of any length. ``text`` is the place of the column whose size bounds a piece."""
@@ -95,7 +97,7 @@ def explode_texts(
     def run(batches):
         work = start()
         for batch in batches:
-            for part in _pieces(batch, at):
+            for part in _pieces(batch, at, piece_rows, piece_bytes):
                 made = work([c.to_pylist() for c in part.columns])
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -10,11 +10,11 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
 ), d AS (
   SELECT page_id, strlen(body) AS payload_bytes, hex,
-    array_to_string(list_transform(range(32), i ->
+    array_to_string([
       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
         ((position(substr(hex, CAST(5 * i // 4 + 1 AS INT), 1) IN '0123456789abcdef') - 1) * 16
           + position(substr(hex || '0', CAST(5 * i // 4 + 2 AS INT), 1) IN '0123456789abcdef') - 1)
-        >> CAST(3 - (5 * i) % 4 AS INT)) & 31), 1)), '') AS payload_digest
+        >> CAST(3 - (5 * i) % 4 AS INT)) & 31), 1) for i in range(32)], '') AS payload_digest
   FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
@@ -22,3 +22,28 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = min(page_id) OVER w THEN NULL ELSE min(page_id) OVER w END AS refers_to
 FROM d WINDOW w AS (PARTITION BY hex)
 """
+
+ORACLE["op9_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), totals AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS mean FROM d
+), w AS (SELECT r, doc_id, len(words) AS dl, unnest(words) AS word FROM d
+), tf AS (SELECT r, doc_id, dl, word, count(*) AS tf FROM w GROUP BY ALL
+), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word
+), gain AS (
+  SELECT r, doc_id, word,
+    floor(10000 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (1.2 + 1)
+      / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))) AS gain
+  FROM tf JOIN df USING (word), totals
+), q AS (SELECT doc_id AS query, word, tf AS times FROM tf WHERE doc_id % 50 = 0
+), s AS (
+  SELECT query, r, doc_id, CAST(sum(times * gain) AS BIGINT) AS score FROM q JOIN gain USING (word) GROUP BY ALL
+), ranked AS (
+  SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""

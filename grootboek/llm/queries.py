@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grootboek.llm import bpe, kneser_ney, licenses, line_quality, packing, simhash, substrings, warc
+from grootboek.llm import bpe, kneser_ney, licenses, line_quality, packing, search, simhash, substrings, token_trees, warc
 from grootboek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,20 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_token_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts after four edits of every document: an insertion or replacement of words, a deletion, one inside a
+    word and one with white space, at places that depend on a hash of the id."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    length = F.coalesce(F.length("text"), F.lit(0))
+    edits = token_trees.spread_edits(F.col("doc_id"), length, [" some more words", "", "x", " \n\n"])
+    documents = table(spark, sf_dir, "documents").withColumn("edits", edits)
+    rows = token_trees.trees(documents, ["doc_id", "edits"], tokenizer)
+    return token_trees.edited(rows, ["doc_id"], tokenizer).select(
+        "doc_id", "n_before", "n_after", "n_edits", "n_encoded", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
@@ -54,6 +69,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    queries = documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "text")
+    return search.search(documents, queries)
+
+
 @query
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
