@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grootboek.llm.common import stored
+from grootboek.llm.common import small, stored
 
 #: Stands before a text, ``order - 1`` times.
 PAD = "\x02"
@@ -300,11 +300,6 @@ def _scored(find, order: int, ids: list, langs: list, texts: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def small(df: DataFrame, n: int, most: int = 2_000_000) -> DataFrame:
-    """``df`` marked for broadcasting if its ``n`` rows, of a few numbers each, are at most ``most``."""
-    return F.broadcast(df) if n <= most else df
-
-
 def classify(
     documents: DataFrame,
     labels: DataFrame,

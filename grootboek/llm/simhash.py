@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grootboek.llm.common import explode_texts, map_texts, stored
+from grootboek.llm.common import explode_texts, map_texts, small, stored
 from grootboek.llm.components import components
 
 #: Words to a shingle, seed of the hash and differing bits that still link. Fixed values of the near-duplicate query.
@@ -206,3 +206,29 @@ def near_duplicates(documents: DataFrame, keep: list[str], radius: int = RADIUS,
         "component_id",
         (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("best_fp"))).alias("is_first"),
     )
+
+
+def first_of_each(documents: DataFrame, keep: list[str], radius: int = RADIUS, blocks: int = 5) -> DataFrame:
+    """The ``keep`` columns, which hold ``doc_id`` and ``text``, of one row for each group of near copies: the row of the
+    smallest doc_id, and one of them where several rows have that id and fingerprint.
+
+    Which rows go is decided on ids and fingerprints. The texts stay where they are if the ids to drop are few enough
+    to be sent to every task, and are joined by id otherwise. Only rows with a repeated id are fingerprinted again.
+    """
+    rows = stored(near_duplicates(documents, ["doc_id"], radius, blocks), "groups")
+    by_id = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.max("is_first").alias("first"), F.count("*").alias("n"))
+    special = stored(by_id.filter("not first or n > 1").select("_id", "first"), "special")
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    some = documents.select(*keep)
+    once = some.join(small(special, special.count()), same_id, "left_anti")
+    several = special.filter("first").select("_id")
+    again = map_texts(
+        some.join(small(several, several.count()), same_id, "left_semi"),
+        keep,
+        "text",
+        "fingerprint string",
+        lambda: lambda texts: [[f"{fingerprint(t) % 2**BITS:016x}" for t in texts]],
+    )
+    firsts = rows.filter("is_first").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct()
+    kept = again.join(firsts, same_id & (F.col("fingerprint") == F.col("_fp")), "left_semi")
+    return once.unionByName(kept.dropDuplicates(["doc_id", "fingerprint"]).select(*keep))
