@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grootboek.llm.common import small, stored
+from grootboek.llm.common import explode_texts, small, stored
 
 #: Stands before a text, ``order - 1`` times.
 PAD = "\x02"
@@ -242,11 +242,10 @@ def score(documents: DataFrame, model: Model | None, head: int = 1 << 18) -> Dat
     order = model.order if model else 5
     table = None
     if model:
-        top = model.grams.filter(F.col("k") == order).orderBy(F.desc("n"), "g").limit(head)
-        scored = model.probabilities(top).select("g", _micro(F.col("p")).alias("m")).toPandas()
-        codes = np.frombuffer("".join(scored.g).encode("utf-32-le"), np.uint32).reshape(-1, order)
-        keys = keys_of(np.ascontiguousarray(codes.ravel()), order)[::order]
-        table = documents.sparkSession.sparkContext.broadcast((keys, scored.m.to_numpy(np.int64)))
+        top = _most_frequent(model.grams.filter(F.col("k") == order), head)
+        packed = _packed(model.probabilities(top).select("g", _micro(F.col("p")).alias("m")), order).collect()
+        keys, values = (np.frombuffer(b"".join(r[i] for r in packed), t) for i, t in ((0, np.uint64), (1, np.int64)))
+        table = documents.sparkSession.sparkContext.broadcast((keys, values))
     source = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     fields = "doc_id long, lang string, g string, n long, log_micro long"
 
@@ -272,6 +271,33 @@ def score(documents: DataFrame, model: Model | None, head: int = 1 << 18) -> Dat
     )
 
 
+def _most_frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The n-grams counted so often that there are at most ``most`` of them, found from a histogram of the counts'
+    logarithms, which has a few hundred cells whatever the corpus."""
+    cell = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r.cell, r.m) for r in grams.groupBy(cell.alias("cell")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    total, least = 0, None
+    for c, m in sizes:
+        total += m
+        if total > most:
+            break
+        least = c
+    return grams.filter(F.lit(False) if least is None else cell >= least)
+
+
+def _packed(scored: DataFrame, order: int) -> DataFrame:
+    """(keys, values): n-grams as keys and their scores, many to a row."""
+
+    def start():
+        def work(columns):
+            codes = np.frombuffer("".join(columns[0]).encode("utf-32-le"), np.uint32)
+            return [[keys_of(codes, order)[::order].tobytes()], [np.array(columns[1], np.int64).tobytes()]]
+
+        return work
+
+    return explode_texts(scored, ["g", "m"], "keys binary, values binary", start, text=0, piece_rows=1 << 16)
+
+
 def _scored(find, order: int, ids: list, langs: list, texts: list) -> pa.RecordBatch:
     """A row with the sum over the head for each text, and one for each n-gram of a text that is not in the head."""
     grams = _Grams.read(texts, order)
