@@ -9,6 +9,8 @@ import numpy as np
 STEP = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(STEP, -1, 1 << 64))
 _MULTIPLIER = np.uint64(STEP)
+#: Words are hashed in segments of so many bytes: eight bytes a byte, several times over, are needed meanwhile.
+SEGMENT = 1 << 18
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -34,7 +36,12 @@ class Words:
         starts, ends = edge[::2], edge[1::2]
         offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
         of = np.searchsorted(offsets, starts, side="right") - 1
-        hashes = Runs(raw.astype(np.uint64) + np.uint64(1)).hash(starts, ends - starts)
+        hashes = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(raw) + SEGMENT, SEGMENT))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if a < b:
+                runs = Runs(raw[starts[a] : ends[b - 1]].astype(np.uint64) + np.uint64(1))
+                hashes[a:b] = runs.hash(starts[a:b] - starts[a], ends[a:b] - starts[a:b])
         return cls(hashes, starts, of, np.searchsorted(of, np.arange(len(texts))))
 
 
