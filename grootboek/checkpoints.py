@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's checkpoint folder, so later steps and lost executors read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder; on
-    a cluster without one the plan is left as it is.
+    The folder is the session's ``spark.checkpoint.dir``. A cluster without one is refused; only a local session
+    without one gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
-                return df
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="grootboek-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -45,18 +45,18 @@ def _with_recall_keys(rows: DataFrame, direction: Column) -> DataFrame:
     return keyed.withColumns({"_text": F.when(usable, F.col("_text")), "_way": F.when(usable, F.col("_way"))})
 
 
-def recall(rows: DataFrame, memory: DataFrame, direction: Column, counted: DataFrame | None = None) -> DataFrame:
+def recall(rows: DataFrame, memory: DataFrame, direction: Column) -> DataFrame:
     """Attach what earlier rows with the same text and direction were booked as, as ``memory``."""
     keyed = _with_recall_keys(rows, direction)
-    plain = None if counted is None else _with_recall_keys(counted, direction)
     known = memory.select(F.col("text_key").alias("_text"), F.col("direction").alias("_way"), "memory")
-    return lookup(keyed, known, ["_text", "_way"], spread=_ROW, counted=plain).drop("_text", "_way")
+    return lookup(keyed, known, ["_text", "_way"], spread=_ROW).drop("_text", "_way")
 
 
 def mark_duplicates(rows: DataFrame, ledger: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
     """``status``: error, duplicate of a loaded id, or new. Repeats inside the import itself all count as new."""
-    loaded = loaded_ids(ledger).withColumn("_loaded", F.lit(True))
-    found = lookup(rows, loaded, "tx_id", spread=_ROW)
+    # Only unreadable lines share an id, the empty one; without it ids are unique and a plain join has no hot key.
+    loaded = loaded_ids(ledger).select(F.col("tx_id").alias("_id"), F.lit(True).alias("_loaded"))
+    found = rows.join(loaded, F.when(F.col("tx_id") != "", F.col("tx_id")) == F.col("_id"), "left").drop("_id")
     status = (
         F.when(F.col("error").isNotNull(), v.status_error)
         .when(F.col("_loaded"), v.status_duplicate)
@@ -137,7 +137,7 @@ def preview_bank(
     safe = safe.withColumns(label_only).select(
         *_ROW, "tx_id", "error", "tx_date", "direction", "amount", "account", *BANK_EXTRA
     )
-    known = recall(mark_duplicates(safe, ledger, v), memory, F.col("direction"), counted=safe)
+    known = recall(mark_duplicates(safe, ledger, v), memory, F.col("direction"))
     credit = F.col("direction") == v.credit
     fallback = F.when(credit, _pair(v.default_credit_pair)).otherwise(_pair(v.default_debit_pair))
     labelled = _label_choice(known, fallback, F.lit(False), v)
@@ -167,7 +167,7 @@ def preview_card(
         *_ROW, "tx_id", "error", "tx_date", "direction", "amount", "account", *CARD_EXTRA, "unparsed"
     )
     as_debit = F.when(good, F.lit(v.debit))
-    known = recall(mark_duplicates(safe, ledger, v), memory, as_debit, counted=safe)
+    known = recall(mark_duplicates(safe, ledger, v), memory, as_debit)
     collected = F.coalesce(F.col("card_type") == v.collection_type, F.lit(False))
     labelled = _label_choice(known, _pair(v.default_debit_pair), collected, v)
     shown = F.when(good, redact(F.col("description"))).otherwise(redact(F.col("unparsed")))
@@ -239,7 +239,7 @@ def nearest_charge(rows: DataFrame, group: list[str], order: str, v: Vocabulary
     )
     other = _nearest_day(any_days, text).where(F.col("amounts") > 0)
     other = other.select(*text, "day", "amounts", F.col("nearest").alias("any_amount"))
-    answers = lookup(same, other, [*text, "day"], spread=["amount"], weight="amounts")
+    answers = lookup(same, other, [*text, "day"], spread=["amount"])
     best = F.coalesce("same_amount", "any_amount")
     answers = answers.select(
         *amount,
@@ -251,7 +251,7 @@ def nearest_charge(rows: DataFrame, group: list[str], order: str, v: Vocabulary
         best["subcategory"].alias("charge_subcategory"),
         (F.col("in_doubt") & best.isNotNull()).alias("in_doubt"),
     )
-    found = lookup(keyed.where(is_credit), answers, [*amount, "day"], spread=[order], weight="credits")
+    found = lookup(keyed.where(is_credit), answers, [*amount, "day"], spread=[order])
     return found.drop("credits")
 
 
@@ -292,7 +292,7 @@ def apply_overrides(preview: DataFrame, overrides: DataFrame, v: Vocabulary = DE
         F.col("subcategory").alias("_subcategory"),
         F.col("merchant").alias("_merchant"),
     )
-    found = lookup(fresh, chosen, "tx_id", spread=_ROW)
+    found = fresh.join(chosen, "tx_id", "left")
 
     def pick(given: str, proposed: Column) -> Column:
         return strip(F.when(text_or_empty(F.col(given)) != "", F.col(given)).otherwise(proposed))
@@ -339,14 +339,14 @@ def commit(
 ) -> int:
     """Append the new rows of a staged preview to the ledger at ``path``; returns how many.
 
-    New ids continue after the highest one: the row's partition and place decide the order, gaps are allowed.
+    New ids continue after the highest one in the order of the files and of the rows in them; gaps are allowed.
     ``preview`` must be a written table, so that the check and the write see the same rows.
     """
     rows = apply_overrides(preview, overrides)
     if not unknown_pairs(rows, pairs).isEmpty():
         raise CheckFailed("unknown pair")
     top = ledger.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = new_rows(rows, ledger)
+    fresh = new_rows(rows, ledger).orderBy(*_ROW)
     before = ledger.count()
     append_ledger(to_ledger(fresh, kind, F.lit(top + 1) + F.monotonically_increasing_id()), path)
     spark = ledger.sparkSession

@@ -117,7 +117,7 @@ def leave_one_out_answers(corpus: DataFrame) -> DataFrame:
 def leave_one_out(corpus: DataFrame) -> DataFrame:
     """The corpus with ``memory``: for each row, what the *other* rows with its text and direction say."""
     answers = leave_one_out_answers(corpus)
-    found = lookup(corpus, answers, [*TEXT_KEY, *LABEL], spread=["src", "tx_id"], weight="label_n")
+    found = lookup(corpus, answers, [*TEXT_KEY, *LABEL], spread=["src", "tx_id"])
     return found.drop("label_n")
 
 

@@ -1,16 +1,15 @@
 """Nearest neighbours by cosine, proposals drawn from them, and the vector table they are read from.
 
-The search is exact and never forms all pairs:
+The search uses an index of fixed hyperplanes, and is approximate as such an index is:
 
 1. Equal vectors are one vector. It keeps its ``k + 1`` lowest point ids; no further copy can enter a top ``k``.
-2. Every vector joins the cell of its closest pivot; a cell has a radius. Unit vectors obey the triangle inequality, so
-   a cell whose pivot lies further from a query than the radius plus the best distance so far holds nothing better.
-3. A query first looks into its closest cells, which gives that best distance, then into the other cells that may
-   still hold something.
-4. A cell of any size is cut into blocks, and so are the queries that look into it. One task multiplies one block of
-   each and passes on ``k + 1`` vectors per query.
-
-``max_cells`` stops after the closest cells, as an approximate index does.
+2. A vector is in one bucket of each of ``tables`` tables, by the sides of ``bits`` hyperplanes that it lies on.
+3. A query is compared, exactly, with all vectors of its scope that share a bucket with it. Buckets of any size are cut
+   into blocks, and so are the queries that look into them; all blocks are compared, each by one matrix product in a
+   task of its own, which passes on ``k + 1`` vectors per query.
+
+With more ``bits`` buckets get smaller, so that the work for a query can be kept as the table grows; more ``tables``
+find again what that loses. ``nearest_exact`` compares every query with every vector of its scope, in quadratic time.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grootboek.checkpoints import checkpointed
 from grootboek.functions.ids import point_id
 from grootboek.functions.text import index_text, strip_iban, text_or_empty
 from grootboek.operators.classify import without_structural
@@ -33,11 +31,12 @@ from grootboek.vocabulary import DEFAULT, Vocabulary
 NEIGHBOURS = 5
 UNANIMOUS_MIN = 3
 BLOCK_ROWS = 4096
-MOST_CELLS = 4096
-SLACK = 1e-9
+TABLES, BITS = 12, 8
+#: Scores are equal when they agree to so many decimals; products of different blocks differ in the last ones.
+DECIMALS = 12
 
 _VECTOR = ["scope", "vector_key"]
-_HIT = "array<struct<score:double,vector_key:string,members:array<struct<point_id:string,payload:string>>>>"
+_HIT = "scope string, vector_key string, hit_key string, first_id string, score double"
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -46,9 +45,10 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _distances(units: np.ndarray, others: np.ndarray) -> np.ndarray:
-    squared = (units**2).sum(axis=1)[:, None] + (others**2).sum(axis=1)[None, :] - 2.0 * units @ others.T
-    return np.sqrt(np.maximum(squared, 0.0))
+def planes(tables: int, bits: int, size: int) -> np.ndarray:
+    """The normals of all hyperplanes, one a row, of ones and minus ones by a fixed rule."""
+    x = (np.arange(tables * bits, dtype=np.int64)[:, None] + 1) * 1009 + np.arange(size, dtype=np.int64) + 1
+    return np.where((31 * x**3 + 17 * x**2 + 7 * x) % 65521 < 32761, 1.0, -1.0)
 
 
 def _distinct_vectors(rows: DataFrame, id_column: str, scope: str | None, keep: int) -> DataFrame:
@@ -68,59 +68,17 @@ def _distinct_vectors(rows: DataFrame, id_column: str, scope: str | None, keep:
     )
 
 
-def _pivots(vectors: DataFrame, cells: int | None) -> np.ndarray:
-    """A fixed, spread choice of vectors; at most ``MOST_CELLS`` of them reach the driver."""
-    wanted = cells or int(np.clip(np.sqrt(vectors.count()) / 2, 1, MOST_CELLS))
-    chosen = vectors.orderBy(F.xxhash64("vector_key"), *_VECTOR).limit(min(wanted, MOST_CELLS)).select("vector")
-    return _unit(chosen.toPandas()["vector"])
-
-
-def _in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    @F.pandas_udf("struct<cell:int,gap:double>")
-    def closest(vector: pd.Series) -> pd.DataFrame:
-        gaps = _distances(_unit(vector), pivots)
-        return pd.DataFrame({"cell": gaps.argmin(axis=1), "gap": gaps.min(axis=1)})
-
-    return vectors.withColumn("_at", closest("vector")).select("*", "_at.cell", "_at.gap").drop("_at")
-
-
-def _cells_of(assigned: DataFrame) -> DataFrame:
-    """Per scope its cells with their sizes and radii: at most one entry per pivot."""
-    cells = assigned.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius"))
-    return cells.groupBy("scope").agg(F.collect_list(F.struct("cell", "size", "radius")).alias("cells"))
-
-
-def _probes(queries: DataFrame, pivots: np.ndarray, need: int, max_cells: int | None, first: bool) -> DataFrame:
-    """The cells each query looks into: the closest ones first, afterwards those the first answer cannot rule out."""
-
-    def first_cells(gaps: np.ndarray, cells: list) -> list[int]:
-        ranked = sorted(cells, key=lambda c: gaps[c["cell"]])
-        taken, seen = [], 0
-        for c in ranked:
-            if len(taken) == max_cells or (max_cells is None and seen >= need):
-                break
-            taken.append(int(c["cell"]))
-            seen += c["size"]
-        return taken
-
-    @F.pandas_udf("array<int>")
-    def start(vector: pd.Series, cells: pd.Series) -> pd.Series:
-        gaps = _distances(_unit(vector), pivots)
-        return pd.Series([first_cells(g, c) for g, c in zip(gaps, cells)])
+def _in_buckets(vectors: DataFrame, tables: int, bits: int) -> DataFrame:
+    """A row per vector and table, with the bucket as ``cell``."""
 
-    @F.pandas_udf("array<int>")
-    def rest(vector: pd.Series, cells: pd.Series, limit: pd.Series) -> pd.Series:
-        gaps = _distances(_unit(vector), pivots)
-        out = []
-        for g, c, best in zip(gaps, cells, limit):
-            done = set(first_cells(g, c))
-            out.append(
-                [int(x["cell"]) for x in c if x["cell"] not in done and g[x["cell"]] - x["radius"] <= best + SLACK]
-            )
-        return pd.Series(out)
+    @F.pandas_udf("array<long>")
+    def buckets(vector: pd.Series) -> pd.Series:
+        units = _unit(vector)
+        sides = (units @ planes(tables, bits, units.shape[1]).T > 0).reshape(len(units), tables, bits)
+        cells = sides @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+        return pd.Series(list(cells))
 
-    chosen = start("vector", "cells") if first else rest("vector", "cells", "best")
-    return queries.withColumn("cell", F.explode(chosen))
+    return vectors.withColumn("cell", F.explode(buckets("vector")))
 
 
 def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
@@ -131,7 +89,7 @@ def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
         sizes = rows.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias(size))
         return sizes.withColumn(count, F.ceil(F.col(size) / BLOCK_ROWS).cast("int"))
 
-    # One row per (scope, pivot): how many blocks of points and of queries meet there.
+    # One row per (scope, bucket): how many blocks of points and of queries meet there.
     shape = blocks(points, "points_n", "parts").join(blocks(probes, "probes_n", "groups"), ["scope", "cell"], "left")
 
     def place(count: str) -> Column:
@@ -141,41 +99,70 @@ def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     cell, spread = ["scope", "cell"], ["vector_key"]
-    left = lookup(probes, shape.fillna(0, ["probes_n"]), cell, spread=spread, weight="probes_n", how="inner")
+    left = lookup(probes, shape.fillna(0, ["probes_n"]), cell, spread=spread, how="inner")
     left = left.withColumn("group", place("groups")).withColumn("part", every("parts"))
-    right = lookup(points, shape, cell, spread=spread, weight="points_n").where(F.col("groups") > 0)
+    right = lookup(points, shape, cell, spread=spread).where(F.col("groups") > 0)
     right = right.withColumn("part", place("parts")).withColumn("group", every("groups"))
 
     def best(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or corpus.empty:
-            return pd.DataFrame({"scope": [], "vector_key": [], "hits": []})
-        scores = _unit(queries["vector"]) @ _unit(corpus["vector"]).T
-        keep = min(need, scores.shape[1])
-        keys, members = corpus["vector_key"].to_numpy(), corpus["members"].to_numpy()
-        hits = []
-        for row in scores:
-            edge = np.partition(row, -keep)[-keep]
-            candidates = np.flatnonzero(row >= edge)
-            order = sorted(candidates, key=lambda i: (-row[i], members[i][0]["point_id"]))[:keep]
-            hits.append(
-                [{"score": float(row[i]), "vector_key": keys[i], "members": list(members[i])} for i in order]
-            )
-        return pd.DataFrame({"scope": queries["scope"], "vector_key": queries["vector_key"], "hits": hits})
+            return pd.DataFrame({c: [] for c in ("scope", "vector_key", "hit_key", "first_id", "score")})
+        # In the order of ids, so that a stable sort by score puts lower ids first among equals.
+        corpus = corpus.sort_values("first_id")
+        scores = np.round(_unit(queries["vector"]) @ _unit(corpus["vector"]).T, DECIMALS)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :need]
+        asked, hits = np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
+        return pd.DataFrame(
+            {
+                "scope": queries["scope"].to_numpy()[asked],
+                "vector_key": queries["vector_key"].to_numpy()[asked],
+                "hit_key": corpus["vector_key"].to_numpy()[hits],
+                "first_id": corpus["first_id"].to_numpy()[hits],
+                "score": scores[asked, hits],
+            }
+        )
 
     pairs = (
         left.select(*block, "vector_key", "vector")
         .groupBy(*block)
-        .cogroup(right.select(*block, "vector_key", "vector", "members").groupBy(*block))
+        .cogroup(right.select(*block, "vector_key", "first_id", "vector").groupBy(*block))
+    )
+    return pairs.applyInPandas(best, _HIT)
+
+
+def _answers(found: DataFrame, vectors: DataFrame, need: int) -> DataFrame:
+    """The best vectors per query over all blocks it looked into, with their members: ``near``, best first."""
+    once = found.groupBy(*_VECTOR, "hit_key", "first_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(*_VECTOR).orderBy(F.desc("score"), "first_id")
+    best = once.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= need)
+    named = vectors.select(F.col("scope").alias("hit_scope"), F.col("vector_key").alias("hit"), "members")
+    same = (F.col("scope") == F.col("hit_scope")) & (F.col("hit_key") == F.col("hit"))
+    members = F.explode("members").alias("m")
+    flat = best.join(named, same).select(*_VECTOR, "score", members)
+    # Equal scores of different vectors interleave by id.
+    entry = F.struct((-F.col("score")).alias("far"), "m.point_id", "score", "m.payload")
+    near = F.transform(
+        F.array_sort(F.collect_list(entry)),
+        lambda e: F.struct(e["score"].alias("score"), e["point_id"].alias("point_id"), e["payload"].alias("payload")),
     )
-    return pairs.applyInPandas(best, f"scope string, vector_key string, hits {_HIT}")
+    return flat.groupBy(*_VECTOR).agg(near.alias("near"))
 
 
-def _merged(partial: DataFrame, need: int) -> DataFrame:
-    """The best vectors over all blocks a query looked into. The rank filter also applies before the shuffle."""
-    hits = partial.select(*_VECTOR, F.explode("hits").alias("hit"))
-    order = Window.partitionBy(*_VECTOR).orderBy(F.desc("hit.score"), F.col("hit.members")[0]["point_id"])
-    best = hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= need)
-    return best.groupBy(*_VECTOR).agg(F.array_sort(F.collect_list(F.struct("_rank", "hit"))).alias("ranked"))
+def _search(queries: DataFrame, points: DataFrame, k: int, scope: str | None, placed) -> DataFrame:
+    need = k + 1
+    vectors = _distinct_vectors(points, "point_id", scope, need)
+    keyed = queries.select(
+        "point_id",
+        (F.col(scope) if scope else F.lit("")).alias("scope"),
+        F.md5(F.col("embedding").cast("string").cast("binary")).alias("vector_key"),
+    )
+    asked = _distinct_vectors(queries, "point_id", scope, 1).select(*_VECTOR, "vector")
+    candidates = vectors.select(*_VECTOR, "vector", F.col("members")[0]["point_id"].alias("first_id"))
+    answers = _answers(_compare(placed(asked), placed(candidates), need), vectors, need)
+    joined = lookup(keyed, answers, _VECTOR, spread=["point_id"])
+    own = F.col("point_id").cast("string")
+    others = F.filter(F.coalesce("near", F.array()), lambda n: n["point_id"] != own)
+    return joined.select("point_id", F.slice(others, 1, k).alias("neighbours"))
 
 
 def nearest(
@@ -183,56 +170,24 @@ def nearest(
     points: DataFrame,
     k: int = NEIGHBOURS,
     scope: str | None = "direction",
-    cells: int | None = None,
-    max_cells: int | None = None,
+    tables: int = TABLES,
+    bits: int = BITS,
 ) -> DataFrame:
-    """The ``k`` most similar points of each query, within the same ``scope``, without the query itself.
+    """The ``k`` most similar points of each query among those that share a bucket with it, within the same ``scope``,
+    without the query itself.
 
     ``queries`` and ``points`` have ``point_id``, ``embedding``, the scope column if any, and ``points`` a ``payload``
     struct. The result is ``point_id`` and ``neighbours``, an array of ``score``, ``point_id`` and ``payload`` (JSON),
-    best first, lower ids first among equals.
+    best first, lower ids first among equals; fewer than ``k`` where fewer share a bucket.
     """
-    need = k + 1
-    vectors = checkpointed(_distinct_vectors(points, "point_id", scope, need))
-    pivots = _pivots(vectors, cells)
-    assigned = checkpointed(_in_cells(vectors, pivots))
+    return _search(queries, points, k, scope, lambda rows: _in_buckets(rows, tables, bits))
 
-    keyed = queries.select(
-        "point_id",
-        (F.col(scope) if scope else F.lit("")).alias("scope"),
-        F.md5(F.col("embedding").cast("string").cast("binary")).alias("vector_key"),
-    )
-    asked = _distinct_vectors(queries, "point_id", scope, 1).select(*_VECTOR, "vector")
-    asked = lookup(asked, _cells_of(assigned), "scope", spread=["vector_key"], counted=keyed, how="inner")
-    # The first answer also carries the limit for the second look; both are read several times.
-    found = checkpointed(_compare(_probes(asked, pivots, need, max_cells, first=True), assigned, need))
-    if max_cells is None:
-        so_far = _merged(found, need)
-        worst = F.when(F.size("ranked") >= need, F.element_at("ranked", -1)["hit"]["score"])
-        limit = so_far.select(*_VECTOR, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * worst)).alias("best"))
-        limited = asked.join(limit, _VECTOR, "left").withColumn("best", F.coalesce("best", F.lit(float("inf"))))
-        found = found.unionByName(_compare(_probes(limited, pivots, need, None, first=False), assigned, need))
-
-    flat = F.flatten(
-        F.transform(
-            "ranked",
-            lambda r: F.transform(
-                r["hit"]["members"],
-                lambda m: F.struct(
-                    r["hit"]["score"].alias("score"), m["point_id"].alias("point_id"), m["payload"].alias("payload")
-                ),
-            ),
-        )
-    )
-    # Equal scores of different vectors interleave by id, so the few members are sorted once more.
-    ordered = F.array_sort(
-        F.transform(flat, lambda n: F.struct((-n["score"]).alias("far"), n["point_id"].alias("point_id"), n.alias("n")))
-    )
-    answers = _merged(found, need).select(*_VECTOR, F.transform(ordered, lambda o: o["n"]).alias("_near"))
-    joined = lookup(keyed, answers, _VECTOR, spread=["point_id"])
-    own = F.col("point_id").cast("string")
-    others = F.filter(F.coalesce("_near", F.array()), lambda n: n["point_id"] != own)
-    return joined.select("point_id", F.slice(others, 1, k).alias("neighbours"))
+
+def nearest_exact(
+    queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, scope: str | None = "direction"
+) -> DataFrame:
+    """``nearest`` over all points of the scope: every block of queries is compared with every block of points."""
+    return _search(queries, points, k, scope, lambda rows: rows.withColumn("cell", F.lit(0)))
 
 
 def labelled(found: DataFrame) -> DataFrame:

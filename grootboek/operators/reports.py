@@ -95,10 +95,14 @@ def income_by_sub(rows: DataFrame) -> DataFrame:
 
 
 def _dense(sums: DataFrame, period: Period, key: str, values: list[str]) -> DataFrame:
-    """Every key in every month, zero where it has no rows. Grows with keys x months, never with rows."""
-    zeros = sums.select(key).distinct().withColumn("ym", F.explode(period.months()))
-    zeros = zeros.select("ym", key, *[F.lit(0).cast(MONEY).alias(c) for c in values])
-    return sums.unionByName(zeros).groupBy("ym", key).agg(*[F.sum(c).alias(c) for c in values])
+    """Every key in every month, zero where it has no rows. Grows with keys x months, never with rows.
+
+    ``sums`` has one row per key and month, so a key's months fit in a map, and the rows are read once.
+    """
+    by_month = F.map_from_entries(F.collect_list(F.struct("ym", F.struct(*values))))
+    keyed = sums.groupBy(key).agg(by_month.alias("_by")).withColumn("ym", F.explode(period.months()))
+    at = F.col("_by")[F.col("ym")]
+    return keyed.select("ym", key, *[F.coalesce(at[c], F.lit(0).cast(MONEY)).alias(c) for c in values])
 
 
 def monthly_stack(

@@ -31,7 +31,6 @@ from grootboek.skew import lookup
 from grootboek.vocabulary import DEFAULT, SAVING, UNCLASSIFIED, Vocabulary
 
 PAGE_SIZE = 20
-LAST_PAGE = 500
 LARGE_SAVING = 50
 QUEUES = (
     "twijfel",
@@ -69,11 +68,9 @@ def _split_rows(rows: DataFrame) -> DataFrame:
     """Rows whose exact text carries more than one label among these rows; a missing label counts as one."""
     keyed = rows.withColumn("_text", F.when(strip(F.col("description")) != "", strip(F.col("description"))))
     labels = keyed.where(F.col("_text").isNotNull()).groupBy("_text", "category", "subcategory")
-    per_text = labels.agg(F.count(F.lit(1)).alias("_n")).groupBy("_text")
-    split = per_text.agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_labels"))
-    split = split.withColumn("_split", F.col("_labels") > 1).select("_text", "_rows", "_split")
-    found = lookup(keyed, split, "_text", spread=_ROW, weight="_rows")
-    return found.where(F.col("_split")).drop("_text", "_rows", "_split")
+    split = labels.agg(F.lit(1).alias("_n")).groupBy("_text").agg((F.count("_n") > 1).alias("_split"))
+    found = lookup(keyed, split, "_text", spread=_ROW)
+    return found.where(F.col("_split")).drop("_text", "_split")
 
 
 def queue(
@@ -116,12 +113,26 @@ def queue(
     return search(rows, needle)
 
 
-def page(rows: DataFrame, number: int = 1, newest_source_first: bool = False) -> DataFrame:
-    """One page, newest month first, then source, then id descending. The split-text queue turns the sources around."""
-    number = max(1, min(number, LAST_PAGE))
+def page(
+    rows: DataFrame,
+    number: int = 1,
+    newest_source_first: bool = False,
+    after: tuple[int, str, str] | None = None,
+    size: int = PAGE_SIZE,
+) -> DataFrame:
+    """One page, newest month first, then source, then id descending. The split-text queue turns the sources around.
+
+    ``after`` is the (ym, src, tx_id) of the last row seen. With it a page deep in a queue is a filter and a top-``size``
+    instead of a sort of all rows before it; ``number`` then counts from there.
+    """
     src = F.desc("src") if newest_source_first else F.asc("src")
+    if after is not None:
+        ym, last_src, tx_id = after
+        later = F.col("src") < last_src if newest_source_first else F.col("src") > last_src
+        same_month = later | ((F.col("src") == last_src) & (F.col("tx_id") < tx_id))
+        rows = rows.where((F.col("ym") < ym) | ((F.col("ym") == ym) & same_month))
     ordered = rows.orderBy(F.desc("ym"), src, F.desc("tx_id"))
-    return ordered.offset((number - 1) * PAGE_SIZE).limit(PAGE_SIZE)
+    return ordered.offset((max(1, number) - 1) * size).limit(size)
 
 
 def queue_size(rows: DataFrame) -> DataFrame:
@@ -163,8 +174,8 @@ def with_suggestions(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     own = [f"own_{k}" for k in keys]
     keyed = with_memory_keys(rows)
     answers = leave_one_out_answers(corpus)
-    answers = answers.select(*[F.col(k).alias(f"own_{k}") for k in keys], "label_n", "memory")
-    found = lookup(keyed, answers, own, spread=_ROW, weight="label_n")
+    answers = answers.select(*[F.col(k).alias(f"own_{k}") for k in keys], "memory")
+    found = lookup(keyed, answers, own, spread=_ROW)
     suggest = F.struct(
         "memory.category",
         "memory.subcategory",
@@ -181,14 +192,12 @@ def flag(
     merchants: DataFrame,
     splits: DataFrame,
     neighbours_mixed: Column | None = None,
-    counted: DataFrame | None = None,
     v: Vocabulary = DEFAULT,
 ) -> DataFrame:
     """Doubt flags per row, the suggestion after the rules, and whether it may be applied in bulk.
 
     A shop booked as savings with a large credit loses its suggestion; with a small one it gets the shop's usual
-    label, as does a shop booked as other income. ``rows`` come from ``with_suggestions`` and ``present``; ``counted`` may
-    be the same rows before suggestions were attached, to count frequent keys from.
+    label, as does a shop booked as other income. ``rows`` come from ``with_suggestions`` and ``present``.
     """
     def with_keys(table: DataFrame) -> DataFrame:
         return table.withColumns(
@@ -198,11 +207,10 @@ def flag(
             }
         )
 
-    plain = with_keys(rows if counted is None else counted)
     stats = merchants.select(F.col("merchant_key").alias("_merchant"), "majority", "mixed")
-    keyed = lookup(with_keys(rows), stats, "_merchant", spread=_ROW, counted=plain)
+    keyed = lookup(with_keys(rows), stats, "_merchant", spread=_ROW)
     texts = splits.select(F.col("text_key").alias("_text"), F.lit(True).alias("_is_split"))
-    keyed = lookup(keyed, texts, "_text", spread=_ROW, counted=plain)
+    keyed = lookup(keyed, texts, "_text", spread=_ROW)
 
     suggest, majority = F.col("suggest"), F.col("majority")
     category, sub = text_or_empty(F.col("category")), text_or_empty(F.col("subcategory"))
@@ -272,4 +280,4 @@ def doubt_flags(ledger: DataFrame, bank: DataFrame, v: Vocabulary = DEFAULT) ->
     """Every reviewable row with its suggestion and flags."""
     plain = without_structural(ledger)
     rows = present(with_suggestions(plain, memory_corpus(ledger)))
-    return flag(rows, merchant_stats(bank, v), split_texts(ledger), counted=present(plain), v=v)
+    return flag(rows, merchant_stats(bank, v), split_texts(ledger), v=v)

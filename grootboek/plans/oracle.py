@@ -884,26 +884,44 @@ WHERE subcategory = 'furniture' AND category IN ('Huishouden', 'Wonen') GROUP BY
 )
 
 
-# Neighbours: every pair.
+# Neighbours: the pairs that share a bucket, by the same hyperplanes.
+_VECTORS = """
+WITH size AS (SELECT max(len(embedding)) AS dims FROM embeddings
+), planes AS (
+  SELECT i, [CASE WHEN (31 * x * x * x + 17 * x * x + 7 * x) % 65521 < 32761 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
+    FOR x IN range((i + 1) * 1009 + 1, (i + 1) * 1009 + 1 + dims)] AS plane
+  FROM range(32) r(i), size
+), buckets AS (
+  SELECT vec_id, any_value(label) AS label, i // 4 AS tab,
+    sum(CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), plane) > 0 THEN 1 << CAST(i % 4 AS INT) ELSE 0 END) AS bucket
+  FROM embeddings, planes GROUP BY vec_id, i // 4
+)
+"""
+
+
 def _near(name: str, same_scope: bool) -> str:
-    scope = "AND p.label % 2 = q.label % 2" if same_scope else ""
+    scope = "AND b.label % 2 = a.label % 2" if same_scope else ""
     return f"""
-{name} AS (
+{name}_pairs AS (
+  SELECT DISTINCT a.vec_id AS q_id, b.vec_id AS p_id FROM buckets a
+  JOIN buckets b ON b.tab = a.tab AND b.bucket = a.bucket AND b.vec_id <> a.vec_id {scope}
+), {name} AS (
   SELECT * FROM (
-    SELECT CAST(q.vec_id AS VARCHAR) AS point_id, q.label AS q_label, p.label,
+    SELECT CAST(q.vec_id AS VARCHAR) AS point_id, p.label,
       list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY
         list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, CAST(p.vec_id AS VARCHAR))
         AS place
-    FROM embeddings q JOIN embeddings p ON p.vec_id <> q.vec_id {scope}) WHERE place <= 5
+    FROM {name}_pairs JOIN embeddings q ON q.vec_id = q_id JOIN embeddings p ON p.vec_id = p_id) WHERE place <= 5
+), {name}_tops AS (
+  SELECT point_id, count(DISTINCT label) AS labels, count(*) AS n, arg_min(label, place) AS top FROM {name} GROUP BY point_id
 ), {name}_votes AS (
-  SELECT point_id, count(DISTINCT label) AS labels, count(*) AS n, arg_min(label, place) AS top, any_value(q_label) AS q_label
-  FROM {name} GROUP BY point_id
+  SELECT CAST(vec_id AS VARCHAR) AS point_id, label AS q_label, labels, n, top
+  FROM embeddings e LEFT JOIN {name}_tops t ON t.point_id = CAST(e.vec_id AS VARCHAR)
 )
 """
 
 
-_VECTORS = "WITH start AS (SELECT 1)"
 ORACLE["knn_top5"] = (
     f"{_VECTORS}, {_near('near', True)} SELECT point_id, place, concat('C', label % 5) AS category,"
     " round(score, 4) AS score FROM near"
@@ -914,9 +932,10 @@ ORACLE["knn_proposals"] = f"""
     ORDER BY n DESC, concat('C', label % 5), concat('s', label)) AS split
   FROM (SELECT point_id, label, count(*) AS n FROM near GROUP BY 1, 2) GROUP BY point_id
 )
-SELECT point_id, concat('C', top % 5) AS category, concat('s', top) AS subcategory,
-  CAST(labels = 1 AND n >= 3 AS BIGINT) AS unanimous, n AS neighbor_n, CAST(labels > 1 AS BIGINT) AS mixed, split
-FROM near_votes JOIN tallies USING (point_id)
+SELECT point_id, CASE WHEN n > 0 THEN concat('C', top % 5) END AS category, CASE WHEN n > 0 THEN concat('s', top) END AS subcategory,
+  CAST(labels = 1 AND n >= 3 AS BIGINT) AS unanimous, n AS neighbor_n, CAST(labels > 1 AS BIGINT) AS mixed,
+  coalesce(split, '') AS split
+FROM near_votes LEFT JOIN tallies USING (point_id)
 """
 ORACLE["knn_variants"] = f"""
 {_VECTORS}, {_near('near', True)}, {_near('wide', False)}, variants AS (

@@ -512,7 +512,7 @@ def relabel_counts(spark, sf_dir):
 
 def _neighbours(spark, sf_dir, scope="direction"):
     points = fx.points(spark, sf_dir)
-    return neighbours.labelled(neighbours.nearest(points, points, scope=scope))
+    return neighbours.labelled(neighbours.nearest(points, points, scope=scope, tables=8, bits=4))
 
 
 @query

@@ -1,13 +1,10 @@
 """Looking up one row per key when a single key may hold a third of all rows.
 
-Partial aggregation already keeps hot keys out of aggregates. A join that attaches the aggregate to the rows again
-has no such help: every row of a hot key would hash to one task, and adaptive skew handling does not apply because
-one side of the join is an aggregate, not a plain shuffle. ``lookup`` splits the work by key weight:
-
-* the ``HOT_KEYS`` heaviest keys are broadcast. Their number is fixed, so the broadcast size is bounded; whichever
-  keys are left each hold less than 1/``HOT_KEYS`` of the rows;
-* all other keys take an ordinary shuffle join on the key. Rows that were served by the broadcast, and rows without
-  a key, are spread by their own id instead, so they balance.
+Partial aggregation already keeps hot keys out of aggregates. A join that attaches the aggregate to the rows again has
+no such help: every row of a hot key would hash to one task, and adaptive skew handling does not apply where one side
+of the join is an aggregate rather than a plain shuffle. ``lookup`` joins on the key and a slot made from it. Neither
+side is distributed by both, so both are shuffled for the join alone, and adaptive execution can split a hot key.
+Rows without a key take their slot from their own id, so they spread.
 
 The result is the same as that of a plain join.
 """
@@ -21,80 +18,34 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 4096
-
-_SLOT, _HOT, _COLD = "_slot", "_hot_value", "_cold_value"
+_SLOT, _DIM_SLOT, _VALUE = "_slot", "_dim_slot", "_value"
 
 
 def _all(conditions: list[Column]) -> Column:
     return reduce(and_, conditions)
 
 
-def _renamed(columns: Sequence[str], mark: str) -> list[Column]:
-    return [F.col(c).alias(f"_{mark}_{c}") for c in columns]
-
-
-def _heaviest(counted: DataFrame, dim: DataFrame, keys: list[str], weight: str | None, hot_keys: int) -> DataFrame:
-    """The hot keys with their dimension row, or NULL where the dimension has none."""
-    if weight is not None:
-        return dim.orderBy(F.desc(weight), *keys).limit(hot_keys)
-    present = counted.where(_all([F.col(k).isNotNull() for k in keys]))
-    top = (
-        present.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(hot_keys)
-        .select(*keys)
-    )
-    known = dim.join(F.broadcast(top), keys, "left_semi")
-    return top.join(F.broadcast(known), keys, "left")
-
-
 def lookup(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: str | Sequence[str],
-    spread: Sequence[str],
-    weight: str | None = None,
-    counted: DataFrame | None = None,
-    how: str = "left",
-    hot_keys: int = HOT_KEYS,
+    facts: DataFrame, dim: DataFrame, on: str | Sequence[str], spread: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """``facts`` with the columns of ``dim``, which has one row per key.
 
-    ``spread`` names columns that identify a row of ``facts``. ``weight`` is a column of ``dim`` that holds the number
-    of fact rows of a key; give it only if every key of ``facts`` is in ``dim``. Without it the heavy keys are counted:
-    from ``counted`` where an earlier, cheaper form of the rows has the keys already, else from ``facts``. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
+    ``spread`` names columns that identify a row of ``facts``. ``how`` is ``left``, ``inner``, ``left_semi`` or
+    ``left_anti``. A null key finds nothing.
     """
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join kind {how!r}")
     keys = [on] if isinstance(on, str) else list(on)
     payload = [c for c in dim.columns if c not in keys]
-    value = F.struct(F.lit(True).alias("_found"), *payload)
-
-    shaped = dim.select(*keys, *([weight] if weight else []), value.alias("_value"))
-    hot = _heaviest(facts if counted is None else counted, shaped, keys, weight, hot_keys)
-    hot = hot.select(*_renamed(keys, "hot"), F.col("_value").alias(_HOT))
-    served = facts.join(F.broadcast(hot), _all([F.col(k) == F.col(f"_hot_{k}") for k in keys]), "left")
-
-    to_shuffle = F.col(f"_hot_{keys[0]}").isNull() & _all([F.col(k).isNotNull() for k in keys])
-    slot = F.when(to_shuffle, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread))
-    routed = served.select(
-        *facts.columns,
-        _HOT,
-        slot.alias(_SLOT),
-        *[F.when(to_shuffle, F.col(k)).alias(f"_key_{k}") for k in keys],
+    has_key = _all([F.col(k).isNotNull() for k in keys])
+    slotted = facts.withColumn(_SLOT, F.when(has_key, F.xxhash64(*keys)).otherwise(F.xxhash64(*spread)))
+    known = dim.select(
+        F.xxhash64(*keys).alias(_DIM_SLOT),
+        *[F.col(k).alias(f"_dim_{k}") for k in keys],
+        F.struct(F.lit(True).alias("_found"), *payload).alias(_VALUE),
     )
-    cold = shaped.select(F.xxhash64(*keys).alias("_dim_slot"), *_renamed(keys, "dim"), F.col("_value").alias(_COLD))
-    match = [F.col(_SLOT) == F.col("_dim_slot")]
-    match += [F.col(f"_key_{k}") == F.col(f"_dim_{k}") for k in keys]
-    joined = routed.join(cold, _all(match), "left")
-
-    found = F.coalesce(_HOT, _COLD)
-    if how == "left_semi":
-        return joined.where(found.isNotNull()).select(*facts.columns)
-    if how == "left_anti":
-        return joined.where(found.isNull()).select(*facts.columns)
-    if how == "inner":
-        joined = joined.where(found.isNotNull())
-    elif how != "left":
-        raise ValueError(f"unsupported join kind {how!r}")
-    return joined.select(*facts.columns, *[found[c].alias(c) for c in payload])
+    match = [F.col(_SLOT) == F.col(_DIM_SLOT), *[F.col(k) == F.col(f"_dim_{k}") for k in keys]]
+    joined = slotted.join(known, _all(match), how)
+    if how in ("left_semi", "left_anti"):
+        return joined.select(*facts.columns)
+    return joined.select(*facts.columns, *[F.col(_VALUE)[c].alias(c) for c in payload])
