@@ -19,7 +19,7 @@ PAD = "\x02"
 UNIT = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Characters that a task works on at once, and n-grams that it gathers before it passes them on.
-SLICE, GATHER = 1 << 20, 1 << 21
+SLICE, GATHER = 1 << 18, 1 << 19
 
 
 def _slices(texts: list) -> Iterator[range]:
