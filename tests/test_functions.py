@@ -15,10 +15,10 @@ T = "t"
 @pytest.mark.parametrize(
     "raw, value",
     [
-        ("1.234,56", "1234.56"),
-        ("+ 12,50", "12.50"),
-        ("-1,00", "-1.00"),
-        ("12.5", "12.50"),
+        ("7.905,18", "7905.18"),
+        ("+ 68,35", "68.35"),
+        ("-4,40", "-4.40"),
+        ("31.8", "31.80"),
         ("", None),
         ("abc", None),
         (None, None),
@@ -28,15 +28,15 @@ def test_amounts(one, raw, value):
     assert one(raw, money.parse_amount(F.col(T))) == (Decimal(value) if value else None)
 
 
-@pytest.mark.parametrize("raw, token", [("1101.57", "1101.57"), ("12.00", "12"), ("-12.50", "-12.5"), ("0.00", "0"), ("-0.00", "0"), ("100.00", "100")])
+@pytest.mark.parametrize("raw, token", [("2318.47", "2318.47"), ("73.00", "73"), ("-68.30", "-68.3"), ("0.00", "0"), ("-0.00", "0"), ("500.00", "500")])
 def test_hash_token(one, raw, token):
     assert one(raw, money.hash_token(F.col(T).cast("decimal(18,2)"))) == token
 
 
 def test_ids(one):
-    cells = ("20240115", "AH TO GO", None, "12.34")
+    cells = ("20230704", "Fietsenmaker", None, "68.35")
     got = one("x", ids.bank_tx_id(*[F.lit(c).cast("string") for c in cells]))
-    assert got == hashlib.md5(b"20240115AH TO GO12.34").hexdigest()
+    assert got == hashlib.md5(b"20230704Fietsenmaker68.35").hexdigest()
     assert one("abc", ids.point_id(F.lit("bank"), F.col(T), "shop")) == str(uuid.uuid5(uuid.NAMESPACE_URL, "shop:bank:abc"))
     assert one("A" * 32, ids.valid_tx_id(F.col(T))) == "a" * 32
     assert one("nope", ids.valid_tx_id(F.col(T))) is None
@@ -45,8 +45,8 @@ def test_ids(one):
 
 
 def test_masking(one):
-    assert one("AH NL00XXXX0123456789 extra 12345678 rest", text.strip_iban(F.col(T))) == "AH … extra … rest"
-    assert one("xNL00XXXX0123456789", text.strip_iban(F.col(T))) == "xNL00XXXX…"
+    assert one("Pomp NL77TEST0444555666 bij 55512399 thuis", text.strip_iban(F.col(T))) == "Pomp … bij … thuis"
+    assert one("kNL77TEST0444555666", text.strip_iban(F.col(T))) == "kNL77TEST…"
     assert one("  a\t b c ", text.strip_iban(F.col(T))) == "a b c"
     assert one("kaart ١٢٣٤٥٦٧٨", text.strip_iban(F.col(T))) == "kaart …"
     assert one(None, text.strip_iban(F.col(T))) == ""
@@ -54,37 +54,37 @@ def test_masking(one):
 
 
 def test_keys(one):
-    assert one("AH-TO/GO, Extra", text.normalize(F.col(T))) == "ahtogo extra"
+    assert one("Kaas-en/Wijn, Hoek", text.normalize(F.col(T))) == "kaasenwijn hoek"
     assert one("Straße - Σας", text.normalize(F.col(T))) == "strasse σασ"
-    assert one("  Lidl ", text.merchant_key(F.col(T))) == "lidl"
+    assert one("  Lidl ", text.merchant_key(F.col(T))) == "bakfiets"
 
 
 def test_redact(one):
-    assert one("Betaling NL12ABNA0123456789 extra", text.redact(F.col(T))) == "Betaling … extra"
+    assert one("Huur NL41PROF0777888999 mei", text.redact(F.col(T))) == "Huur … mei"
     assert one("y" * 80, text.redact(F.col(T))) == "y" * 80
     assert one("y" * 81, text.redact(F.col(T))) == "y" * 79 + "…"
     assert one(None, text.redact(F.col(T))) == ""
 
 
 def test_anonymise(one):
-    rules = text.AnonymiseRules("Voorbeeldnaam", {"NL00BANK0123456789": "Rekening A", "NL00 BANK 0987654321": "Rekening B"})
-    got = one("Van nl00 BANK 0123 4567 89 VOORBEELDNAAM en NL00BANK0987654321", text.anonymise(F.col(T), rules))
+    rules = text.AnonymiseRules("Voorbeeldnaam", {"NL77TEST0444555666": "Rekening A", "NL41 PROF 0777888999": "Rekening B"})
+    got = one("Van nl77 TEST 0444 5556 66 VOORBEELDNAAM en NL41PROF0777888999", text.anonymise(F.col(T), rules))
     assert got == "Van Rekening A <geanonimiseerd> en Rekening B"
 
 
 def test_labels_and_secrets(one):
     assert one("Rekening A", text.is_account_label(F.col(T))) and not one("Rekening ", text.is_account_label(F.col(T)))
-    assert one("nl00 bank 0123456789", text.looks_secret(F.col(T))) and not one("spaarrekening", text.looks_secret(F.col(T)))
+    assert one("nl77 test 0444555666", text.looks_secret(F.col(T))) and not one("spaarrekening", text.looks_secret(F.col(T)))
     for name in ("persoon", "spaarrekening", "ING", "ING Bank N.V.", ""):
         assert one(name, text.is_denied_merchant(F.col(T)))
-    for name in ("Oranje Spaarrekening", "Albert Heijn"):
+    for name in ("Oranje Spaarrekening", "Fietsenmaker"):
         assert not one(name, text.is_denied_merchant(F.col(T)))
-    assert text.search_needle("  Amazon%_  ") == "Amazon" and text.search_needle(None) == ""
+    assert text.search_needle("  Bakfiets%_  ") == "Bakfiets" and text.search_needle(None) == ""
 
 
 def test_dates(one):
-    assert one("20240115", dates.bank_date(F.col(T))) == date(2024, 1, 15)
-    assert one("31-02-2025", dates.card_date(F.col(T))) is None
+    assert one("20230704", dates.bank_date(F.col(T))) == date(2023, 7, 4)
+    assert one("30-02-2024", dates.card_date(F.col(T))) is None
 
 
 def test_periods():

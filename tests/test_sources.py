@@ -16,17 +16,17 @@ def _write(folder, name, content):
 
 def test_bank_csv(spark, tmp_path):
     paths = [
-        _write(tmp_path, "a.csv", "﻿" + HEADER + "\n20240115;AH TO GO;NL00BANK0123456789;;GT;Af;-12,50;x;statiegeld;100,00\n;;;;;;;;;\n"),
-        _write(tmp_path, "b.csv", HEADER.replace(";", ",") + '\n20240116,"De ""Bar"", hoek",R,,GT,Bij,"1.000,00",x,"twee\nregels",\n20241332,X,R,,GT,Af,"1,00",x,m,"1,00"\n'),
+        _write(tmp_path, "a.csv", "﻿" + HEADER + "\n20230704;Fietsenmaker De Spaak;NL77TEST0444555666;;BA;Af;-68,35;pin;binnenband;412,90\n;;;;;;;;;\n"),
+        _write(tmp_path, "b.csv", HEADER.replace(";", ",") + '\n20230711,"Atelier ""Noord"", kade",R,,OV,Bij,"2.450,00",x,"terug\nvan borg",\n20231545,Kiosk,R,,BA,Af,"1,00",x,m,"1,00"\n'),
     ]
     rows = {r.raw_date: r for r in parse_bank_rows(read_bank_csv(spark, paths)).collect()}
     assert len(rows) == 3
-    first = rows["20240115"]
-    assert (str(first.amount), first.error, first.direction) == ("12.50", None, "Af")
-    second = rows["20240116"]
-    assert second.raw_description == 'De "Bar", hoek' and second.raw_memo == "twee\nregels"
-    assert str(second.amount) == "1000.00" and str(second.balance_after) == "0.00"
-    assert rows["20241332"].error == "date" and len(rows["20241332"].tx_id) == 32
+    first = rows["20230704"]
+    assert (str(first.amount), first.error, first.direction) == ("68.35", None, "Af")
+    second = rows["20230711"]
+    assert second.raw_description == 'Atelier "Noord", kade' and second.raw_memo == "terug\nvan borg"
+    assert str(second.amount) == "2450.00" and str(second.balance_after) == "0.00"
+    assert rows["20231545"].error == "date" and len(rows["20231545"].tx_id) == 32
 
 
 def test_csv_without_columns(spark, tmp_path):
@@ -36,16 +36,16 @@ def test_csv_without_columns(spark, tmp_path):
 
 
 STATEMENT = """noise
-01-06-2025 SHOP AMSTERDAM Betaling - 12,50
-02-06-2025 SHOP AMSTERDAM Credit + 12,50
-04-06-2025 Incasso BUREAU Kosten - 1,50
-03-06-2025 SHOP AMSTERDAM
-
-Credit + 9,00
-Credit + 8,00
-05-06-2025 MAANDINCASSO Incasso +1.101,57
-09-06-2025 DIT IS GEEN TRANSACTIE
-31-02-2025 SHOP Betaling - 1,00
+14-10-2023 TUINWERELD BREDA Betaling - 73,45
+16-10-2023 TUINWERELD BREDA Credit + 73,45
+18-10-2023 Incasso LOKET Kosten - 2,75
+20-10-2023 TUINWERELD BREDA
+
+Credit + 6,10
+Credit + 5,20
+22-10-2023 AFSCHRIJVING OKTOBER Incasso +2.318,40
+27-10-2023 ZOMAAR EEN REGEL
+30-02-2024 KIOSK Betaling - 3,00
 """
 
 
@@ -54,20 +54,20 @@ def test_card_lines(spark, tmp_path):
     parsed = card_text.parse_card_lines(card_text.stitch_lines(lines)).orderBy("pos").collect()
     got = [(r.raw_description, r.card_type, str(r.signed), r.token, r.direction) for r in parsed if r.error is None]
     assert got == [
-        ("SHOP AMSTERDAM", "Betaling", "-12.50", "-12.5", "Af"),
-        ("SHOP AMSTERDAM", "Credit", "12.50", "12.5", "Bij"),
+        ("TUINWERELD BREDA", "Betaling", "-73.45", "-73.45", "Af"),
+        ("TUINWERELD BREDA", "Credit", "73.45", "73.45", "Bij"),
         # The first known word names the type; the tail of a costs line stays.
-        ("Incasso BUREAU Kosten - 1,50", "Incasso", "-1.50", "-1.5", "Bij"),
-        ("SHOP AMSTERDAM", "Credit", "9.00", "9", "Bij"),
-        ("MAANDINCASSO", "Incasso", "1101.57", "1101.57", "Bij"),
+        ("Incasso LOKET Kosten - 2,75", "Incasso", "-2.75", "-2.75", "Bij"),
+        ("TUINWERELD BREDA", "Credit", "6.10", "6.1", "Bij"),
+        ("AFSCHRIJVING OKTOBER", "Incasso", "2318.40", "2318.4", "Bij"),
     ]
-    assert [r.line for r in parsed if r.error] == ["09-06-2025 DIT IS GEEN TRANSACTIE", "31-02-2025 SHOP Betaling - 1,00"]
+    assert [r.line for r in parsed if r.error] == ["27-10-2023 ZOMAAR EEN REGEL", "30-02-2024 KIOSK Betaling - 3,00"]
 
 
 def test_lines_meet_across_blocks(spark):
-    rows = [("f", 0, 0, "03-06-2025 SHOP"), ("f", 10, 1, " "), ("f", 20, 2, "Credit + 9,00"), ("g", 0, 3, "Credit + 1,00")]
+    rows = [("f", 0, 0, "20-10-2023 TUINWERELD"), ("f", 10, 1, " "), ("f", 20, 2, "Credit + 6,10"), ("g", 0, 3, "Credit + 2,00")]
     lines = spark.createDataFrame(rows, "file string, block bigint, seq bigint, line string")
-    assert [r.line for r in card_text.stitch_lines(lines).collect()] == ["03-06-2025 SHOP Credit + 9,00"]
+    assert [r.line for r in card_text.stitch_lines(lines).collect()] == ["20-10-2023 TUINWERELD Credit + 6,10"]
 
 
 def test_copy_table(spark, tmp_path):
