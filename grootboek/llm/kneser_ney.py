@@ -165,9 +165,9 @@ class Model:
 
         From order 1 up, n-grams meet their counts, their contexts and the next lower order in joins on the n-gram.
         """
-        need = {self.order: wanted.select("g").distinct()}
+        need = {self.order: stored(wanted.select("g").distinct(), "wanted")}
         for k in range(self.order - 1, 0, -1):
-            need[k] = need[k + 1].select(F.expr("substring(g, 2)").alias("g")).distinct()
+            need[k] = stored(need[k + 1].select(F.expr("substring(g, 2)").alias("g")).distinct(), "wanted")
         lower = None
         for k in range(1, self.order + 1):
             counts = self.grams.filter(F.col("k") == k).select("g", "n")
@@ -182,7 +182,8 @@ class Model:
             own = F.greatest(F.lit(0.0), F.col("n") - self._discount(k)) / F.col("total")
             p = F.coalesce(own, F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("lower")
             name = "g" if k == self.order else "suffix"
-            lower = rows.select(F.col("g").alias(name), p.alias("p" if k == self.order else "lower"))
+            # Stored order by order: each plan stays small, which the driver's memory needs.
+            lower = stored(rows.select(F.col("g").alias(name), p.alias("p" if k == self.order else "lower")), "order")
         return lower
 
 
@@ -261,7 +262,7 @@ def score(documents: DataFrame, model: Model | None, head: int = 1 << 18) -> Dat
     tail = rows.filter("g is not null")
     totals = rows.filter("g is null").select("doc_id", "lang", F.col("n").alias("chars"), "log_micro")
     if model:
-        known = stored(model.probabilities(tail), "tail").select("g", _micro(F.col("p")).alias("m"))
+        known = model.probabilities(tail).select("g", _micro(F.col("p")).alias("m"))
         more = tail.join(known, "g").select(
             "doc_id", F.lit(None).cast("string").alias("lang"), F.lit(0).alias("chars"), (F.col("n") * F.col("m")).alias("log_micro")
         )
