@@ -14,6 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A task works through its texts in pieces of so many rows, or fewer rows if they hold so many bytes.
 PIECE_ROWS, PIECE_BYTES = 512, 8 << 20
+#: How Spark passes rows to tasks' Python, where the session does not say: by default, 10,000 rows at once may hold any
+#: number of bytes.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +53,22 @@ def small(df: DataFrame, n: int, most: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if n <= most else df
 
 
-def _pieces(batch: pa.RecordBatch, at: int, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    if batch.num_rows <= 1 or (batch.num_rows <= rows and batch.column(at).nbytes <= size):
+def _pieces(batch: pa.RecordBatch, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows <= 1 or (batch.num_rows <= rows and batch.nbytes <= size):
         if batch.num_rows:
             yield batch
         return
     half = batch.num_rows // 2
-    yield from _pieces(batch.slice(0, half), at, rows, size)
-    yield from _pieces(batch.slice(half), at, rows, size)
+    yield from _pieces(batch.slice(0, half), rows, size)
+    yield from _pieces(batch.slice(half), rows, size)
+
+
+def _in_batches(df: DataFrame) -> DataFrame:
+    conf = df.sparkSession.conf
+    for key, value in BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
 
 
 def map_texts(
@@ -70,14 +84,14 @@ def map_texts(
     values per field. Rows stay where they are: no shuffle.
     """
     more = T._parse_datatype_string(fields) if isinstance(fields, str) else fields
-    source = df.select(*keep, F.col(text).alias("_text"))
+    source = _in_batches(df).select(*keep, F.col(text).alias("_text"))
     schema = T.StructType([*(source.schema[c] for c in keep), *more.fields])
     arrow, n = to_arrow_schema(schema), len(keep)
 
     def run(batches):
         work = start()
         for batch in batches:
-            for part in _pieces(batch, n):
+            for part in _pieces(batch):
                 new = work(part.column(n).to_pylist())
                 made = [pa.array(v, arrow.field(n + i).type) for i, v in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *made], schema=arrow)
@@ -90,24 +104,23 @@ def explode_texts(
     columns: list[str],
     fields: str | T.StructType,
     start: Callable[[], Callable[[list[list]], list]],
-    text: int = -1,
     piece_rows: int = PIECE_ROWS,
     piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """Rows of ``fields`` made from pieces of ``df``: the function maps the columns' value lists to columns of the
-    result, of any length. ``text`` is the place of the column whose size bounds a piece."""
+    result, of any length. A piece has up to ``piece_rows`` rows and, if it has several, ``piece_bytes`` bytes."""
     schema = T._parse_datatype_string(fields) if isinstance(fields, str) else fields
-    arrow, at = to_arrow_schema(schema), text % len(columns)
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         work = start()
         for batch in batches:
-            for part in _pieces(batch, at, piece_rows, piece_bytes):
+            for part in _pieces(batch, piece_rows, piece_bytes):
                 made = work([c.to_pylist() for c in part.columns])
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return _in_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 class Recent:

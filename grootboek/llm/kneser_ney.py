@@ -296,7 +296,7 @@ def _packed(scored: DataFrame, order: int) -> DataFrame:
 
         return work
 
-    return explode_texts(scored, ["g", "m"], "keys binary, values binary", start, text=0, piece_rows=1 << 16)
+    return explode_texts(scored, ["g", "m"], "keys binary, values binary", start, piece_rows=1 << 16)
 
 
 def _scored(find, order: int, ids: list, langs: list, texts: list) -> pa.RecordBatch:

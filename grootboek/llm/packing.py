@@ -48,7 +48,7 @@ def pieces(documents: DataFrame, tokenizer: str, size: int, end: int) -> DataFra
 
         return work
 
-    return explode_texts(source, ["doc_id", "text", "part"], PIECES, start, text=1)
+    return explode_texts(source, ["doc_id", "text", "part"], PIECES, start)
 
 
 class _Open:

@@ -227,7 +227,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     columns = ["type", "target", "digest", "refers_to", "block", "broken"]
     fields = "page string, type string, digest string, refers_to string, payload binary, error string"
-    return explode_texts(single.unionByName(several), columns, fields, finish, text=4)
+    return explode_texts(single.unionByName(several), columns, fields, finish)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
