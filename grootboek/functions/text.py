@@ -5,6 +5,7 @@ Everything here is a native Spark expression. ``(?U)`` makes ``\\b``, ``\\d`` an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -127,6 +128,10 @@ def is_denied_merchant(c: Column, vocabulary: Vocabulary = DEFAULT) -> Column:
     )
 
 
+# What a rule may hold: a country, two check digits and ten to thirty letters or digits become an account's label.
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}")
+
+
 @dataclass(frozen=True)
 class AnonymiseRules:
     """Known accounts and a surname to replace. Small driver-side configuration, never data."""
@@ -134,6 +139,15 @@ class AnonymiseRules:
     surname: str = ""
     iban_labels: Mapping[str, str] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        """Refuse a key that is no account number and a label that could itself name a person."""
+        for iban, label in self.iban_labels.items():
+            if not _IBAN.fullmatch("".join(iban.split()).upper()):
+                raise ValueError("a key is not an account number")
+            name = label.strip()
+            if not name.startswith(DEFAULT.account_prefix) or name == DEFAULT.account_prefix.strip():
+                raise ValueError("a label is not an account label")
+
     def ordered(self) -> list[tuple[str, str]]:
         compact = [("".join(iban.split()).upper(), label) for iban, label in self.iban_labels.items()]
         return sorted(compact, key=lambda pair: len(pair[0]), reverse=True)

@@ -194,6 +194,28 @@ def relabel_counts(table: DataFrame, from_category: str, to_category: str, subca
     return pair.groupBy("src", "category", "subcategory").agg(F.count(F.lit(1)).alias("n"))
 
 
+def move(
+    tables: dict[str, DataFrame], from_category: str, to_category: str, subcategory: str
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The named tables (ledgers, suggestions) after a move, and the counts of either side before and after it, by
+    ``table_name`` and ``moment``. ``check_moved`` says whether it is complete."""
+    moved = {name: relabel(df, from_category, to_category, subcategory) for name, df in tables.items()}
+    counts = None
+    for moment, of in (("before", tables), ("after", moved)):
+        for name, df in of.items():
+            part = relabel_counts(df, from_category, to_category, subcategory)
+            part = part.withColumns({"table_name": F.lit(name), "moment": F.lit(moment)})
+            counts = part if counts is None else counts.unionByName(part)
+    return moved, counts
+
+
+def check_moved(tables: dict[str, DataFrame], from_category: str, subcategory: str) -> None:
+    """Refuse tables in which rows still carry the old pair."""
+    for name, df in tables.items():
+        if not left_behind(df, from_category, subcategory).isEmpty():
+            raise MoveRefused(f"rows left behind in {name}")
+
+
 def left_behind(table: DataFrame, from_category: str, subcategory: str) -> DataFrame:
     """Rows still carrying the old pair; empty after a complete move."""
     return table.where((F.col("category") == from_category) & (F.col("subcategory") == subcategory))

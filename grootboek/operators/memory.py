@@ -243,12 +243,27 @@ def confusion(rows: DataFrame, proposal: str, limit: int = CONFUSION_LIMIT) -> D
     )
 
 
-def compare_variants(rows: DataFrame, variants: dict[str, Column]) -> DataFrame:
-    """One ``tally`` row per named variant, in one pass: each row is judged under every variant."""
+def _judged(rows: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """Each row under every variant, read once."""
     judged = F.array(
         *[F.struct(F.lit(name).alias("variant"), hit.alias("proposal")) for name, hit in variants.items()]
     )
-    exploded = rows.select(*LABEL, F.explode(judged).alias("v"))
-    return tally(exploded.select(*LABEL, "v.variant", "v.proposal"), "proposal", "variant")
+    return rows.select(*LABEL, F.explode(judged).alias("v")).select(*LABEL, "v.variant", "v.proposal")
+
+
+def compare_variants(rows: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """One ``tally`` row per named variant, in one pass."""
+    return tally(_judged(rows, variants), "proposal", "variant")
+
+
+def confusion_by_variant(rows: DataFrame, variants: dict[str, Column], limit: int = CONFUSION_LIMIT) -> DataFrame:
+    """``confusion`` of every named variant, in one pass, with the ``place`` in its list."""
+    pairs = _judged(rows, variants).select(
+        "variant", F.col("category").alias("gold"), F.col("proposal.category").alias("suggested")
+    )
+    counts = pairs.where(F.col("gold") != F.col("suggested")).groupBy("variant", "gold", "suggested")
+    listed = counts.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONFUSION_MIN_ROWS)
+    order = Window.partitionBy("variant").orderBy(F.desc("n"), "gold", "suggested")
+    return listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 

@@ -441,11 +441,7 @@ _add(
     " GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, gold, suggested LIMIT 8",
     _CORPUS,
 )
-_add(
-    "matcher_variants",
-    _tally("variants", by="variant"),
-    _CORPUS,
-    """
+_VARIANTS = """
 stored AS (
   SELECT *, coalesce(m_category, category) AS s_category, coalesce(m_sub, subcategory) AS s_sub FROM loo
 ), usable AS (
@@ -460,7 +456,18 @@ stored AS (
     CASE WHEN m_n IS NOT NULL THEN m_category WHEN complete AND m_unanimous THEN s_category END,
     CASE WHEN m_n IS NOT NULL THEN m_sub WHEN complete AND m_unanimous THEN s_sub END FROM usable
 )
+"""
+_add("matcher_variants", _tally("variants", by="variant"), _CORPUS, _VARIANTS)
+_add(
+    "confusion_by_variant",
+    """
+SELECT * FROM (
+  SELECT variant, category AS gold, p_category AS suggested, count(*) AS n,
+    row_number() OVER (PARTITION BY variant ORDER BY count(*) DESC, category, p_category) AS place
+  FROM variants WHERE p_category <> category GROUP BY variant, category, p_category HAVING count(*) >= 2) WHERE place <= 8
 """,
+    _CORPUS,
+    _VARIANTS,
 )
 
 # Import.
@@ -711,7 +718,11 @@ _add(
 
 
 # Review.
+_QUEUES: dict[str, str] = {}
+
+
 def _queue(name: str, where: str, *ctes: str) -> None:
+    _QUEUES[{"doubt": "twijfel", "search": "zoek"}.get(name[6:], name[6:])] = where
     _add(
         name,
         f"SELECT src, tx_id, ym, category, subcategory, flow_kind FROM review s WHERE {_WHOLE} AND {where}",
@@ -739,6 +750,21 @@ _queue(
     f"trim(description) IN (SELECT trim(description) FROM review WHERE {_WHOLE} GROUP BY 1"
     " HAVING count(DISTINCT (coalesce(category, chr(1)), coalesce(subcategory, chr(1)))) > 1)",
 )
+_add(
+    "split_text_page",
+    f"""
+SELECT src, tx_id, ym, place - 20 AS place FROM (
+  SELECT src, tx_id, ym, row_number() OVER (ORDER BY ym DESC, src DESC, tx_id DESC) AS place
+  FROM review WHERE {_WHOLE} AND {_QUEUES['split_text']}) WHERE place BETWEEN 21 AND 40
+""",
+)
+_add(
+    "queue_totals",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS queue, count(*) AS n FROM review s WHERE {_WHOLE} AND {where}" for name, where in _QUEUES.items()
+    ),
+    _CORPUS,
+)
 _add(
     "review_page",
     f"""
@@ -844,7 +870,7 @@ _add(
 )
 _add(
     "bulk_corrections",
-    "SELECT count(*) FILTER (reason IS NULL) AS saved, count(*) FILTER (reason IS NOT NULL) AS skipped FROM verdicts",
+    "SELECT seq, src, tx_id, reason FROM verdicts",
     _CORPUS,
     _MERCHANTS,
     _SPLITS,

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,8 +272,16 @@ def confusion_pairs(spark, sf_dir):
 
 @query
 def matcher_variants(spark, sf_dir):
+    return memory.compare_variants(_with_memory(spark, sf_dir), _variants())
+
+
+@query
+def confusion_by_variant(spark, sf_dir):
+    return memory.confusion_by_variant(_with_memory(spark, sf_dir), _variants())
+
+
+def _variants() -> dict[str, Column]:
     """Stored proposals as they are, unanimous ones only, memory, and memory before unanimous ones."""
-    rows = _with_memory(spark, sf_dir)
     hit = F.col("memory").isNotNull()
     pair = F.struct(
         F.when(hit, F.col("memory.category")).otherwise(F.col("category")).alias("category"),
@@ -282,15 +290,12 @@ def matcher_variants(spark, sf_dir):
     complete = (pair["category"] != "") & (pair["subcategory"] != "")
     recalled = F.when(hit, F.struct("memory.category", "memory.subcategory"))
     unanimous = F.when(complete & F.coalesce("memory.unanimous", F.lit(False)), pair)
-    return memory.compare_variants(
-        rows,
-        {
-            "A": F.when(complete, pair),
-            "B": unanimous,
-            "M": recalled,
-            "D": memory.first_proposal(recalled, unanimous),
-        },
-    )
+    return {
+        "A": F.when(complete, pair),
+        "B": unanimous,
+        "M": recalled,
+        "D": memory.first_proposal(recalled, unanimous),
+    }
 
 
 # Import.
@@ -422,6 +427,27 @@ def review_page(spark, sf_dir):
     return review.present(review.page(rows, 3)).drop("embed_text")
 
 
+@query
+def split_text_page(spark, sf_dir):
+    """The second page of the split-text queue, bank rows before card rows turned around, with the place of each row."""
+    rows = review.queue(fx.ledger(spark, sf_dir), "split_text", WHOLE)
+    found = review.page(rows, 2, newest_source_first=True).select("src", "tx_id", "ym")
+    order = Window.orderBy(F.desc("ym"), F.desc("src"), F.desc("tx_id"))
+    return found.withColumn("place", F.row_number().over(order))
+
+
+@query
+def queue_totals(spark, sf_dir):
+    """How many rows each queue holds."""
+    ledger, suggested = fx.ledger(spark, sf_dir), _suggested(spark, sf_dir)
+    totals = None
+    for name in review.QUEUES:
+        rows = review.queue(ledger, name, WHOLE, suggested, "  FURN%" if name == "zoek" else None)
+        part = review.queue_size(rows).withColumn("queue", F.lit(name))
+        totals = part if totals is None else totals.unionByName(part)
+    return totals
+
+
 @query
 def doubt_flags(spark, sf_dir):
     flagged = review.doubt_flags(fx.ledger(spark, sf_dir), fx.bank_ledger(spark, sf_dir))
@@ -494,7 +520,7 @@ def bulk_corrections(spark, sf_dir):
     items = _items(spark, sf_dir).drop("similarity")
     flagged = review.doubt_flags(ledger, fx.bank_ledger(spark, sf_dir))
     bulk = corrections.bulk_items(items, flagged)
-    return corrections.bulk_counts(corrections.judge(bulk, ledger, reports.allowed_pairs(ledger)))
+    return corrections.judge(bulk, ledger, reports.allowed_pairs(ledger)).select("seq", "src", "tx_id", "reason")
 
 
 @query

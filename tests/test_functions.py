@@ -72,6 +72,12 @@ def test_anonymise(one):
     assert got == "Van Rekening A <geanonimiseerd> en Rekening B"
 
 
+@pytest.mark.parametrize("rule", [{"geen nummer": "Rekening A"}, {"NL77TEST0444555666": "Jan Jansen"}, {"NL77TEST0444555666": "Rekening "}])
+def test_rules_that_would_let_names_through_are_refused(rule):
+    with pytest.raises(ValueError):
+        text.AnonymiseRules("", rule)
+
+
 def test_labels_and_secrets(one):
     assert one("Rekening A", text.is_account_label(F.col(T))) and not one("Rekening ", text.is_account_label(F.col(T)))
     assert one("nl77 test 0444555666", text.looks_secret(F.col(T))) and not one("spaarrekening", text.looks_secret(F.col(T)))

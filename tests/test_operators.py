@@ -284,6 +284,28 @@ def test_move_guard():
             corrections.check_move(*move)
 
 
+def test_move_over_all_tables(spark):
+    shape = "src string, tx_id string, category string, subcategory string"
+    ledger = spark.createDataFrame([("bank", "1", "Huis", "tuin"), ("cc", "2", "Huis", "dak"), ("cc", "3", "Wonen", "tuin")], shape)
+    suggested = spark.createDataFrame([("bank", "1", "Huis", "tuin")], shape)
+    tables = {"ledger": ledger, "suggestions": suggested}
+    moved, counts = corrections.move(tables, "Huis", "Wonen", "tuin")
+    got = {(r.table_name, r.moment, r.src, r.category): r.n for r in counts.collect()}
+    assert got == {
+        ("ledger", "before", "bank", "Huis"): 1,
+        ("ledger", "before", "cc", "Wonen"): 1,
+        ("suggestions", "before", "bank", "Huis"): 1,
+        ("ledger", "after", "bank", "Wonen"): 1,
+        ("ledger", "after", "cc", "Wonen"): 1,
+        ("suggestions", "after", "bank", "Wonen"): 1,
+    }
+    corrections.check_moved(moved, "Huis", "tuin")
+    with pytest.raises(corrections.MoveRefused):
+        corrections.check_moved(moved | {"suggestions": suggested}, "Huis", "tuin")
+    with pytest.raises(corrections.MoveRefused):
+        corrections.move(tables, "Huis", "Huis", "tuin")
+
+
 # Neighbours.
 
 
