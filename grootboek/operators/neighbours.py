@@ -257,6 +257,28 @@ def doubt_mixed(preview: DataFrame, found: DataFrame, on: list[str], v: Vocabula
     )
 
 
+def import_neighbours(
+    preview: DataFrame,
+    vectors: DataFrame,
+    points: DataFrame,
+    on: tuple[str, ...] = ("file", "pos"),
+    v: Vocabulary = DEFAULT,
+    **index: int,
+) -> DataFrame:
+    """A preview with the neighbours of its new rows, and doubt where those disagree.
+
+    ``vectors`` has the keys ``on`` and ``embedding`` of rows to import; ``points`` are those of the ledger. Only new
+    rows with a text are looked up, each among points of its own direction. ``index`` goes to ``nearest``.
+    """
+    fresh = preview.where((F.col("status") == v.status_new) & (text_or_empty(F.col("shown")) != ""))
+    key = F.concat_ws("\u0001", F.lit("import"), *on)
+    asked = fresh.join(vectors.select(*on, "embedding"), list(on)).select(
+        *on, key.alias("point_id"), "direction", "embedding"
+    )
+    found = labelled(nearest(asked.drop(*on), points, **index))
+    return doubt_mixed(preview, asked.select(*on, "point_id").join(found, "point_id"), list(on), v)
+
+
 # The vector table.
 
 

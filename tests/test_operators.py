@@ -356,6 +356,21 @@ def test_a_page_far_down_and_one_after_a_row(spark):
         assert after == got
 
 
+def test_neighbours_of_imported_rows(spark):
+    near, far = [1.0, 0.1, 0.0], [0.0, 0.1, 1.0]
+    points = [(f"p{i}", "Af", near, ("A", "a")) for i in range(4)] + [(f"q{i}", "Af", far, ("AB"[i % 2], "a")) for i in range(4)]
+    points += [("b1", "Bij", near, ("C", "c"))]
+    corpus = spark.createDataFrame(points, "point_id string, direction string, embedding array<float>, payload struct<category:string,subcategory:string>")
+    rows = [("f", 0, "nieuw", "t", "text", "sure", "Af"), ("f", 1, "nieuw", "t", "text", "sure", "Af"), ("f", 2, "nieuw", "t", "regel", "sure", "Af"), ("f", 3, "dubbel", "t", "text", "", "Af"), ("f", 4, "nieuw", "", "text", "sure", "Af"), ("f", 5, "nieuw", "t", "text", "sure", "Bij")]
+    preview = spark.createDataFrame(rows, "file string, pos int, status string, shown string, source string, tone string, direction string")
+    vectors = spark.createDataFrame([("f", i, v) for i, v in enumerate([near, far, far, far, far, near])], "file string, pos int, embedding array<float>")
+    got = {r.pos: r for r in neighbours.import_neighbours(preview, vectors, corpus, tables=4, bits=1).collect()}
+    assert {p: (r.tone, r.neighbours_mixed) for p, r in got.items()} == {
+        0: ("sure", False), 1: ("doubt", True), 2: ("sure", True), 3: ("", False), 4: ("sure", False), 5: ("sure", False)
+    }
+    assert [n.point_id for n in got[5].neighbours] == ["b1"] and got[3].neighbours is None
+
+
 def test_proposal(spark):
     shape = "n array<struct<category:string,subcategory:string,score:double>>"
     same = [("H", "b", 0.9), ("H", "b", 0.8), ("H", "b", 0.7)]
