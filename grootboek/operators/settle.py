@@ -198,8 +198,12 @@ def match_settlements(cards: DataFrame, banks: DataFrame, period: Period, cycle:
         own("card", "bank", "subcategory").alias("subcategory"),
         F.col("card.card_type").alias("card_type"),
     )
-    shown = rows.where(F.coalesce(visible, F.lit(False)))
-    return shown.orderBy("sort_date", "status", F.coalesce("card_id", F.lit(0)), "bank_id")
+    return rows.where(F.coalesce(visible, F.lit(False)))
+
+
+def in_day_order(settled: DataFrame) -> DataFrame:
+    """For showing: by day, matches before what is left open."""
+    return settled.orderBy("sort_date", "status", F.coalesce("card_id", F.lit(0)), "bank_id")
 
 
 _LABELS = ("category", "subcategory")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,6 @@ REQUIRED = (
     "Bedrag (EUR)",
     "Rekening",
 )
-SAMPLE_CHARS = 4096
 
 
 class CsvFormatError(ValueError):
@@ -64,23 +63,15 @@ def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """First line and separator per file. A line has at least one character, so the first 4096 lines hold the sample."""
-    start = lines.where(F.col("block") == 0)
-    first = start.groupBy("file").agg(F.min("seq").alias("first_seq"))
-    near = start.join(first, "file").where(F.col("seq") < F.col("first_seq") + SAMPLE_CHARS)
-    so_far = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.length("line") + 1
-    sampled = near.withColumn("at", F.coalesce(F.sum(length).over(so_far), F.lit(0)))
-    sampled = sampled.where(F.col("at") < SAMPLE_CHARS)
-    cut = F.left("line", F.lit(SAMPLE_CHARS) - F.col("at").cast("int"))
+    """First line, separator and whether a quoted cell holds a line break, per file, in one pass over the lines."""
+    odd_quotes = (F.length("line") - F.length(F.translate("line", '"', ""))) % 2 == 1
+    first = F.min(F.when(F.col("block") == 0, F.struct("seq", "line")))["line"]
+    heads = lines.groupBy("file").agg(first.alias("header"), F.max(odd_quotes).alias("broken"))
 
     def occurrences(char: str) -> Column:
-        return F.sum(F.length(cut) - F.length(F.translate(cut, char, "")))
+        return F.length("header") - F.length(F.translate("header", char, ""))
 
-    return sampled.groupBy("file").agg(
-        F.min_by("line", "seq").alias("header"),
-        F.when(occurrences(";") >= occurrences(","), ";").otherwise(",").alias("separator"),
-    )
+    return heads.withColumn("separator", F.when(occurrences(";") >= occurrences(","), ";").otherwise(","))
 
 
 def _header_names(header: str, separator: str) -> list[str]:
@@ -95,9 +86,7 @@ def read_bank_csv(spark: SparkSession, paths: str | list[str], encoding: str = "
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = _lines(spark, paths, encoding)
-    odd_quotes = F.length("line") - F.length(F.translate("line", '"', ""))
-    broken = lines.where(odd_quotes % 2 == 1).select("file").distinct().withColumn("broken", F.lit(True))
-    heads = _heads(lines).join(broken, "file", "left").collect()
+    heads = _heads(lines).collect()
     if not heads:
         raise CsvFormatError("empty csv")
 
