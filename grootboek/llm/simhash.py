@@ -277,6 +277,8 @@ def near_duplicates(
         F.coalesce("component_id", "first").alias("component_id"),
         F.coalesce("best_fp", "fp").alias("best_fp"),
     )
+    # Stored, so that the join below reads two plain sides and a very common fingerprint can be split.
+    of_each = stored(of_each, "components")
     return rows.join(of_each, "fp").select(
         *keep,
         shown.alias("fingerprint"),
