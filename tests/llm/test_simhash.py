@@ -105,3 +105,32 @@ def test_documents_of_every_kind(spark):
     assert sum(r.is_first for r in got if r.doc_id in (2, 4)) == 1
     empty = simhash.near_duplicates(df.limit(0), ["doc_id"])
     assert empty.columns[0] == "doc_id" and empty.count() == 0
+
+
+def test_near_copies_by_similarity(spark):
+    import random
+
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rows, pairs = [], []
+    for i in range(120):
+        words = fresh(300)
+        copy = list(words)
+        # Each changed word spoils five shingles: 0.8 is reached by up to six of them.
+        for at in rng.sample(range(10, 290), rng.randrange(1, 7)):
+            copy[at] = "changed"
+        a, b = shingles(words), shingles(copy)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        if len(a & b) / len(a | b) >= 0.8:
+            pairs.append(2 * i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in simhash.near_duplicates(df, ["doc_id"], similar=simhash.Similar()).collect()}
+    assert all(r.component_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in got.values())
+    found = sum(got[i + 1].component_id == i for i in pairs)
+    assert len(pairs) > 100 and found >= 0.95 * len(pairs)
+    kept = {r.doc_id for r in simhash.first_of_each(df.withColumn("fingerprint", df.doc_id), ["doc_id", "text"]).collect()}
+    assert kept == {i for i, r in got.items() if r.is_first}
