@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +18,8 @@ PIECE_ROWS, PIECE_BYTES = 512, 8 << 20
 #: How Spark passes rows to tasks' Python, where the session does not say: by default, 10,000 rows at once may hold any
 #: number of bytes.
 BATCHES = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -63,6 +64,14 @@ def _pieces(batch: pa.RecordBatch, rows: int = PIECE_ROWS, size: int = PIECE_BYT
     yield from _pieces(batch.slice(half), rows, size)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: later stages use the same worker processes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _in_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for key, value in BATCHES.items():
@@ -95,6 +104,7 @@ def map_texts(
                 new = work(part.column(n).to_pylist())
                 made = [pa.array(v, arrow.field(n + i).type) for i, v in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *made], schema=arrow)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -119,6 +129,7 @@ def explode_texts(
                 made = work([c.to_pylist() for c in part.columns])
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
     return _in_batches(df).select(*columns).mapInArrow(run, schema)
 

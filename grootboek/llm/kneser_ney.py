@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grootboek.llm.common import explode_texts, small, stored
+from grootboek.llm.common import explode_texts, give_back, small, stored
 
 #: Stands before a text, ``order - 1`` times.
 PAD = "\x02"
@@ -137,6 +137,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
                             yield from out()
         if held:
             yield from out()
+        give_back()
 
     rows = texts.select("text").mapInArrow(run, "g string, n long")
     return rows.groupBy("g").agg(F.sum("n").alias("n"))
@@ -257,6 +258,7 @@ def score(documents: DataFrame, model: Model | None, head: int = 1 << 18) -> Dat
                 ids, langs, texts = (batch.column(i).slice(at, 512).to_pylist() for i in range(3))
                 for part in _slices(texts):
                     yield _scored(find, order, *(x[part.start : part.stop] for x in (ids, langs, texts)))
+        give_back()
 
     rows = stored(source.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, fields), "scores")
     tail = rows.filter("g is not null")
