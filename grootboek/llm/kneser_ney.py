@@ -341,8 +341,9 @@ def classify(
     """The verdict on every doc_id: lang, chars, perplexity, limit and kept.
 
     Trusted are the documents with the label quality 1 and not toxic. One in ``held_out`` of them, by a hash of the id,
-    is kept from training; ``limit`` is the ``quantile`` of their adjusted perplexities in the language, or in all
-    languages where it has under ``min_held_out`` of them. Adjusting adds ``prior_chars`` characters of average
+    is kept from training; ``limit`` is the ``quantile`` of their adjusted perplexities in the language. A language with
+    under ``min_held_out`` of them is cross-fitted: each of its trusted documents counts, scored by a model that was
+    trained without its part. Only a language without any gets the quantile of all languages. Adjusting adds ``prior_chars`` characters of average
     perplexity, since short texts scatter. A document is kept if its adjusted perplexity is within the limit.
 
     Rows with one doc_id (null is one, too) are judged together. Without characters the perplexity is null and the
@@ -354,19 +355,32 @@ def classify(
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
         .filter("quality > 0 and toxic = 0")
-        .select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(held_out)) == 0).alias("held"))
+        .select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(held_out)).cast("int").alias("part"))
     )
     trusted = small(trusted, trusted.count())
-    texts = documents.select("doc_id", "text").join(trusted.filter("not held"), "doc_id", "left_semi")
-    scores = stored(score(documents, train(texts, order)), "perplexity")
-    shown = scores.join(trusted.filter("held"), "doc_id", "left_semi").filter("chars > 0")
+    texts = documents.select("doc_id", "text").join(trusted, "doc_id")
+
+    def scored(rows: DataFrame, part: int) -> DataFrame:
+        return stored(score(rows, train(texts.filter(F.col("part") != part).select("doc_id", "text"), order)), "perplexity")
+
+    scores = scored(documents, 0)
+    known = scores.join(trusted, "doc_id").filter("chars > 0")
+    shown = known.filter("part = 0")
     mean = shown.agg((F.sum("log_micro") / F.sum("chars")).alias("m")).first().m or 0.0
     adjusted = (F.lit(prior_chars * mean) + F.col("log_micro")) / (F.col("chars") + prior_chars)
     cell = F.floor(-adjusted / UNIT * 1000).cast("long")
-    limits = _limits(shown.select("lang", cell.alias("cell")), quantile, min_held_out)
-    overall = _limits(shown.select(F.lit(None).cast("string").alias("lang"), cell.alias("cell")), quantile, 1)
+    overall = _limits(shown.select(F.lit(None).cast("string").alias("lang"), cell.alias("cell")), quantile)
     everywhere = {r.cell for r in overall.collect()}
     fallback = F.lit(everywhere.pop() if everywhere else None).cast("long")
+    # One row for each language that has few held-out documents.
+    few = known.groupBy("lang").agg(F.count_if(F.col("part") == 0).alias("held")).filter(F.col("held") < min_held_out)
+    few = stored(few.select(F.col("lang").alias("l")), "languages")
+    asked = known.join(F.broadcast(few), F.col("lang").eqNullSafe(F.col("l")), "left_semi").filter("part > 0")
+    asked = stored(asked.select("doc_id", "part"), "cross-fitted")
+    for part in sorted(r.part for r in asked.select("part").distinct().collect()):
+        ids = asked.filter(F.col("part") == part).select("doc_id")
+        shown = shown.unionByName(scored(documents.join(small(ids, ids.count()), "doc_id", "left_semi"), part).withColumn("part", F.lit(part)))
+    limits = _limits(shown.select("lang", cell.alias("cell")), quantile)
     rows = scores.join(F.broadcast(limits.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")), "left")
     most = F.coalesce(limits["cell"], fallback)
     return rows.select(
@@ -379,8 +393,8 @@ def classify(
     )
 
 
-def _limits(shown: DataFrame, quantile: float, least: int) -> DataFrame:
-    """(lang, cell): the quantile in each language with at least so many documents, from a histogram of cells.
+def _limits(shown: DataFrame, quantile: float) -> DataFrame:
+    """(lang, cell): the quantile in each language, from a histogram of cells.
 
     A language has at most a few thousand cells, whatever the number of documents, so their running sum is a small
     window for each language.
@@ -390,7 +404,7 @@ def _limits(shown: DataFrame, quantile: float, least: int) -> DataFrame:
     whole = F.expr("sum(n) over (partition by lang)")
     reached = cells.select("lang", "cell", up_to.alias("up_to"), whole.alias("whole"))
     return (
-        reached.filter((F.col("whole") >= least) & (F.col("up_to") >= F.col("whole") * quantile))
+        reached.filter(F.col("up_to") >= F.col("whole") * quantile)
         .groupBy("lang")
         .agg(F.min("cell").alias("cell"))
     )

@@ -91,3 +91,19 @@ def test_verdicts(spark):
     assert got[5].chars == 2 * len(rows[5][1])
     assert all(r.kept == (r.chars > 0) for r in kn.classify(df, known.limit(0)).collect())
     assert kn.classify(df.limit(0), known).count() == 0
+
+
+def test_a_language_with_few_trusted_documents_has_a_limit_of_its_own(spark):
+    rng = random.Random(9)
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    plain, odd = ["the", "cat", "sat", "on", "a", "mat"], [f"{a}{b}{c}" for a in "qxzj" for b in "kvwy" for c in "pfgh"]
+    rows = [(i, text(plain, 60), "en") for i in range(120)] + [(i, text(odd, 60), "xx") for i in range(200, 240)]
+    # English with odd words: within the limit of all languages, but not within its own.
+    rows += [(i, text(plain, 30) + " " + text(odd, 15), "en") for i in range(300, 310)]
+    rows += [(400, text(plain, 60), "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(110), *range(200, 235)]], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kn.classify(df, labels).collect()}
+    assert got[0].limit < got[200].limit and got[0].limit < got[400].limit
+    assert not any(got[i].kept for i in range(300, 310))
+    assert all(got[i].kept for i in range(200, 235)) and got[400].kept
