@@ -172,7 +172,8 @@ def fit(
     """A field fitted on labelled documents: lines of good ones are content, lines of bad ones boilerplate.
 
     The sample is bounded: at most ``train_docs`` labelled documents, half of either kind, by a hash of the id, and at
-    most ``train_lines`` lines of each, by a hash of the line. Without documents of both kinds all weights are 0, which
+    most ``train_lines`` evenly spaced lines of each. Of rows with one id, the one with the smallest hash of its features
+    counts. Without documents of both kinds all weights are 0, which
     makes every line content. Fitting maximises the penalised likelihood of the label sequences.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
@@ -184,7 +185,7 @@ def fit(
 
     def start():
         def work(columns):
-            good, texts = columns
+            ids, good, texts = columns
             out = []
             for text in texts:
                 values, _, _ = _line_values((text or "").encode().split(b"\n"))
@@ -193,13 +194,15 @@ def fit(
                     step = np.linspace(0, len(features) - 1, train_lines).astype(int)
                     features = features[step]
                 out.append(features.ravel().tolist())
-            return [good, out]
+            return [ids, good, out]
 
         return work
 
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = explode_texts(sample, ["good", "text"], "good int, features array<int>", start).collect()
-    chains = sorted((int(r.good > 0), r.features) for r in rows if r.features)
+    columns = ["doc_id", "good", "text"]
+    features = explode_texts(sample, columns, "doc_id long, good int, features array<int>", start).filter("size(features) > 0")
+    one = features.groupBy("doc_id", "good").agg(F.min_by("features", F.xxhash64("features")).alias("features"))
+    chains = sorted((int(r.good > 0), r.features) for r in one.collect())
     y = [1 - good for good, _ in chains]
     if len(set(y)) < 2:
         return LineField(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))

@@ -79,3 +79,14 @@ def test_fitted_field_tells_lines_apart(spark):
     assert kept[900].kept
     none = lq.fit(df, known.limit(0))
     assert not none.emission.any() and not none.transition.any()
+
+
+def test_a_repeated_id_gives_one_row_to_the_sample(spark, monkeypatch):
+    rows = [(i, f"line {i} of good text.\nmore of it here.") for i in range(5)] + [(9, f"| menu | {i} |\n" * (i + 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([*((i, 1) for i in range(5)), (9, 0)], "doc_id long, quality int")
+    sizes = []
+    whole = lq._maximise
+    monkeypatch.setattr(lq, "_maximise", lambda chains, *rest: (sizes.append(len(chains)), whole(chains, *rest))[1])
+    lq.fit(df, known, rounds=2)
+    assert sizes == [6]
