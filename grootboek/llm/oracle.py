@@ -47,3 +47,44 @@ WITH d AS (
 )
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+ORACLE["op11_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (SELECT r, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS of_lang FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(term) AS v, coalesce(sum(of_lang), 0) AS whole
+  FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang
+), sized AS (
+  SELECT lang, source, v, whole, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) JOIN langs USING (lang) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    CAST(1 + (1000000000 * (coalesce(n, 0) + 2)) // CAST(total + 2 * v AS BIGINT) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * (of_lang + 2)) // CAST(whole + 2 * v AS BIGINT) AS BIGINT) AS of_all
+  FROM sized JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM sized a JOIN sized b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), over AS (
+  SELECT lang, source, term AS item, (p - of_all) * (p - of_all) // (p + of_all) AS value FROM p WHERE n > 0 AND p > of_all
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+    CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank
+  FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+    CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT)
+  FROM over
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grootboek.llm import bpe, kneser_ney, licenses, line_quality, packing, search, simhash, substrings, token_trees, warc
+from grootboek.llm import bpe, divergence, kneser_ney, licenses, line_quality, packing, search, simhash, substrings, token_trees, warc
 from grootboek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     field = line_quality.fit(documents, table(spark, sf_dir, "labels"))
     return line_quality.judge(documents, ["doc_id"], field)
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
