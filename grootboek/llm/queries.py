@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grootboek.llm import bpe, divergence, kneser_ney, licenses, line_quality, max_sketch, packing, search, simhash, substrings, token_trees, warc
+from grootboek.llm import (
+    bpe,
+    divergence,
+    kneser_ney,
+    licenses,
+    line_quality,
+    max_sketch,
+    packing,
+    search,
+    simhash,
+    substrings,
+    super_minhash,
+    token_trees,
+    warc,
+)
 from grootboek.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +105,8 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_minhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
