@@ -95,12 +95,15 @@ def chosen(category: str | None = None, subcategory: str | None = None) -> Colum
     return keep
 
 
+#: The columns that a search looks into.
+SEARCHED = ("description", "merchant", "category", "subcategory")
+
+
 def search(ledger: DataFrame, needle: str) -> DataFrame:
     """Rows whose description, merchant or labels contain the text, ignoring case."""
     if not needle:
         return ledger
-    columns = [F.col(c) for c in ("description", "merchant", "category", "subcategory")]
-    return ledger.where(contains_any(columns, needle))
+    return ledger.where(contains_any([F.col(c) for c in SEARCHED], needle))
 
 
 def is_structural_pair(category: Column, subcategory: Column, v: Vocabulary = DEFAULT) -> Column:

@@ -22,6 +22,7 @@ from grootboek.functions.text import (
 from grootboek.schema import BANK, CARD, conform
 from grootboek.skew import lookup
 from grootboek.sources.bank_csv import parse_bank_rows
+from grootboek.sources.bucket_table import BucketTable
 from grootboek.sources.card_text import parse_card_lines, stitch_lines
 from grootboek.sources.ledgers import CheckFailed, append_ledger, loaded_ids
 from grootboek.vocabulary import DEFAULT, Vocabulary
@@ -324,6 +325,17 @@ def new_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return first_of_each_id(rows).join(ledger.select("tx_id"), "tx_id", "left_anti")
 
 
+def with_known(rows: DataFrame, ids: BucketTable) -> DataFrame:
+    """``known``: whether a row's id is in a stored table of loaded ids, of which only the rows' buckets are read.
+
+    An import of few rows reads few buckets, whatever the size of the ledger. ``rows`` must be a written table.
+    """
+    asked = rows.withColumn("_asked", F.when(F.col("tx_id") != "", F.col("tx_id")))
+    loaded = ids.buckets(rows.select("tx_id")).select(F.col("tx_id").alias("_id")).distinct()
+    found = asked.join(loaded, F.col("_asked") == F.col("_id"), "left")
+    return found.withColumn("known", F.col("_id").isNotNull()).drop("_asked", "_id")
+
+
 def to_ledger(rows: DataFrame, kind: str, next_id: Column) -> DataFrame:
     """Committed rows in the ledger's schema."""
     schema = BANK if kind == "bank" else CARD

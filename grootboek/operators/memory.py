@@ -49,7 +49,8 @@ def with_memory_keys(rows: DataFrame) -> DataFrame:
     ).drop("_text", "_key", "_way")
 
 
-def _label_counts(corpus: DataFrame) -> DataFrame:
+def label_counts(corpus: DataFrame) -> DataFrame:
+    """How many rows each (text, direction) has with each label."""
     keyed = corpus.where(F.col("text_key").isNotNull() & F.col("direction").isNotNull())
     return keyed.groupBy(*TEXT_KEY, *LABEL).agg(F.count(F.lit(1)).alias("label_n"))
 
@@ -77,7 +78,7 @@ def _suggestion(category: Column, subcategory: Column, hits: Column, n: Column,
 
 def text_memory(corpus: DataFrame) -> DataFrame:
     """What each (text, direction) is usually booked as; keys without a clear answer are left out."""
-    per_text = _label_counts(corpus).groupBy(*TEXT_KEY)
+    per_text = label_counts(corpus).groupBy(*TEXT_KEY)
     totals = per_text.agg(
         F.sum("label_n").alias("n"), _top_label().alias("top"), F.count(F.lit(1)).alias("labels")
     )
@@ -87,14 +88,14 @@ def text_memory(corpus: DataFrame) -> DataFrame:
     return totals.select(*TEXT_KEY, memory.alias("memory")).where(F.col("memory").isNotNull())
 
 
-def leave_one_out_answers(corpus: DataFrame) -> DataFrame:
+def leave_one_out_answers(counts: DataFrame) -> DataFrame:
     """Per (text, direction, label): what the other rows with that text say to a row with that label.
 
-    Taking a row out changes its text's counts by one, so counts per label suffice: no row meets another row.
-    ``label_n`` is the number of rows an answer is for; ``memory`` is NULL where the others disagree.
+    Taking a row out changes its text's counts by one, so counts per label (``label_counts``) suffice: no row meets
+    another row. ``label_n`` is the number of rows an answer is for; ``memory`` is NULL where the others disagree.
     """
     same_text = Window.partitionBy(*TEXT_KEY)  # over label counts, one row per label of a text
-    counts = _label_counts(corpus).select(
+    counts = counts.select(
         *TEXT_KEY,
         *LABEL,
         "label_n",
@@ -114,16 +115,17 @@ def leave_one_out_answers(corpus: DataFrame) -> DataFrame:
     return counts.select(*TEXT_KEY, *LABEL, "label_n", memory.alias("memory"))
 
 
-def leave_one_out(corpus: DataFrame) -> DataFrame:
-    """The corpus with ``memory``: for each row, what the *other* rows with its text and direction say."""
-    answers = leave_one_out_answers(corpus)
+def leave_one_out(corpus: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The corpus with ``memory``: for each row, what the *other* rows with its text and direction say. ``counts`` are
+    those of a larger corpus that these rows are part of."""
+    answers = leave_one_out_answers(label_counts(corpus) if counts is None else counts)
     found = lookup(corpus, answers, [*TEXT_KEY, *LABEL], spread=["src", "tx_id"])
     return found.drop("label_n")
 
 
-def suggestions(corpus: DataFrame) -> DataFrame:
+def suggestions(corpus: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The stored suggestion per row: the memory's answer (layer ``text``) or the row's own label (layer ``none``)."""
-    rows = leave_one_out(corpus).where(text_or_empty(F.col("tx_id")) != "")
+    rows = leave_one_out(corpus, counts).where(text_or_empty(F.col("tx_id")) != "")
     hit = F.col("memory").isNotNull()
 
     def shown(field: str) -> Column:

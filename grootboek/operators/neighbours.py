@@ -1,27 +1,31 @@
 """Nearest neighbours by cosine, proposals drawn from them, and the vector table they are read from.
 
-The search uses an index of fixed hyperplanes, and is approximate as such an index is:
+The search uses an inverted file of cells (``cells``) and is exact unless told otherwise:
 
 1. Equal vectors are one vector. It keeps its ``k + 1`` lowest point ids; no further copy can enter a top ``k``.
-2. A vector is in one bucket of each of ``tables`` tables, by the sides of ``bits`` hyperplanes that it lies on.
-3. A query is compared, exactly, with all vectors of its scope that share a bucket with it. Buckets of any size are cut
-   into blocks, and so are the queries that look into them; all blocks are compared, each by one matrix product in a
-   task of its own, which passes on ``k + 1`` vectors per query.
-
-With more ``bits`` buckets get smaller, so that the work for a query can be kept as the table grows; more ``tables``
-find again what that loses. ``nearest_exact`` compares every query with every vector of its scope, in quadratic time.
+2. Every vector is in the cell of its nearest centroid.
+3. A query is compared, exactly, with all vectors of its scope in the cells nearest to it. What it finds there gives a
+   score to beat.
+4. A cell whose vectors, by their distances from the centroid, may reach that score is looked into as well. With a
+   ``recall`` that step is left out, and the number of cells in step 3 is chosen on a sample to reach that recall.
+
+Cells of any size are cut into blocks, and so are the queries that look into them; all blocks are compared, each by one
+matrix product in a task of its own, which passes on ``k + 1`` vectors per query. ``nearest_exact`` compares every query
+with every vector of its scope.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grootboek.checkpoints import checkpointed
 from grootboek.functions.ids import point_id
 from grootboek.functions.text import index_text, strip_iban, text_or_empty
+from grootboek.operators import cells
+from grootboek.operators.cells import unit_rows
 from grootboek.operators.classify import without_structural
 from grootboek.schema import PAYLOAD
 from grootboek.skew import lookup
@@ -31,7 +35,8 @@ from grootboek.vocabulary import DEFAULT, Vocabulary
 NEIGHBOURS = 5
 UNANIMOUS_MIN = 3
 BLOCK_ROWS = 4096
-TABLES, BITS = 12, 8
+#: Queries that the number of cells for a recall is chosen on: those with the lowest hashes, so their number is bounded.
+TRIAL_QUERIES = 256
 #: Scores are equal when they agree to so many decimals; products of different blocks differ in the last ones.
 DECIMALS = 12
 
@@ -39,18 +44,6 @@ _VECTOR = ["scope", "vector_key"]
 _HIT = "scope string, vector_key string, hit_key string, first_id string, score double"
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def planes(tables: int, bits: int, size: int) -> np.ndarray:
-    """The normals of all hyperplanes, one a row, of ones and minus ones by a fixed rule."""
-    x = (np.arange(tables * bits, dtype=np.int64)[:, None] + 1) * 1009 + np.arange(size, dtype=np.int64) + 1
-    return np.where((31 * x**3 + 17 * x**2 + 7 * x) % 65521 < 32761, 1.0, -1.0)
-
-
 def _distinct_vectors(rows: DataFrame, id_column: str, scope: str | None, keep: int) -> DataFrame:
     """One row per (scope, vector) with its ``keep`` lowest ids. The rank filter also applies before the shuffle."""
     keyed = rows.select(
@@ -68,19 +61,6 @@ def _distinct_vectors(rows: DataFrame, id_column: str, scope: str | None, keep:
     )
 
 
-def _in_buckets(vectors: DataFrame, tables: int, bits: int) -> DataFrame:
-    """A row per vector and table, with the bucket as ``cell``."""
-
-    @F.pandas_udf("array<long>")
-    def buckets(vector: pd.Series) -> pd.Series:
-        units = _unit(vector)
-        sides = (units @ planes(tables, bits, units.shape[1]).T > 0).reshape(len(units), tables, bits)
-        cells = sides @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
-        return pd.Series(list(cells))
-
-    return vectors.withColumn("cell", F.explode(buckets("vector")))
-
-
 def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
     """The ``need`` best vectors per query, from bounded blocks of queries and points."""
     block = ["scope", "cell", "part", "group"]
@@ -109,7 +89,7 @@ def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
             return pd.DataFrame({c: [] for c in ("scope", "vector_key", "hit_key", "first_id", "score")})
         # In the order of ids, so that a stable sort by score puts lower ids first among equals.
         corpus = corpus.sort_values("first_id")
-        scores = np.round(_unit(queries["vector"]) @ _unit(corpus["vector"]).T, DECIMALS)
+        scores = np.round(unit_rows(queries["vector"]) @ unit_rows(corpus["vector"]).T, DECIMALS)
         order = np.argsort(-scores, axis=1, kind="stable")[:, :need]
         asked, hits = np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
         return pd.DataFrame(
@@ -148,46 +128,126 @@ def _answers(found: DataFrame, vectors: DataFrame, need: int) -> DataFrame:
     return flat.groupBy(*_VECTOR).agg(near.alias("near"))
 
 
-def _search(queries: DataFrame, points: DataFrame, k: int, scope: str | None, placed) -> DataFrame:
+def _search(queries: DataFrame, points: DataFrame, k: int, scope: str | None, compare) -> DataFrame:
+    """``compare`` finds, for the vectors asked about, the best ``k + 1`` vectors among the candidates."""
     need = k + 1
-    vectors = _distinct_vectors(points, "point_id", scope, need)
+    vectors = checkpointed(_distinct_vectors(points, "point_id", scope, need))
     keyed = queries.select(
         "point_id",
         (F.col(scope) if scope else F.lit("")).alias("scope"),
         F.md5(F.col("embedding").cast("string").cast("binary")).alias("vector_key"),
     )
-    asked = _distinct_vectors(queries, "point_id", scope, 1).select(*_VECTOR, "vector")
+    asked = checkpointed(_distinct_vectors(queries, "point_id", scope, 1).select(*_VECTOR, "vector"))
     candidates = vectors.select(*_VECTOR, "vector", F.col("members")[0]["point_id"].alias("first_id"))
-    answers = _answers(_compare(placed(asked), placed(candidates), need), vectors, need)
+    answers = _answers(compare(asked, candidates, need), vectors, need)
     joined = lookup(keyed, answers, _VECTOR, spread=["point_id"])
     own = F.col("point_id").cast("string")
     others = F.filter(F.coalesce("near", F.array()), lambda n: n["point_id"] != own)
     return joined.select("point_id", F.slice(others, 1, k).alias("neighbours"))
 
 
+def _to_beat(found: DataFrame, need: int) -> DataFrame:
+    """The score of each query's last place; queries that found fewer have no row."""
+    order = Window.partitionBy(*_VECTOR).orderBy(F.desc("score"))
+    placed = found.select(*_VECTOR, "score").withColumn("_place", F.row_number().over(order))
+    return placed.where(F.col("_place") == need).select(*_VECTOR, F.col("score").alias("to_beat"))
+
+
+def _by_cells(file: cells.CellFile, placed: DataFrame, probes: int, whole: bool):
+    """A comparison of queries with the vectors ``placed`` in cells; ``whole`` also looks where more could be."""
+
+    def compare(asked: DataFrame, need: int) -> DataFrame:
+        near = asked.withColumn("cell", F.explode(file.nearest(F.col("vector"), probes)))
+        found = _compare(near, placed, need)
+        if not whole or (probes >= file.size and not file.has_zeros):
+            return found
+        found = checkpointed(found)
+        beaten = lookup(asked, _to_beat(found, need), _VECTOR, spread=["vector_key"])
+        still = file.reachable(F.col("vector"), F.coalesce("to_beat", F.lit(-2.0)), probes)
+        return found.unionByName(_compare(beaten.withColumn("cell", F.explode(still)), placed, need))
+
+    return compare
+
+
 def nearest(
     queries: DataFrame,
     points: DataFrame,
     k: int = NEIGHBOURS,
     scope: str | None = "direction",
-    tables: int = TABLES,
-    bits: int = BITS,
+    recall: float | None = None,
+    n_cells: int | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
-    """The ``k`` most similar points of each query among those that share a bucket with it, within the same ``scope``,
-    without the query itself.
+    """The ``k`` most similar points of each query within the same ``scope``, without the query itself.
 
     ``queries`` and ``points`` have ``point_id``, ``embedding``, the scope column if any, and ``points`` a ``payload``
     struct. The result is ``point_id`` and ``neighbours``, an array of ``score``, ``point_id`` and ``payload`` (JSON),
-    best first, lower ids first among equals; fewer than ``k`` where fewer share a bucket.
+    best first, lower ids first among equals; fewer than ``k`` only where the scope has fewer. A vector of zeros has the
+    score 0 with all.
+
+    With a ``recall`` the result is approximate: that share of the true neighbours is expected, by a trial on
+    ``TRIAL_QUERIES`` of the queries. ``n_cells`` (about the square root of the number of vectors) and ``probes`` (cells
+    that a query looks into at first) change the work, not the result.
     """
-    return _search(queries, points, k, scope, lambda rows: _in_buckets(rows, tables, bits))
+
+    def compare(asked: DataFrame, candidates: DataFrame, need: int) -> DataFrame:
+        file, placed = cells.built(candidates, n_cells)
+        placed = checkpointed(placed)
+        file = file.with_rings(placed)
+        first = probes or max(1, round(file.size**0.5))
+        if recall is None:
+            return _by_cells(file, placed, first, True)(asked, need)
+        enough = _probes_for(recall, file, placed, first, asked, need)
+        return _by_cells(file, placed, enough, False)(asked, need)
+
+    return _search(queries, points, k, scope, compare)
+
+
+def _probes_for(recall: float, file: cells.CellFile, placed: DataFrame, first: int, asked: DataFrame, need: int) -> int:
+    """How many of the nearest cells hold ``recall`` of the true neighbours of a sample of queries."""
+    trial = checkpointed(asked.orderBy(F.xxhash64(*_VECTOR), *_VECTOR).limit(TRIAL_QUERIES))
+    found = _by_cells(file, placed, first, True)(trial, need)
+    order = Window.partitionBy(*_VECTOR).orderBy(F.desc("score"), "first_id")
+    best = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= need)
+    cell_of = placed.select(F.col("scope").alias("_scope"), F.col("vector_key").alias("_key"), "cell")
+    same = (F.col("scope") == F.col("_scope")) & (F.col("hit_key") == F.col("_key"))
+    # The query itself is in its nearest cell; it is no neighbour.
+    hits = best.where(F.col("hit_key") != F.col("vector_key")).join(cell_of, same).select(*_VECTOR, "cell")
+    ranked = hits.join(trial, _VECTOR).select(file.rank_of(F.col("vector"), F.col("cell")).alias("rank"))
+    counts = sorted((r["rank"], r["count"]) for r in ranked.groupBy("rank").count().collect())
+    total, held = sum(n for _, n in counts), 0
+    for rank, n in counts:
+        held += n
+        if held >= recall * total:
+            return rank
+    return file.size
 
 
 def nearest_exact(
     queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, scope: str | None = "direction"
 ) -> DataFrame:
-    """``nearest`` over all points of the scope: every block of queries is compared with every block of points."""
-    return _search(queries, points, k, scope, lambda rows: rows.withColumn("cell", F.lit(0)))
+    """``nearest`` without cells: every block of queries is compared with every block of points, in quadratic time."""
+
+    def compare(asked: DataFrame, candidates: DataFrame, need: int) -> DataFrame:
+        return _compare(asked.withColumn("cell", F.lit(0)), candidates.withColumn("cell", F.lit(0)), need)
+
+    return _search(queries, points, k, scope, compare)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: how many queries there are, how many neighbours they have in ``exact``, and the share ``recall`` of those
+    that ``found`` has as well."""
+    true = exact.select("point_id", F.transform("neighbours", lambda n: n["point_id"]).alias("_true"))
+    got = found.select("point_id", F.transform("neighbours", lambda n: n["point_id"]).alias("_got"))
+    both = true.join(got, "point_id", "left")
+    shared = F.size(F.array_intersect("_true", F.coalesce("_got", F.array().cast("array<string>"))))
+    sums = both.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.coalesce(F.sum(F.size("_true")), F.lit(0)).alias("neighbours"),
+        F.coalesce(F.sum(shared), F.lit(0)).alias("_shared"),
+    )
+    share = F.when(F.col("neighbours") > 0, F.col("_shared") / F.col("neighbours")).otherwise(1.0)
+    return sums.select("queries", "neighbours", share.alias("recall"))
 
 
 def labelled(found: DataFrame) -> DataFrame:
@@ -263,23 +323,23 @@ def import_neighbours(
     points: DataFrame,
     on: tuple[str, ...] = ("file", "pos"),
     v: Vocabulary = DEFAULT,
-    **index: int,
+    **search: float,
 ) -> DataFrame:
     """A preview with the neighbours of its new rows, and doubt where those disagree.
 
     ``vectors`` has the keys ``on`` and ``embedding`` of rows to import; ``points`` are those of the ledger. Only new
-    rows with a text are looked up, each among points of its own direction. ``index`` goes to ``nearest``.
+    rows with a text are looked up, each among points of its own direction. ``search`` goes to ``nearest``.
     """
     fresh = preview.where((F.col("status") == v.status_new) & (text_or_empty(F.col("shown")) != ""))
     key = F.concat_ws("\u0001", F.lit("import"), *on)
     asked = fresh.join(vectors.select(*on, "embedding"), list(on)).select(
         *on, key.alias("point_id"), "direction", "embedding"
     )
-    found = labelled(nearest(asked.drop(*on), points, **index))
+    found = labelled(nearest(asked.drop(*on), points, **search))
     return doubt_mixed(preview, asked.select(*on, "point_id").join(found, "point_id"), list(on), v)
 
 
-# The vector table.
+# What the vector table holds; ``sources.vector_table`` stores it.
 
 
 def index_rows(ledger: DataFrame, prefix: str = "ledger") -> DataFrame:
@@ -317,29 +377,3 @@ def check_points(points: DataFrame, size: int) -> DataFrame:
     right = F.coalesce(F.size("embedding") == size, F.lit(False))
     checked = F.when(right, F.col("embedding")).otherwise(F.raise_error(F.lit("vector size mismatch")))
     return points.withColumn("embedding", checked)
-
-
-def upsert_points(stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
-    """Points by id, new ones replacing stored ones. Write the result with ``write_points`` to a new folder."""
-    if stored is None:
-        return fresh
-    kept = stored.join(fresh.select("point_id"), "point_id", "left_anti")
-    return kept.unionByName(fresh)
-
-
-def write_points(points: DataFrame, path: str) -> None:
-    points.write.mode("errorifexists").parquet(path)
-
-
-def patch_payload(points: DataFrame, patches: DataFrame) -> DataFrame:
-    """Change payload fields of the named points; a NULL patch keeps the field."""
-    fields = [c for c in patches.columns if c != "point_id"]
-    refused = set(fields) - set(PAYLOAD)
-    if refused:
-        raise CheckFailed(f"payload fields not allowed: {', '.join(sorted(refused))}")
-    renamed = patches.select("point_id", *[F.col(c).alias(f"_{c}") for c in fields])
-    joined = points.join(renamed, "point_id", "left")
-    payload = F.col("payload")
-    for field in fields:
-        payload = payload.withField(field, F.coalesce(F.col(f"_{field}"), F.col(f"payload.{field}")))
-    return joined.withColumn("payload", payload).select(*points.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grootboek.functions.text import (
@@ -20,6 +20,7 @@ from grootboek.operators.classify import search, without_structural
 from grootboek.operators.memory import (
     LABEL,
     TEXT_KEY,
+    label_counts,
     leave_one_out_answers,
     memory_corpus,
     merchant_stats,
@@ -31,6 +32,8 @@ from grootboek.skew import lookup
 from grootboek.vocabulary import DEFAULT, SAVING, UNCLASSIFIED, Vocabulary
 
 PAGE_SIZE = 20
+#: So many pages may be sorted to show one. Ids have so many characters.
+FEW_PAGES, ID_CHARACTERS = 10, 32
 LARGE_SAVING = 50
 QUEUES = (
     "twijfel",
@@ -135,6 +138,44 @@ def page(
     return ordered.offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_at(
+    rows: DataFrame, number: int, newest_source_first: bool = False, size: int = PAGE_SIZE
+) -> DataFrame:
+    """The page that ``page`` gives, found by counting, with the ``place`` of each row in the whole queue.
+
+    Counts by month and source say in which of them the page is, counts by the first characters of the ids where in
+    those, and by more characters while there are many rows. Only what is left is sorted, however deep the page; the
+    rows before it are only counted.
+    """
+    first, last = (max(1, number) - 1) * size, max(1, number) * size
+    src = F.desc("src") if newest_source_first else F.asc("src")
+    before, some = 0, rows
+    for depth in range(0, ID_CHARACTERS + 1, 2):
+        keys = ["ym", "src", "_head"] if depth else ["ym", "src"]
+        headed = some.withColumn("_head", F.left("tx_id", F.lit(depth)))
+        groups = headed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        by = Window.orderBy(F.desc("ym"), src, *[F.desc(k) for k in keys[2:]])
+        start = F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") + F.lit(before)
+        started = groups.withColumn("_start", start)
+        # At most as many groups as a page has rows.
+        near = started.where((F.col("_start") < last) & (F.col("_start") + F.col("_n") > first)).collect()
+        if not near:
+            return rows.limit(0).withColumn("place", F.lit(None).cast("bigint"))
+        hit = F.lit(False)
+        for group in near:
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.lit(group[k]))
+            hit = hit | same
+        before, some = min(group["_start"] for group in near), headed.where(hit).drop("_head")
+        if last - before <= FEW_PAGES * size:
+            break
+    order = [F.desc("ym"), src, F.desc("tx_id")]
+    top = some.orderBy(*order).limit(last - before)
+    place = (F.row_number().over(Window.orderBy(*order)) + F.lit(before)).cast("bigint")
+    return top.withColumn("place", place).where(F.col("place") > first)
+
+
 def queue_size(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,7 +214,7 @@ def with_suggestions(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     keys = [*TEXT_KEY, *LABEL]
     own = [f"own_{k}" for k in keys]
     keyed = with_memory_keys(rows)
-    answers = leave_one_out_answers(corpus)
+    answers = leave_one_out_answers(label_counts(corpus))
     answers = answers.select(*[F.col(k).alias(f"own_{k}") for k in keys], "memory")
     found = lookup(keyed, answers, own, spread=_ROW)
     suggest = F.struct(

@@ -152,6 +152,14 @@ BANK_CELLS = {
     "raw_balance": "CAST(balance_after AS STRING)",
 }
 
+# The same as a file would have them: memos over several lines, with quotes and separators, and bare quotes.
+BANK_CSV_CELLS = BANK_CELLS | {
+    "raw_memo": (
+        "CASE WHEN id % 5 = 0 THEN concat(memo, chr(10), 'line \"two\"; ', CAST(id AS STRING), chr(10))"
+        " WHEN id % 11 = 0 THEN concat('5\" pipe ', memo) ELSE memo END"
+    ),
+}
+
 # Statement lines of the card: every third amount is new, every seventh line is broken in two.
 _CARD_AMOUNT = "CASE WHEN id % 3 = 0 THEN amount + 1 ELSE amount END"
 CARD_HEAD = (
@@ -233,6 +241,10 @@ def bank_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(bank_ledger(spark, sf_dir), BANK_CELLS)
 
 
+def bank_csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(bank_ledger(spark, sf_dir), BANK_CSV_CELLS)
+
+
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement text, one row per line; a broken line has its tail on the next one."""
     rows = card_raw(spark, sf_dir).select(

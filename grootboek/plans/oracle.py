@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from grootboek.plans.fixtures import (
     BANK_CELLS,
+    BANK_CSV_CELLS,
     BANK_ORDER,
     BANK_SETTLEMENT,
     CARD_BLOCK,
@@ -458,17 +459,13 @@ stored AS (
 )
 """
 _add("matcher_variants", _tally("variants", by="variant"), _CORPUS, _VARIANTS)
-_add(
-    "confusion_by_variant",
-    """
+_CONFUSION = """
 SELECT * FROM (
   SELECT variant, category AS gold, p_category AS suggested, count(*) AS n,
     row_number() OVER (PARTITION BY variant ORDER BY count(*) DESC, category, p_category) AS place
   FROM variants WHERE p_category <> category GROUP BY variant, category, p_category HAVING count(*) >= 2) WHERE place <= 8
-""",
-    _CORPUS,
-    _VARIANTS,
-)
+"""
+_add("confusion_by_variant", _CONFUSION, _CORPUS, _VARIANTS)
 
 # Import.
 _add("bank_ids", "SELECT id, tx_id FROM bank")
@@ -525,6 +522,12 @@ _add(
     _CORPUS,
     _BANK_PREVIEW,
 )
+_add(
+    "known_ids",
+    "SELECT file, id AS pos, tx_id, CAST(status = 'dubbel' AS BIGINT) AS known FROM preview WHERE error IS NULL",
+    _CORPUS,
+    _BANK_PREVIEW,
+)
 _add(
     "bank_import_counts",
     "SELECT count(*) FILTER (status = 'nieuw') AS n_new, count(*) FILTER (status = 'dubbel') AS n_dupe,"
@@ -758,6 +761,35 @@ SELECT src, tx_id, ym, place - 20 AS place FROM (
   FROM review WHERE {_WHOLE} AND {_QUEUES['split_text']}) WHERE place BETWEEN 21 AND 40
 """,
 )
+_add(
+    "review_page_deep",
+    f"""
+SELECT src, tx_id, ym, place, 'all' AS queue FROM (
+  SELECT src, tx_id, ym, row_number() OVER (ORDER BY ym DESC, src, tx_id DESC) AS place FROM review WHERE {_WHOLE})
+WHERE place BETWEEN 1201 AND 1220
+UNION ALL
+SELECT src, tx_id, ym, place, 'split_text' FROM (
+  SELECT src, tx_id, ym, row_number() OVER (ORDER BY ym DESC, src DESC, tx_id DESC) AS place, count(*) OVER () AS n
+  FROM review WHERE {_WHOLE} AND {_QUEUES['split_text']}) WHERE place > (n + 19) // 20 * 20 - 20
+""",
+)
+_add(
+    "queue_search_indexed",
+    f"""
+SELECT src, tx_id, needle FROM review,
+  unnest(['  FURN%', 'Huis', 'ery ger', 'BUILDING CHINA NL00', 'sho', 'op', 'nowhere at all']) u(needle)
+WHERE {_WHOLE} AND (
+  contains(lower(coalesce(description, '')), lower(trim(replace(needle, '%', '')))) OR
+  contains(lower(coalesce(merchant, '')), lower(trim(replace(needle, '%', '')))) OR
+  contains(lower(coalesce(category, '')), lower(trim(replace(needle, '%', '')))) OR
+  contains(lower(coalesce(subcategory, '')), lower(trim(replace(needle, '%', '')))))
+""",
+)
+_add(
+    "rows_by_id",
+    f"SELECT src, tx_id, {_d('amount', 'amount')}, category, flow_kind FROM"
+    " (SELECT * FROM ledger ORDER BY tx_id, src LIMIT 5) WHERE flow_kind NOT IN ('internal', 'cc_settlement')",
+)
 _add(
     "queue_totals",
     " UNION ALL ".join(
@@ -910,61 +942,42 @@ WHERE subcategory = 'furniture' AND category IN ('Huishouden', 'Wonen') GROUP BY
 )
 
 
-# Neighbours: the pairs that share a bucket, by the same hyperplanes.
-_VECTORS = """
-WITH size AS (SELECT max(len(embedding)) AS dims FROM embeddings
-), planes AS (
-  SELECT i, [CASE WHEN (31 * x * x * x + 17 * x * x + 7 * x) % 65521 < 32761 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END
-    FOR x IN range((i + 1) * 1009 + 1, (i + 1) * 1009 + 1 + dims)] AS plane
-  FROM range(32) r(i), size
-), buckets AS (
-  SELECT vec_id, any_value(label) AS label, i // 4 AS tab,
-    sum(CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), plane) > 0 THEN 1 << CAST(i % 4 AS INT) ELSE 0 END) AS bucket
-  FROM embeddings, planes GROUP BY vec_id, i // 4
-)
-"""
-
-
-def _near(name: str, same_scope: bool) -> str:
-    scope = "AND b.label % 2 = a.label % 2" if same_scope else ""
+# Neighbours: every query against every vector of its direction.
+def _near(name: str, scope: str = "", rows: str = "embeddings", label: str = "label") -> str:
     return f"""
-{name}_pairs AS (
-  SELECT DISTINCT a.vec_id AS q_id, b.vec_id AS p_id FROM buckets a
-  JOIN buckets b ON b.tab = a.tab AND b.bucket = a.bucket AND b.vec_id <> a.vec_id {scope}
-), {name} AS (
+{name} AS (
   SELECT * FROM (
-    SELECT CAST(q.vec_id AS VARCHAR) AS point_id, p.label,
+    SELECT CAST(q.vec_id AS VARCHAR) AS point_id, q.{label} AS q_label, p.{label} AS label,
       list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY
         list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, CAST(p.vec_id AS VARCHAR))
         AS place
-    FROM {name}_pairs JOIN embeddings q ON q.vec_id = q_id JOIN embeddings p ON p.vec_id = p_id) WHERE place <= 5
-), {name}_tops AS (
-  SELECT point_id, count(DISTINCT label) AS labels, count(*) AS n, arg_min(label, place) AS top FROM {name} GROUP BY point_id
+    FROM {rows} q JOIN {rows} p ON p.vec_id <> q.vec_id {scope}) WHERE place <= 5
 ), {name}_votes AS (
-  SELECT CAST(vec_id AS VARCHAR) AS point_id, label AS q_label, labels, n, top
-  FROM embeddings e LEFT JOIN {name}_tops t ON t.point_id = CAST(e.vec_id AS VARCHAR)
+  SELECT point_id, count(DISTINCT label) AS labels, count(*) AS n, arg_min(label, place) AS top, any_value(q_label) AS q_label
+  FROM {name} GROUP BY point_id
 )
 """
 
 
+_SAME = "AND p.label % 2 = q.label % 2"
+
 ORACLE["knn_top5"] = (
-    f"{_VECTORS}, {_near('near', True)} SELECT point_id, place, concat('C', label % 5) AS category,"
+    f"WITH {_near('near', _SAME)} SELECT point_id, place, concat('C', label % 5) AS category,"
     " round(score, 4) AS score FROM near"
 )
 ORACLE["knn_proposals"] = f"""
-{_VECTORS}, {_near('near', True)}, tallies AS (
+WITH {_near('near', _SAME)}, tallies AS (
   SELECT point_id, string_agg(concat('C', label % 5, ':s', label, ':', n), ','
     ORDER BY n DESC, concat('C', label % 5), concat('s', label)) AS split
   FROM (SELECT point_id, label, count(*) AS n FROM near GROUP BY 1, 2) GROUP BY point_id
 )
-SELECT point_id, CASE WHEN n > 0 THEN concat('C', top % 5) END AS category, CASE WHEN n > 0 THEN concat('s', top) END AS subcategory,
-  CAST(labels = 1 AND n >= 3 AS BIGINT) AS unanimous, n AS neighbor_n, CAST(labels > 1 AS BIGINT) AS mixed,
-  coalesce(split, '') AS split
-FROM near_votes LEFT JOIN tallies USING (point_id)
+SELECT point_id, concat('C', top % 5) AS category, concat('s', top) AS subcategory,
+  CAST(labels = 1 AND n >= 3 AS BIGINT) AS unanimous, n AS neighbor_n, CAST(labels > 1 AS BIGINT) AS mixed, split
+FROM near_votes JOIN tallies USING (point_id)
 """
 ORACLE["knn_variants"] = f"""
-{_VECTORS}, {_near('near', True)}, {_near('wide', False)}, variants AS (
+WITH {_near('near', _SAME)}, {_near('wide')}, variants AS (
   SELECT 'C' AS variant, q_label, top FROM near_votes
   UNION ALL SELECT 'C''', q_label, CASE WHEN labels = 1 AND n >= 3 THEN top END FROM near_votes
   UNION ALL SELECT 'all', q_label, top FROM wide_votes
@@ -975,6 +988,29 @@ SELECT variant, n, shown, category_ok, pair_ok, n - shown AS silent,
 FROM (SELECT variant, count(*) AS n, count(top) AS shown, count(*) FILTER (top % 5 = q_label % 5) AS category_ok,
   count(*) FILTER (top = q_label) AS pair_ok FROM variants GROUP BY variant)
 """
+ORACLE["knn_recall"] = """
+SELECT count(*) AS queries, CAST(sum(least(5, others)) AS BIGINT) AS neighbours, CAST(1 AS BIGINT) AS enough
+FROM (SELECT count(*) OVER (PARTITION BY label % 2) - 1 AS others FROM embeddings)
+"""
+# Ledger rows that have a vector: their own neighbours before or after memory.
+_PROPOSED = f"""
+vectors AS (
+  SELECT e.vec_id, e.embedding, b.direction AS way, {{'c': l.category, 's': l.subcategory}} AS pair, l.*
+  FROM loo l JOIN bank b ON l.src = 'bank' AND b.tx_id = l.tx_id JOIN embeddings e ON e.vec_id = b.id
+), {_near('near', 'AND p.way = q.way', 'vectors', 'pair')}, variants AS (
+  SELECT v.*, n.labels = 1 AND n.n >= 3 AS unanimous, n.top.c AS k_category, n.top.s AS k_sub
+  FROM vectors v LEFT JOIN near_votes n ON n.point_id = CAST(v.vec_id AS VARCHAR)
+), judged_variants AS (
+  SELECT 'C' AS variant, category, subcategory, k_category AS p_category, k_sub AS p_sub FROM variants
+  UNION ALL SELECT 'C''', category, subcategory, CASE WHEN unanimous THEN k_category END, CASE WHEN unanimous THEN k_sub END
+  FROM variants
+  UNION ALL SELECT 'E', category, subcategory,
+    CASE WHEN m_n IS NOT NULL THEN m_category WHEN unanimous THEN k_category END,
+    CASE WHEN m_n IS NOT NULL THEN m_sub WHEN unanimous THEN k_sub END FROM variants
+)
+"""
+_add("knn_memory_variants", _tally("judged_variants", by="variant"), _CORPUS, _PROPOSED)
+_add("knn_confusion", _CONFUSION.replace("FROM variants", "FROM judged_variants"), _CORPUS, _PROPOSED)
 _add(
     "point_ids",
     f"""
@@ -988,6 +1024,111 @@ FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat(
 """,
 )
 
+ORACLE["points_stored"] = """
+WITH p AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS point_id, label, len(embedding) AS size FROM embeddings
+), b AS (SELECT *, left(md5(point_id), 2) AS bucket FROM p
+), known AS (SELECT DISTINCT bucket FROM b WHERE vec_id % 4 <> 0 OR vec_id % 10 = 0
+), written AS (
+  SELECT bucket, CASE
+    WHEN bucket IN (SELECT bucket FROM b WHERE vec_id % 100 = 3) THEN 4
+    WHEN bucket IN (SELECT bucket FROM b WHERE vec_id % 50 = 7) THEN 3
+    WHEN bucket IN (SELECT bucket FROM b WHERE vec_id % 10 = 0) THEN 2 ELSE 1 END AS generation FROM known
+)
+SELECT point_id, CASE WHEN label % 2 = 0 THEN 'Af' ELSE 'Bij' END AS direction,
+  CASE WHEN vec_id % 10 = 0 THEN 'N' ELSE concat('C', label % 5) END AS category,
+  CASE WHEN vec_id % 50 = 7 THEN 'P' ELSE concat('s', label) END AS subcategory, bucket,
+  CAST(generation AS BIGINT) AS generation, CAST(size AS BIGINT) AS size
+FROM b JOIN written USING (bucket) WHERE (vec_id % 4 <> 0 OR vec_id % 10 = 0) AND vec_id % 100 <> 3
+"""
+_add("suggestions_stored", "SELECT * FROM suggested", _CORPUS)
+_add("suggestions_refreshed", "SELECT * FROM suggested", _CORPUS)
+_add(
+    "suggestions_corrected",
+    "SELECT * FROM suggested",
+    _CORPUS.replace(
+        "coalesce(category, '') AS category, coalesce(subcategory, '') AS subcategory FROM review",
+        "CASE WHEN src = 'bank' AND id % 9 = 0 THEN 'Wonen' ELSE coalesce(category, '') END AS category,"
+        " CASE WHEN src = 'bank' AND id % 9 = 0 THEN 'tuin' ELSE coalesce(subcategory, '') END AS subcategory FROM review",
+    ),
+)
+_add(
+    "ledger_copy",
+    f"SELECT ym, count(*) AS n, {_d('sum(amount)', 'amount')}, CAST(0 AS BIGINT) AS similarities,"
+    " 'copied,skipped' AS outcomes FROM bank GROUP BY ym",
+)
+_add(
+    "stored_terms",
+    "SELECT DISTINCT 'hoofd' AS namespace, category AS source, concat('EN ', category) AS text FROM ledger"
+    " WHERE category LIKE '%s%'",
+)
+_add(
+    "denied_merchants",
+    """
+SELECT merchant, CAST(key = '' OR key IN ('persoon', 'spaarrekening')
+  OR regexp_full_match(replace(key, '.', ''), 'ing(\\s+bank(\\s+nv)?)?') AS BIGINT) AS denied
+FROM (SELECT DISTINCT merchant, lower(trim(coalesce(merchant, ''))) AS key FROM (
+  SELECT merchant FROM ledger UNION ALL SELECT ' ' || upper(merchant) FROM ledger UNION ALL SELECT 'I.N.G. Bank'))
+""",
+)
+_add(
+    "bank_csv_round_trip",
+    f"""
+SELECT md5(concat(raw_date, raw_description, raw_memo, raw_balance)) AS tx_id, strftime(tx_date, '%Y-%m-%d') AS tx_date,
+  {_d('amount', 'amount')}, direction, raw_description, raw_memo, {_d('balance_after', 'balance_after')},
+  CASE WHEN tx_date IS NULL THEN 'date' WHEN amount IS NULL THEN 'amount' WHEN balance_after IS NULL THEN 'balance' END AS error
+FROM (SELECT *, TRY_CAST(TRY_STRPTIME(raw_date, '%Y%m%d') AS DATE) AS tx_date,
+  abs(TRY_CAST(CASE WHEN raw_amount LIKE '%,%' THEN replace(replace(replace(raw_amount, ' ', ''), '.', ''), ',', '.')
+    ELSE replace(raw_amount, ' ', '') END AS DECIMAL(18,2))) AS amount,
+  TRY_CAST(raw_balance AS DECIMAL(18,2)) AS balance_after
+  FROM (SELECT {_select(BANK_CSV_CELLS)} FROM bank))
+""",
+)
+_add(
+    "card_text_round_trip",
+    f"""
+SELECT tx_id, CASE WHEN error IS NULL THEN strftime(tx_date, '%Y-%m-%d') END AS tx_date,
+  CASE WHEN error IS NULL THEN t_desc END AS raw_description,
+  CASE WHEN error IS NULL THEN t_type END AS card_type, {_d('CASE WHEN error IS NULL THEN signed END', 'signed')}, direction, error
+FROM keyed
+""",
+    _CORPUS,
+    _CARD_PREVIEW,
+)
+_add(
+    "import_neighbours",
+    """
+SELECT file, id AS pos, status, CASE WHEN mixed AND source <> 'regel' THEN 'doubt' ELSE tone END AS tone,
+  CAST(mixed AS BIGINT) AS neighbours_mixed, coalesce(near, '') AS near
+FROM (SELECT p.*, n.near, coalesce(n.labels > 1, FALSE) AS mixed FROM preview p LEFT JOIN (
+  SELECT r_id, string_agg(concat(vec_id, ':C', label % 5, ':s', label), ',' ORDER BY place) AS near,
+    count(DISTINCT label) AS labels
+  FROM (
+    SELECT r.id AS r_id, p.vec_id, p.label, row_number() OVER (PARTITION BY r.id ORDER BY
+      list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, CAST(p.vec_id AS VARCHAR)) AS place
+    FROM preview r JOIN embeddings q ON q.vec_id = r.id
+    JOIN embeddings p ON CASE WHEN p.label % 2 = 0 THEN 'Af' ELSE 'Bij' END = r.direction
+    WHERE r.status = 'nieuw' AND r.shown <> '') WHERE place <= 5 GROUP BY r_id) n ON n.r_id = p.id)
+""",
+    _CORPUS,
+    _BANK_PREVIEW,
+)
+_MOVED = "subcategory = 'furniture' AND category IN ('Huishouden', 'Wonen')"
+_add(
+    "move_over_tables",
+    f"""
+SELECT t.src, t.category, t.subcategory, count(*) AS n, t.table_name, 'before' AS moment FROM movable t WHERE {_MOVED} GROUP BY ALL
+UNION ALL SELECT src, 'Wonen', subcategory, count(*), table_name, 'after' FROM movable WHERE {_MOVED} GROUP BY ALL
+UNION ALL SELECT NULL, 'Huishouden', 'furniture', 0, unnest(['bank', 'card', 'suggestions']), 'left'
+""",
+    _CORPUS,
+    """
+movable AS (
+  SELECT src, category, subcategory, CASE WHEN src = 'bank' THEN 'bank' ELSE 'card' END AS table_name FROM ledger
+  UNION ALL SELECT src, category, subcategory, 'suggestions' FROM suggested
+)
+""",
+)
+
 # Audits.
 _CREDIT = "direction = 'Bij'"
 _N_SUM = f"count(*) AS n, {_d('sum(amount)', 'amount')}"

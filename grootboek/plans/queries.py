@@ -11,10 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grootboek.checkpoints import checkpointed
-from grootboek.functions.text import INDEX_LIMIT, anonymise, key_of_clean, looks_secret, redact, strip_iban
+from grootboek.checkpoints import checkpointed, shared_folder
+from grootboek.functions.text import (
+    INDEX_LIMIT,
+    anonymise,
+    is_denied_merchant,
+    key_of_clean,
+    looks_secret,
+    redact,
+    strip_iban,
+)
 from grootboek.operators import audits, corrections, imports, memory, neighbours, reports, review, settle
-from grootboek.operators.classify import transfer_legs
+from grootboek.operators.classify import SEARCHED, transfer_legs
+from grootboek.operators.imports import with_known
 from grootboek.operators.period import (
     Period,
     in_pay_cycle,
@@ -23,8 +32,13 @@ from grootboek.operators.period import (
     payday_starts,
     year_bounds,
 )
+from grootboek.operators.refresh import SuggestionStore
+from grootboek.operators.text_index import TextIndex
 from grootboek.plans import fixtures as fx
-from grootboek.sources.ledgers import table_stats
+from grootboek.sources import bank_csv, card_text
+from grootboek.sources.ledgers import copy_table, loaded_ids, read_bank, read_terms, table_stats
+from grootboek.sources.bucket_table import BucketTable, bucket_of
+from grootboek.sources.vector_table import VectorTable
 from grootboek.vocabulary import EXPENSE, REFUND
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +341,18 @@ def bank_import_counts(spark, sf_dir):
     return imports.preview_counts(_bank_preview(spark, sf_dir))
 
 
+@query
+def bank_csv_round_trip(spark, sf_dir):
+    """Bank cells written as CSV files, with cells over several lines, and read again as an import reads them."""
+    names = {new: old for old, new in bank_csv.COLUMNS.items()}
+    cells = fx.bank_csv_cells(spark, sf_dir).select(*[F.col(c).alias(names[c]) for c in names])
+    path = shared_folder(spark, "bank-csv")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    cells.write.options(header=True, sep=";", quote='"', escape='"', **kept).csv(path)
+    rows = bank_csv.parse_bank_rows(bank_csv.read_bank_csv(spark, path))
+    return rows.select("tx_id", "tx_date", "amount", "direction", "raw_description", "raw_memo", "balance_after", "error")
+
+
 def _card_preview(spark, sf_dir):
     recalled = memory.text_memory(memory.memory_corpus(fx.ledger(spark, sf_dir)))
     card = fx.card_ledger(spark, sf_dir)
@@ -339,6 +365,29 @@ def card_import_preview(spark, sf_dir):
     return preview.select("pos.seq", *[c for c in preview.columns if c != "pos"])
 
 
+@query
+def card_text_round_trip(spark, sf_dir):
+    """Statement lines written as text files and read again; a file holds whole blocks of lines, in their order."""
+    lines = fx.card_lines(spark, sf_dir).repartitionByRange("file", "block").sortWithinPartitions("file", "block", "seq")
+    path = shared_folder(spark, "statements")
+    lines.select("line", "file").write.partitionBy("file").text(path)
+    read = card_text.read_card_text(spark, f"{path}/*")
+    parsed = card_text.parse_card_lines(card_text.stitch_lines(read))
+    read = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("raw_description", "card_type", "signed")]
+    return parsed.select("tx_id", F.when(F.col("error").isNull(), F.col("tx_date")).alias("tx_date"), *read, "direction", "error")
+
+
+@query
+def import_neighbours(spark, sf_dir):
+    """Import rows with the labels of their nearest ledger rows; those that disagree put a row in doubt."""
+    preview = _bank_preview(spark, sf_dir)
+    embeddings = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    vectors = preview.join(embeddings, "pos").select("file", "pos", "embedding")
+    found = neighbours.import_neighbours(preview, vectors, fx.points(spark, sf_dir))
+    near = F.transform("neighbours", lambda n: F.concat_ws(":", n["point_id"], n["category"], n["subcategory"]))
+    return found.select("file", "pos", "status", "tone", "neighbours_mixed", F.concat_ws(",", near).alias("near"))
+
+
 @query
 def refund_follows_charge(spark, sf_dir):
     rows = fx.ledger(spark, sf_dir).where(F.col("flow_kind").isin(EXPENSE, REFUND))
@@ -427,6 +476,54 @@ def review_page(spark, sf_dir):
     return review.present(review.page(rows, 3)).drop("embed_text")
 
 
+@query
+def review_page_deep(spark, sf_dir):
+    """A page far down in the queue of all rows, and the last one of the split-text queue, with the place of each row."""
+    every = review.queue(fx.ledger(spark, sf_dir), "all", WHOLE)
+    split = review.queue(fx.ledger(spark, sf_dir), "split_text", WHOLE)
+    n = review.queue_size(split).first()["n"]
+    deep = review.page_at(every, 61).select("src", "tx_id", "ym", "place", F.lit("all").alias("queue"))
+    last = review.page_at(split, -(-n // review.PAGE_SIZE), newest_source_first=True)
+    return deep.unionByName(last.select("src", "tx_id", "ym", "place", F.lit("split_text").alias("queue")))
+
+
+@query
+def queue_search_indexed(spark, sf_dir):
+    """Rows with a text in one of the searched columns, by an index of the text that an import has added to."""
+    ledger = fx.ledger(spark, sf_dir)
+    rows = checkpointed(review.queue(ledger, "all", WHOLE).select("src", "tx_id", "id", *SEARCHED))
+    index = TextIndex.create(rows.where(F.col("id") % 7 != 0), shared_folder(spark, "text-index"), digits=1)
+    index.add(rows.where(F.col("id") % 7 == 0), "import", digits=1)
+    found = None
+    for text in ("  FURN%", "Huis", "ery ger", "BUILDING CHINA NL00", "sho", "op", "nowhere at all", ""):
+        part = index.search(text).withColumn("needle", F.lit(text))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def known_ids(spark, sf_dir):
+    """Which rows of an import are loaded already, by an index of ids of which only the import's buckets are read."""
+    raw = bank_csv.parse_bank_rows(fx.bank_cells(spark, sf_dir)).where("error is null").select("file", "pos", "tx_id")
+    ids = BucketTable.create(
+        loaded_ids(fx.bank_ledger(spark, sf_dir)), shared_folder(spark, "ids"), ["tx_id"], digits=1
+    )
+    raw = checkpointed(raw)
+    return with_known(raw, ids).select("file", "pos", "tx_id", "known")
+
+
+@query
+def rows_by_id(spark, sf_dir):
+    """Five rows looked up one by one in a ledger stored by id; structural ones are not shown."""
+    ledger = checkpointed(fx.ledger(spark, sf_dir).select("src", "tx_id", "amount", "category", "flow_kind"))
+    stored = BucketTable.create(ledger, shared_folder(spark, "ledger"), ["src", "tx_id"])
+    found = None
+    for row in ledger.orderBy("tx_id", "src").limit(5).collect():
+        one = review.one_row(stored.one(row["src"], row["tx_id"]), row["src"], row["tx_id"])
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query
 def split_text_page(spark, sf_dir):
     """The second page of the split-text queue, bank rows before card rows turned around, with the place of each row."""
@@ -523,6 +620,25 @@ def bulk_corrections(spark, sf_dir):
     return corrections.judge(bulk, ledger, reports.allowed_pairs(ledger)).select("seq", "src", "tx_id", "reason")
 
 
+@query
+def move_over_tables(spark, sf_dir):
+    """A pair moved in both ledgers and in the stored suggestions: counts before and after, and what is left behind."""
+    ledger, pair = fx.ledger(spark, sf_dir), ("Huishouden", "Wonen", "furniture")
+    tables = {
+        "bank": ledger.where(F.col("src") == "bank").select("src", *memory.LABEL),
+        "card": ledger.where(F.col("src") == "cc").select("src", *memory.LABEL),
+        "suggestions": checkpointed(_suggested(spark, sf_dir)).select("src", *memory.LABEL),
+    }
+    moved, counts = corrections.move(tables, *pair)
+    corrections.check_moved(moved, pair[0], pair[2])
+    left = None
+    for name, table in moved.items():
+        part = corrections.left_behind(table, pair[0], pair[2]).agg(F.count(F.lit(1)).alias("n"))
+        part = part.select(F.lit(None).cast("string").alias("src"), F.lit(pair[0]).alias("category"), F.lit(pair[2]).alias("subcategory"), "n", F.lit(name).alias("table_name"), F.lit("left").alias("moment"))
+        left = part if left is None else left.unionByName(part)
+    return counts.unionByName(left)
+
+
 @query
 def relabel_counts(spark, sf_dir):
     ledger, move = fx.ledger(spark, sf_dir), ("Huishouden", "Wonen", "furniture")
@@ -538,7 +654,7 @@ def relabel_counts(spark, sf_dir):
 
 def _neighbours(spark, sf_dir, scope="direction"):
     points = fx.points(spark, sf_dir)
-    return neighbours.labelled(neighbours.nearest(points, points, scope=scope, tables=8, bits=4))
+    return neighbours.labelled(neighbours.nearest(points, points, scope=scope))
 
 
 @query
@@ -581,12 +697,142 @@ def knn_variants(spark, sf_dir):
     return judged("direction", "C").unionByName(judged(None, "all"))
 
 
+def _proposed(spark, sf_dir) -> DataFrame:
+    """Ledger rows that have a vector, with their memory and what their neighbours propose."""
+    corpus = _with_memory(spark, sf_dir).where(F.col("src") == "bank")
+    ids = fx.bank_ledger(spark, sf_dir).select(F.col("id").alias("vec_id"), F.col("tx_id").alias("_tx_id"), F.col("direction").alias("way"))
+    vectors = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = checkpointed(corpus.join(ids.join(vectors, "vec_id"), F.col("tx_id") == F.col("_tx_id")))
+    points = rows.select(
+        F.col("vec_id").cast("string").alias("point_id"),
+        F.col("way").alias("direction"),
+        F.struct("category", "subcategory").alias("payload"),
+        "embedding",
+    )
+    found = neighbours.labelled(neighbours.nearest(points, points)).withColumn("p", neighbours.proposal(F.col("neighbours")))
+    return rows.join(found, F.col("vec_id").cast("string") == F.col("point_id")).select(*memory.LABEL, "memory", "p")
+
+
+def _neighbour_variants() -> dict[str, Column]:
+    """Live neighbours, unanimous ones only, and memory before those."""
+    pair = F.struct("p.category", "p.subcategory")
+    unanimous = F.when(F.col("p.unanimous"), pair)
+    recalled = F.when(F.col("memory").isNotNull(), F.struct("memory.category", "memory.subcategory"))
+    return {
+        "C": F.when(F.col("p").isNotNull(), pair),
+        "C'": unanimous,
+        "E": memory.first_proposal(recalled, unanimous),
+    }
+
+
+@query
+def knn_memory_variants(spark, sf_dir):
+    return memory.compare_variants(_proposed(spark, sf_dir), _neighbour_variants())
+
+
+@query
+def knn_confusion(spark, sf_dir):
+    return memory.confusion_by_variant(_proposed(spark, sf_dir), _neighbour_variants())
+
+
+@query
+def knn_recall(spark, sf_dir):
+    """Whether the approximate search finds nine in ten of the true neighbours on the given vectors."""
+    points = fx.points(spark, sf_dir)
+    found = neighbours.nearest(points, points, recall=0.95)
+    measured = neighbours.recall(found, neighbours.nearest_exact(points, points))
+    return measured.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query
 def point_ids(spark, sf_dir):
     rows = neighbours.index_rows(fx.ledger(spark, sf_dir))
     return rows.select("point_id", "index_text", "payload.*")
 
 
+@query
+def points_stored(spark, sf_dir):
+    """The vector table after an upsert, a patch and a removal, read back, with the generation of each point's bucket."""
+    points, number = fx.points(spark, sf_dir), F.col("point_id").cast("long")
+    table = VectorTable.of(points.where(number % 4 != 0), shared_folder(spark, "points"))
+    table.upsert(points.where(number % 10 == 0).withColumn("payload", F.col("payload").withField("category", F.lit("N"))))
+    named = points.where(number % 50 == 7).select("point_id")
+    table.patch(named.select("point_id", F.lit(None).cast("string").alias("category"), F.lit("P").alias("subcategory")))
+    table.remove(points.where(number % 100 == 3))
+    at = table.manifest()
+    written = spark.createDataFrame(list(at.numbers.items()), "bucket string, generation long")
+    rows = table.read().withColumn("bucket", bucket_of(at.keys, at.digits)).join(written, "bucket")
+    return rows.select("point_id", "direction", "payload.category", "payload.subcategory", "bucket", "generation", F.size("embedding").alias("size"))
+
+
+@query
+def suggestions_stored(spark, sf_dir):
+    """Suggestions written, written again over themselves, and read back."""
+    path, suggested = shared_folder(spark, "suggestions"), checkpointed(_suggested(spark, sf_dir))
+    for _ in range(2):
+        memory.write_suggestions(suggested, path)
+    return spark.read.parquet(path)
+
+
+def _corpus_parts(spark, sf_dir):
+    """The corpus without every seventh bank row, and those rows: an import of rows with old and with new texts."""
+    corpus = checkpointed(memory.memory_corpus(fx.ledger(spark, sf_dir)))
+    ids = fx.bank_ledger(spark, sf_dir).where(F.col("id") % 7 == 0).select("tx_id")
+    late = F.col("src") == "bank"
+    added = corpus.where(late).join(ids, "tx_id", "left_semi")
+    return corpus.where(~late).unionByName(corpus.where(late).join(ids, "tx_id", "left_anti")), added
+
+
+@query
+def suggestions_refreshed(spark, sf_dir):
+    """Suggestions of a part of the ledger, brought up to date when the rest is imported."""
+    before, added = _corpus_parts(spark, sf_dir)
+    store = SuggestionStore.create(before, shared_folder(spark, "store"), digits=1)
+    store.refresh("import", added)
+    return store.read()
+
+
+@query
+def suggestions_corrected(spark, sf_dir):
+    """Suggestions brought up to date when every ninth bank row gets another label."""
+    corpus = checkpointed(memory.memory_corpus(fx.ledger(spark, sf_dir)))
+    ids = fx.bank_ledger(spark, sf_dir).where(F.col("id") % 9 == 0).select("tx_id")
+    old = checkpointed(corpus.where(F.col("src") == "bank").join(ids, "tx_id", "left_semi"))
+    new = old.withColumns({"category": F.lit("Wonen"), "subcategory": F.lit("tuin")})
+    store = SuggestionStore.create(corpus, shared_folder(spark, "store"), digits=1)
+    store.refresh("correction", new, old)
+    return store.read()
+
+
+@query
+def ledger_copy(spark, sf_dir):
+    """The bank ledger copied with checks, copied again (left alone), and read back by month."""
+    path, bank = shared_folder(spark, "copy"), checkpointed(fx.bank_ledger(spark, sf_dir))
+    outcomes = [copy_table(spark, bank, path), copy_table(spark, bank, path)]
+    rows = read_bank(spark, path).groupBy("ym").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"), F.count("similarity").alias("similarities")
+    )
+    return rows.withColumn("outcomes", F.lit(",".join(outcomes)))
+
+
+@query
+def stored_terms(spark, sf_dir):
+    """Translations of two locales, stored, and those of one read back."""
+    path, terms = shared_folder(spark, "terms"), fx.terms(spark, sf_dir)
+    other = terms.withColumn("text", F.concat(F.lit("DE "), F.col("source")))
+    both = terms.withColumn("locale", F.lit("en")).unionByName(other.withColumn("locale", F.lit("de")))
+    both.write.parquet(path)
+    return read_terms(spark, path, "en")
+
+
+@query
+def denied_merchants(spark, sf_dir):
+    """Every merchant, and whether its name says nothing about what was bought."""
+    names = fx.ledger(spark, sf_dir).select("merchant").distinct()
+    spelled = names.select(F.explode(F.array("merchant", F.concat(F.lit(" "), F.upper("merchant")), F.lit("I.N.G. Bank"))).alias("merchant"))
+    return spelled.distinct().select("merchant", is_denied_merchant(F.col("merchant")).alias("denied"))
+
+
 # Audits.
 
 

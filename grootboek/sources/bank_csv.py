@@ -1,8 +1,10 @@
 """Bank CSV files.
 
-Files are read by Spark's CSV reader with an explicit all-text schema, so large files split over tasks. Two facts are
-looked up per file before that: its header and separator (from its first lines), and whether quoted cells contain
-line breaks, in which case that file cannot be split and is read whole by one task.
+Files are read with an explicit all-text schema and split over tasks, whatever is in them. Two facts are looked up per
+file before that: its header and separator (from its first lines), and whether a quoted cell runs over a line's end. A
+file without such cells goes to Spark's CSV reader. Otherwise its lines are put together to records first
+(``_records``): a file block is read by a task of its own, and whether a line begins inside a quoted cell follows from
+what the lines before it do to an open quote, block by block.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,7 @@ from grootboek.functions.dates import bank_date
 from grootboek.functions.ids import bank_tx_id
 from grootboek.functions.money import MONEY, parse_amount
 from grootboek.functions.text import strip, text_or_empty
+from grootboek.skew import lookup
 from grootboek.sources.ledgers import union_all
 
 # Header names of the bank's export, and ours.
@@ -62,16 +65,110 @@ def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     )
 
 
+def _opens(line: Column, separator: str) -> Column:
+    """Whether a line that begins outside of quotes ends inside a quoted cell. A quote inside a bare cell is text."""
+    inside, bare = '(?:[^"]|"")*+', f"[^{separator}]*+"
+    cell = f'(?:"{inside}"{bare}|(?!"){bare})'
+    return line.rlike(f'(?s)^(?:{cell}{separator})*+"{inside}$')
+
+
+def _stays_open(line: Column, separator: str) -> Column:
+    """Whether a line that begins inside a quoted cell ends inside one: in the same or in another one."""
+    closed = F.regexp_extract(line, f'(?s)^(?:[^"]|"")*+"[^{separator}]*+{separator}(.*)$', 1)
+    return line.rlike('(?s)^(?:[^"]|"")*+$') | _opens(closed, separator)
+
+
 def _heads(lines: DataFrame) -> DataFrame:
     """First line, separator and whether a quoted cell holds a line break, per file, in one pass over the lines."""
-    odd_quotes = (F.length("line") - F.length(F.translate("line", '"', ""))) % 2 == 1
     first = F.min(F.when(F.col("block") == 0, F.struct("seq", "line")))["line"]
-    heads = lines.groupBy("file").agg(first.alias("header"), F.max(odd_quotes).alias("broken"))
+    some = F.col("line").contains('"')
+    broken = [F.max(some & _opens(F.col("line"), sep)).alias(name) for sep, name in ((";", "_semi"), (",", "_comma"))]
+    heads = lines.groupBy("file").agg(first.alias("header"), *broken)
 
     def occurrences(char: str) -> Column:
         return F.length("header") - F.length(F.translate("header", char, ""))
 
-    return heads.withColumn("separator", F.when(occurrences(";") >= occurrences(","), ";").otherwise(","))
+    semi = occurrences(";") >= occurrences(",")
+    return heads.select(
+        "file",
+        "header",
+        F.when(semi, ";").otherwise(",").alias("separator"),
+        F.when(semi, F.col("_semi")).otherwise(F.col("_comma")).alias("broken"),
+    )
+
+
+def _records(lines: DataFrame, separator: str) -> DataFrame:
+    """The records of files whose quoted cells hold line breaks: (file, block, seq, line, first) with the place of the
+    record's first line, the whole text of the record, and whether it is the file's first.
+
+    A line keeps a quote open or shut, opens, shuts or flips it. Whether it begins inside a quoted cell is decided by the
+    last line before it that opens or shuts whatever came, and by the flips since then; for the lines before a block,
+    that is one value per block. Lines of one record meet by its first line; all other lines stay where they are. A quote
+    that is never shut makes the rest of its file one record.
+    """
+    kinds = lines.withColumns({"_out": _opens(F.col("line"), separator), "_in": _stays_open(F.col("line"), separator)})
+    flips = (F.col("_out") & ~F.col("_in")).cast("int")
+    # Opens or shuts, whatever came.
+    fixed = F.when(F.col("_out") == F.col("_in"), F.col("_in").cast("int"))
+    here = Window.partitionBy("file", "block").orderBy("seq")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    counted = kinds.select(
+        "file", "block", "seq", "line", fixed.alias("_fixed"), F.sum(flips).over(here).alias("_flips"), flips.alias("_flip")
+    )
+    marked = F.when(F.col("_fixed").isNotNull(), F.struct(F.col("_fixed").alias("to"), F.col("_flips").alias("at")))
+    traced = counted.select(
+        "file",
+        "block",
+        "seq",
+        "line",
+        marked.alias("_mark"),
+        "_flips",
+        F.last(marked, ignorenulls=True).over(before).alias("_last"),
+        (F.col("_flips") - F.col("_flip")).alias("_sofar"),
+        F.row_number().over(here).alias("_nth"),
+    )
+    # What a whole block does to an open quote, and from that the state in which each block begins.
+    end = traced.groupBy("file", "block").agg(
+        F.max_by(F.coalesce("_mark", "_last"), "seq").alias("_end"), F.max("_flips").alias("_all")
+    )
+    by_block = Window.partitionBy("file").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_all").over(by_block) - F.col("_all")
+    ends = end.withColumn("_total", total)
+    known = F.when(
+        F.col("_end").isNotNull(),
+        F.struct(F.col("_end.to").alias("to"), (F.col("_total") + F.col("_end.at")).alias("at")),
+    )
+    carried = F.last(known, ignorenulls=True).over(earlier)
+    starts = ends.select("file", "block", carried.alias("_carried"), "_total").select(
+        "file",
+        "block",
+        ((F.coalesce("_carried.to", F.lit(0)) + F.col("_total") - F.coalesce("_carried.at", F.lit(0))) % 2).alias("_enters"),
+    )
+    placed = lookup(traced, starts, ["file", "block"], spread=["seq"])
+    inside = F.when(
+        F.col("_last").isNull(), (F.col("_enters") + F.col("_sofar")) % 2
+    ).otherwise((F.col("_last.to") + F.col("_sofar") - F.col("_last.at")) % 2)
+    stated = placed.select("file", "block", "seq", "line", (inside == 0).alias("_begins"), "_nth")
+    # The last line of the file so far that begins a record: within the block, or in an earlier one.
+    begun = F.when(F.col("_begins"), F.struct("block", "seq"))
+    within = stated.withColumn("_own", F.last(begun, ignorenulls=True).over(here))
+    last_of_block = within.groupBy("file", "block").agg(F.max("_own").alias("_lasts"))
+    before_block = last_of_block.select("file", "block", F.last("_lasts", ignorenulls=True).over(earlier).alias("_before"))
+    after = F.lead("_begins").over(here)
+    joined = lookup(within.withColumn("_next", after), before_block, ["file", "block"], spread=["seq"])
+    origin = F.coalesce("_own", "_before")
+    first = (F.col("block") == 0) & (F.col("_nth") == 1)
+    # A line that begins a record and is followed, in its block, by another such line is a whole record.
+    rows = joined.select("file", "block", "seq", "line", first.alias("first"), origin.alias("_from"), "_begins", "_next")
+    alone = rows.where(F.col("_begins") & F.coalesce("_next", F.lit(False)))
+    parts = rows.where(~F.col("_begins") | ~F.coalesce("_next", F.lit(False)))
+    whole = parts.groupBy("file", "_from").agg(
+        F.array_sort(F.collect_list(F.struct("block", "seq", "line"))).alias("_lines"), F.max("first").alias("first")
+    )
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    together = whole.select("file", "_from.block", "_from.seq", text.alias("line"), "first")
+    return alone.select("file", "block", "seq", "line", "first").unionByName(together)
 
 
 def _header_names(header: str, separator: str) -> list[str]:
@@ -98,32 +195,44 @@ def read_bank_csv(spark: SparkSession, paths: str | list[str], encoding: str = "
             raise CsvFormatError("missing columns: " + ", ".join(missing), names)
         alike[(tuple(names), head.separator, bool(head.broken))].append(head.file)
     return union_all(
-        [_read_alike(spark, files, names, sep, whole, encoding) for (names, sep, whole), files in alike.items()]
+        [_read_alike(spark, files, names, sep, broken, encoding) for (names, sep, broken), files in alike.items()]
     )
 
 
 def _read_alike(
-    spark: SparkSession, files: list[str], names: tuple[str, ...], separator: str, whole: bool, encoding: str
+    spark: SparkSession, files: list[str], names: tuple[str, ...], separator: str, broken: bool, encoding: str
 ) -> DataFrame:
     places = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(place, T.StringType()) for place in places])
-    reader = spark.read.schema(schema).options(
-        header=True, sep=separator, quote='"', escape='"', multiLine=whole, encoding=encoding, mode="PERMISSIVE"
-    )
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    block = F.struct(F.col("_block").alias("block"), F.col("_seq").alias("seq"))
+    if broken:
+        records = _records(_lines(spark, files, encoding), separator).where(~F.col("first"))
+        line = F.regexp_replace("line", "\r$", "")
+        cells = F.from_csv(line, ", ".join(f"{place} string" for place in places), options | {"multiLine": "true"})
+        found = records.where(line != "").select(
+            "file", F.col("block").alias("_block"), F.col("seq").alias("_seq"), cells.alias("_cells")
+        )
+        rows = found.select("file", block.alias("pos"), "_cells.*")
+    else:
+        reader = spark.read.schema(schema).options(header=True, encoding=encoding, **options)
+        rows = reader.csv(files).select(
+            "*",
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
+            ).alias("pos"),
+        )
     # A repeated header name means its last column.
     place_of = dict(zip(names, places))
-    cells = [
+    named = [
         text_or_empty(F.col(place_of[old]) if old in place_of else F.lit(None).cast("string")).alias(new)
         for old, new in COLUMNS.items()
     ]
-    block = F.struct(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
-    )
     filled = F.lit(False)
     for place in places:
         filled = filled | (strip(F.col(place)) != "")
-    rows = reader.csv(files).select("*", F.col("_metadata.file_path").alias("file"), block.alias("pos"))
-    return rows.where(filled).select("file", "pos", *cells)
+    return rows.where(filled).select("file", "pos", *named)
 
 
 def parse_bank_rows(raw: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from grootboek.functions.text import AnonymiseRules
 from grootboek.operators import corrections, imports, memory, neighbours, review, settle
 from grootboek.operators.classify import on_leg, transfer_legs
 from grootboek.operators.period import Period
+from grootboek.plans import fixtures
 from grootboek.skew import lookup
 from grootboek.sources.ledgers import CheckFailed
 
@@ -324,23 +325,57 @@ def test_nearest_exact_equals_brute_force(spark, monkeypatch):
         assert got[r[0]] == [rows[j][0] for j in sorted(same, key=lambda j: (-scores[i, j], rows[j][0]))[:5]]
 
 
-def test_nearest_recall_and_work(spark):
-    rng = np.random.default_rng(8)
-    found = {}
-    for n, bits in ((300, 4), (1200, 6)):
-        centres = rng.normal(size=(n // 15, 24))
-        vectors = [centres[i % len(centres)] + 0.25 * rng.normal(size=24) for i in range(n)]
-        rows = [(f"{i:04d}", "Af", v.astype("float32").tolist(), ("c", "s")) for i, v in enumerate(vectors)]
-        df = spark.createDataFrame(rows, "point_id string, direction string, embedding array<float>, payload struct<category:string,subcategory:string>")
-        exact = {r.point_id: {m.point_id for m in r.neighbours} for r in neighbours.nearest_exact(df, df).collect()}
-        near = {r.point_id: {m.point_id for m in r.neighbours} for r in neighbours.nearest(df, df, tables=12, bits=bits).collect()}
-        recall = sum(len(exact[i] & near[i]) for i in exact) / sum(map(len, exact.values()))
-        units = np.array([v / np.linalg.norm(v) for v in vectors])
-        sides = (units @ neighbours.planes(12, bits, 24).T > 0).reshape(n, 12, bits) @ (1 << np.arange(bits))
-        found[n] = recall, sum((np.bincount(t) ** 2).sum() for t in sides.T) / n
-    assert all(recall > 0.9 for recall, _ in found.values()), found
-    # Four times the vectors in four times the buckets: about as many comparisons for each query.
-    assert found[1200][1] < 1.6 * found[300][1], found
+_POINTS = "point_id string, direction string, embedding array<float>, payload struct<category:string,subcategory:string>"
+
+
+def _clustered(spark, n, seed, width=24):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 15, width))
+    vectors = [centres[i % len(centres)] + 0.25 * rng.normal(size=width) for i in range(n)]
+    rows = [(f"{i:04d}", "Af" if i % 4 else "Bij", v.astype("float32").tolist(), ("c", "s")) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, _POINTS)
+
+
+def _ids(found):
+    return {r.point_id: [(m.point_id, round(m.score, 9)) for m in r.neighbours] for r in found.collect()}
+
+
+@pytest.mark.parametrize("search", [{}, {"n_cells": 40, "probes": 1}, {"n_cells": 3}, {"n_cells": 1}])
+def test_nearest_is_exact_whatever_the_cells(spark, search):
+    df = _clustered(spark, 300, 8)
+    zeros = spark.createDataFrame([(f"z{i}", "Af", [0.0] * 24, ("c", "s")) for i in range(3)], _POINTS)
+    both = df.unionByName(zeros)
+    assert _ids(neighbours.nearest(both, both, **search)) == _ids(neighbours.nearest_exact(both, both))
+
+
+def test_nearest_of_odd_vectors(spark):
+    zeros = spark.createDataFrame([(f"z{i}", "Af", [0.0, 0.0], ("c", "s")) for i in range(4)], _POINTS)
+    same = spark.createDataFrame([(f"s{i}", "Af", [1.0, 1.0], ("c", "s")) for i in range(30)], _POINTS)
+    for df in (zeros, same, zeros.unionByName(same), same.limit(1), same.limit(0)):
+        assert _ids(neighbours.nearest(df, df)) == _ids(neighbours.nearest_exact(df, df))
+    assert _ids(neighbours.nearest(zeros, same.limit(0))) == {f"z{i}": [] for i in range(4)}
+
+
+def test_cells_spare_most_comparisons(spark):
+    """On vectors in clusters, bounds leave few cells to look into after the first ones."""
+    df = _clustered(spark, 1500, 5)
+    vectors = df.select(F.col("point_id").alias("vector_key"), F.lit("").alias("scope"), F.col("embedding").alias("vector"))
+    file, placed = neighbours.cells.built(vectors, 100)
+    file = file.with_rings(placed)
+    exact = {r.point_id: r.neighbours[-1].score for r in neighbours.nearest_exact(df, df, scope=None).collect()}
+    beat = spark.createDataFrame(list(exact.items()), "vector_key string, to_beat double")
+    still = placed.join(beat, "vector_key").select(F.size(file.reachable(F.col("vector"), F.col("to_beat"), 5)).alias("n"))
+    assert still.agg(F.avg("n")).first()[0] < 0.3 * file.size
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    points = fixtures.points(spark, f"/root/testdata/sf{sf}")
+    exact = neighbours.nearest_exact(points, points)
+    near = neighbours.recall(neighbours.nearest(points, points, recall=0.95), exact).first()
+    assert near.recall >= 0.9 and near.queries == points.count()
+    whole = neighbours.recall(neighbours.nearest(points, points), exact).first()
+    assert whole.recall == 1.0 and whole.neighbours == 5 * whole.queries
 
 
 def test_a_page_far_down_and_one_after_a_row(spark):
@@ -364,7 +399,7 @@ def test_neighbours_of_imported_rows(spark):
     rows = [("f", 0, "nieuw", "t", "text", "sure", "Af"), ("f", 1, "nieuw", "t", "text", "sure", "Af"), ("f", 2, "nieuw", "t", "regel", "sure", "Af"), ("f", 3, "dubbel", "t", "text", "", "Af"), ("f", 4, "nieuw", "", "text", "sure", "Af"), ("f", 5, "nieuw", "t", "text", "sure", "Bij")]
     preview = spark.createDataFrame(rows, "file string, pos int, status string, shown string, source string, tone string, direction string")
     vectors = spark.createDataFrame([("f", i, v) for i, v in enumerate([near, far, far, far, far, near])], "file string, pos int, embedding array<float>")
-    got = {r.pos: r for r in neighbours.import_neighbours(preview, vectors, corpus, tables=4, bits=1).collect()}
+    got = {r.pos: r for r in neighbours.import_neighbours(preview, vectors, corpus).collect()}
     assert {p: (r.tone, r.neighbours_mixed) for p, r in got.items()} == {
         0: ("sure", False), 1: ("doubt", True), 2: ("sure", True), 3: ("", False), 4: ("sure", False), 5: ("sure", False)
     }
@@ -385,8 +420,3 @@ def test_points(spark):
     assert neighbours.check_points(points, 2).count() == 1
     with pytest.raises(Exception, match="vector size"):
         neighbours.check_points(points, 3).collect()
-    patch = spark.createDataFrame([("p", "W", None)], "point_id string, category string, subcategory string")
-    assert tuple(neighbours.patch_payload(points, patch).first().payload) == ("W", "s")
-    with pytest.raises(CheckFailed):
-        neighbours.patch_payload(points, patch.withColumn("description", F.lit("x")))
-    assert neighbours.upsert_points(points, points).count() == 1

@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +87,73 @@ def test_copy_table(spark, tmp_path):
 
 def test_required_columns_are_mapped():
     assert set(bank_csv.REQUIRED) <= set(bank_csv.COLUMNS)
+
+
+# Records over several lines.
+
+
+def _random_csv(seed, rows=60, sep=";", end="\n"):
+    """A file with cells over several lines, doubled quotes and bare quotes, and its records by Python's reader."""
+    rng = random.Random(seed)
+    pieces = ["a", "bb", " ", sep, '"', "\n", "x" * 30, "é", '""']
+    lines, names = [HEADER.replace(";", sep)], HEADER.split(";")
+    for i in range(rows):
+        cells = []
+        for k in range(len(names)):
+            text = "".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 2, 6])))
+            if rng.random() < 0.6 or text.startswith('"') or set(text) & {sep, "\n"}:
+                cells.append('"' + text.replace('"', '""') + '"')
+            else:
+                cells.append(text)
+        cells[0] = f"{i:04d}"
+        lines.append(sep.join(cells))
+    content = end.join(lines) + (end if rng.random() < 0.5 else "")
+    return content, list(csv.reader(io.StringIO(content, newline=""), delimiter=sep))[1:]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut into blocks of a few lines."""
+    settings = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("seed, sep", [(1, ";"), (2, ";"), (3, ",")])
+def test_records_over_lines_and_blocks(spark, tmp_path, small_blocks, seed, sep):
+    content, want = _random_csv(seed, sep=sep)
+    other, more = _random_csv(seed + 10, rows=25, sep=sep)
+    paths = [_write(tmp_path, "a.csv", content), _write(tmp_path, "b.csv", other)]
+    rows = read_bank_csv(spark, paths)
+    assert rows.select("pos.block").distinct().count() > 10
+    order = ["raw_date", "raw_description", "raw_account", "raw_counter_account", "code", "direction", "raw_amount", "mutation_kind", "raw_memo", "raw_balance"]
+    for name, records in (("a.csv", want), ("b.csv", more)):
+        got = rows.where(F.col("file").endswith(name)).orderBy("pos").select(*order).collect()
+        assert [list(r) for r in got] == records
+
+
+def test_records_with_windows_line_ends(spark, tmp_path, small_blocks):
+    content = HEADER + '\r\n1;"two\r\nlines";R;;;Af;1;x;"m";2\r\n3;one;R;;;Af;1;x;m;4\r\n'
+    got = read_bank_csv(spark, _write(tmp_path, "w.csv", content)).orderBy("pos").collect()
+    assert [(r.raw_date, r.raw_description, r.raw_balance) for r in got] == [("1", "two\r\nlines", "2"), ("3", "one", "4")]
+
+
+def test_a_bare_quote_opens_nothing(spark, tmp_path):
+    content = HEADER + '\n1;5" pipe;R;;;Af;1;x;m;2\n3;6" pipe;R;;;Af;1;x;"a\nb";4\n5;"q""\n";R;;;Af;1;x;7" ;4\n'
+    got = read_bank_csv(spark, _write(tmp_path, "q.csv", content)).orderBy("pos").collect()
+    assert [(r.raw_date, r.raw_description, r.raw_memo) for r in got] == [("1", '5" pipe', "m"), ("3", '6" pipe', "a\nb"), ("5", 'q"\n', '7" ')]
+
+
+def test_a_quote_that_is_never_shut(spark, tmp_path, small_blocks):
+    content = HEADER + "\n1;one;R;;;Af;1;x;m;2\n" + '3;"two;R;;;Af;1;x;m;4\n' + "5;three;R;;;Af;1;x;m;6\n" * 20
+    got = read_bank_csv(spark, _write(tmp_path, "o.csv", content)).orderBy("pos").collect()
+    assert [r.raw_date for r in got] == ["1", "3"] and got[1].raw_description.count("three") == 20
+
+
+def test_files_without_line_breaks_are_read_as_they_are(spark, tmp_path):
+    path = _write(tmp_path, "p.csv", HEADER + '\n1;"a;b";R;;;Af;1;x;m;2\n')
+    plan = read_bank_csv(spark, path)._jdf.queryExecution().toString()
+    assert "Window" not in plan and read_bank_csv(spark, path).first().raw_description == "a;b"
