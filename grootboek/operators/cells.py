@@ -16,8 +16,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The number of cells is bounded: the centroids go to every task.
-MOST_CELLS = 4096
+#: The number of cells is bounded: the centroids go to every task. A cell has about so many vectors or more: fewer are
+#: compared at once faster than cells are told apart.
+MOST_CELLS, CELL_ROWS = 4096, 1024
 #: Centroids are trained on about so many vectors each, picked by hash.
 TRAINED_ON = 64
 ITERATIONS = 5
@@ -124,21 +125,17 @@ class CellFile:
         return rank(vector, cell)
 
 
-def trained(vectors: DataFrame, n_cells: int | None = None) -> CellFile:
+def trained(vectors: DataFrame, n_cells: int | None = None) -> CellFile | None:
     """Centroids of the column ``vector``, by k-means on Spark over a bounded part of the rows, picked by their hash.
 
-    Their number is about the square root of that of the vectors, up to ``MOST_CELLS``.
+    Their number is about the square root of that of the vectors, up to ``MOST_CELLS`` and as far as cells keep
+    ``CELL_ROWS`` vectors. None where one cell is enough, or where no vector has a direction.
     """
     some = vectors.where(F.exists("vector", lambda x: x != 0)).select(F.col("vector").cast("array<double>").alias("vector"))
     n = some.count()
-    k = max(1, min(n_cells or round(n**0.5), MOST_CELLS, n))
-    if n == 0:
-        # Zeros only, or nothing: one centroid without direction, so that all are in the cell of zeros.
-        width = vectors.agg(F.max(F.size("vector"))).first()[0]
-        return CellFile(np.zeros((1, width or 1)))
-    if k == 1:
-        first = np.array(some.first()["vector"], float)
-        return CellFile((first / np.linalg.norm(first))[None, :])
+    k = min(n_cells or min(round(n**0.5), n // CELL_ROWS), MOST_CELLS, n)
+    if k <= 1:
+        return None
     share = min(1.0, TRAINED_ON * k / n)
     picked = some.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) <= int(share * (1 << 20)))
     means = KMeans(k=k, distanceMeasure="cosine", initMode="random", maxIter=ITERATIONS, seed=1)
@@ -147,8 +144,7 @@ def trained(vectors: DataFrame, n_cells: int | None = None) -> CellFile:
     return CellFile(centres[centres.any(axis=1)])
 
 
-def built(vectors: DataFrame, n_cells: int | None = None) -> tuple[CellFile, DataFrame]:
-    """Centroids for the rows of ``vectors``, and the rows with their ``cell`` and ``angle``."""
-    file = trained(vectors, n_cells)
+def placed_in(file: CellFile, vectors: DataFrame) -> DataFrame:
+    """``vectors`` with their ``cell`` and its ``angle``."""
     place = vectors.withColumn("_place", file.place(F.col("vector")))
-    return file, place.select(*vectors.columns, "_place.cell", "_place.angle")
+    return place.select(*vectors.columns, "_place.cell", "_place.angle")

@@ -191,8 +191,10 @@ def nearest(
     """
 
     def compare(asked: DataFrame, candidates: DataFrame, need: int) -> DataFrame:
-        file, placed = cells.built(candidates, n_cells)
-        placed = checkpointed(placed)
+        file = cells.trained(candidates, n_cells)
+        if file is None:
+            return _all_with_all(asked, candidates, need)
+        placed = checkpointed(cells.placed_in(file, candidates))
         file = file.with_rings(placed)
         first = probes or max(1, round(file.size**0.5))
         if recall is None:
@@ -227,11 +229,11 @@ def nearest_exact(
     queries: DataFrame, points: DataFrame, k: int = NEIGHBOURS, scope: str | None = "direction"
 ) -> DataFrame:
     """``nearest`` without cells: every block of queries is compared with every block of points, in quadratic time."""
+    return _search(queries, points, k, scope, _all_with_all)
 
-    def compare(asked: DataFrame, candidates: DataFrame, need: int) -> DataFrame:
-        return _compare(asked.withColumn("cell", F.lit(0)), candidates.withColumn("cell", F.lit(0)), need)
 
-    return _search(queries, points, k, scope, compare)
+def _all_with_all(asked: DataFrame, candidates: DataFrame, need: int) -> DataFrame:
+    return _compare(asked.withColumn("cell", F.lit(0)), candidates.withColumn("cell", F.lit(0)), need)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -739,7 +739,7 @@ def knn_confusion(spark, sf_dir):
 def knn_recall(spark, sf_dir):
     """Whether the approximate search finds nine in ten of the true neighbours on the given vectors."""
     points = fx.points(spark, sf_dir)
-    found = neighbours.nearest(points, points, recall=0.95)
+    found = neighbours.nearest(points, points, recall=0.95, n_cells=45)
     measured = neighbours.recall(found, neighbours.nearest_exact(points, points))
     return measured.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
 

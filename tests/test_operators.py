@@ -352,7 +352,7 @@ def test_nearest_of_odd_vectors(spark):
     zeros = spark.createDataFrame([(f"z{i}", "Af", [0.0, 0.0], ("c", "s")) for i in range(4)], _POINTS)
     same = spark.createDataFrame([(f"s{i}", "Af", [1.0, 1.0], ("c", "s")) for i in range(30)], _POINTS)
     for df in (zeros, same, zeros.unionByName(same), same.limit(1), same.limit(0)):
-        assert _ids(neighbours.nearest(df, df)) == _ids(neighbours.nearest_exact(df, df))
+        assert _ids(neighbours.nearest(df, df, n_cells=3)) == _ids(neighbours.nearest_exact(df, df))
     assert _ids(neighbours.nearest(zeros, same.limit(0))) == {f"z{i}": [] for i in range(4)}
 
 
@@ -360,7 +360,8 @@ def test_cells_spare_most_comparisons(spark):
     """On vectors in clusters, bounds leave few cells to look into after the first ones."""
     df = _clustered(spark, 1500, 5)
     vectors = df.select(F.col("point_id").alias("vector_key"), F.lit("").alias("scope"), F.col("embedding").alias("vector"))
-    file, placed = neighbours.cells.built(vectors, 100)
+    file = neighbours.cells.trained(vectors, 100)
+    placed = neighbours.cells.placed_in(file, vectors)
     file = file.with_rings(placed)
     exact = {r.point_id: r.neighbours[-1].score for r in neighbours.nearest_exact(df, df, scope=None).collect()}
     beat = spark.createDataFrame(list(exact.items()), "vector_key string, to_beat double")
@@ -372,9 +373,9 @@ def test_cells_spare_most_comparisons(spark):
 def test_recall_on_the_given_vectors(spark, sf):
     points = fixtures.points(spark, f"/root/testdata/sf{sf}")
     exact = neighbours.nearest_exact(points, points)
-    near = neighbours.recall(neighbours.nearest(points, points, recall=0.95), exact).first()
+    near = neighbours.recall(neighbours.nearest(points, points, recall=0.95, n_cells=45), exact).first()
     assert near.recall >= 0.9 and near.queries == points.count()
-    whole = neighbours.recall(neighbours.nearest(points, points), exact).first()
+    whole = neighbours.recall(neighbours.nearest(points, points, n_cells=45), exact).first()
     assert whole.recall == 1.0 and whole.neighbours == 5 * whole.queries
 
 
