@@ -5,6 +5,7 @@ Everything here is a native Spark expression. ``(?U)`` makes ``\\b``, ``\\d`` an
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -41,6 +42,7 @@ BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 MAYBE_LOOSE = "[^ -~]|  "
 MAYBE_IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{10}"
 MAYBE_DIGIT_RUN = r"\d{8}"
+MAYBE_SPACED_IBAN = r"(?iU)[A-Z]\s*[A-Z]\s*[0-9]\s*[0-9]"
 
 # Folding and key punctuation in one pass: the first two letters are replaced, the other characters dropped.
 _FOLD_FROM, _FOLD_TO = "ςſ", "σs"
@@ -161,12 +163,72 @@ def _java_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _entangled(ibans: list[str]) -> set[str]:
+    """The account numbers that can overlap another one in a text: one holds it, or ends as it begins."""
+    known, heads = set(ibans), {}
+    for iban in ibans:
+        for end in range(1, len(iban) + 1):
+            heads.setdefault(iban[:end], []).append(iban)
+    lengths, found = sorted({len(i) for i in ibans}), set()
+    for iban in ibans:
+        for at in range(len(iban)):
+            inside = {iban[at : at + n] for n in lengths} & known - {iban}
+            after = heads.get(iban[at:], []) if at else []
+            if inside or after:
+                found |= {iban, *inside, *after}
+    return found
+
+
+def _any_of(ibans: list[str]) -> str:
+    """A pattern for any of the account numbers, in any spacing: what they share at their beginning is tried once."""
+
+    def branch(tails: list[str]) -> str:
+        if len(tails) == 1:
+            return r"\s*".join(tails[0])
+        shared = 0
+        while all(len(t) > shared and t[shared] == tails[0][shared] for t in tails):
+            shared += 1
+        if shared:
+            return r"\s*".join(tails[0][:shared]) + r"\s*" + branch([t[shared:] for t in tails])
+        by_first: dict[str, list[str]] = {}
+        for t in tails:
+            by_first.setdefault(t[0], []).append(t)
+        return "(?:" + "|".join(branch(own) for own in by_first.values()) + ")"
+
+    return "(?iU)" + branch(sorted(ibans))
+
+
+def _labelled_accounts(text: Column, labels: Mapping[str, str]) -> Column:
+    """Every account number that is a key of ``labels``, in any spacing and case, as its label.
+
+    The numbers in a text are found in one pass by one pattern, and each is looked up: the time hardly depends on how
+    many there could be. No two keys may overlap in a text.
+    """
+    known = F.from_json(F.lit(json.dumps(labels)), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_any_of(list(labels))), F.lit(0)))
+
+    def key(match: Column) -> Column:
+        return F.upper(F.lower(F.translate(F.regexp_replace(match, r"(?U)\s", ""), "\u0130", "I")))
+
+    replaced = F.aggregate(found, text, lambda out, m: F.replace(out, m, F.coalesce(F.try_element_at(known, key(m)), m)))
+    return F.when(text.rlike(MAYBE_SPACED_IBAN), replaced).otherwise(text)
+
+
 def anonymise(c: Column, rules: AnonymiseRules, vocabulary: Vocabulary = DEFAULT) -> Column:
-    """Known IBANs in any spacing become their account label; the surname becomes a placeholder."""
+    """Known IBANs in any spacing become their account label; the surname becomes a placeholder.
+
+    Numbers that could overlap one another are replaced one by one, the longest first; all others at once.
+    """
     out = text_or_empty(c)
-    for iban, label in rules.ordered():
-        spaced = r"\s*".join(_java_literal(ch) for ch in iban)
-        out = F.regexp_replace(out, "(?iU)" + spaced, _java_replacement(label))
+    ordered = rules.ordered()
+    entangled = _entangled([iban for iban, _ in ordered])
+    for iban, label in ordered:
+        if iban in entangled:
+            spaced = r"\s*".join(_java_literal(ch) for ch in iban)
+            out = F.regexp_replace(out, "(?iU)" + spaced, _java_replacement(label))
+    apart = {iban: label for iban, label in reversed(ordered) if iban not in entangled}
+    if apart:
+        out = _labelled_accounts(out, apart)
     if rules.surname:
         placeholder = _java_replacement(vocabulary.surname_placeholder)
         out = F.regexp_replace(out, "(?iu)" + _java_literal(rules.surname), placeholder)

@@ -6,6 +6,8 @@ the reason. ``sources.ledgers.replace_months`` writes the changed months back.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from grootboek.functions.ids import score_as_similarity, valid_source, valid_tx_
 from grootboek.functions.text import LABEL_LIMIT, strip, strip_iban, text_or_empty
 from grootboek.operators.classify import is_structural_pair
 from grootboek.skew import lookup
+from grootboek.sources.table_set import TableSet
 from grootboek.vocabulary import DEFAULT, STRUCTURAL_KINDS, Vocabulary
 
 _ROW = ["src", "tx_id"]
@@ -209,6 +212,29 @@ def move(
     return moved, counts
 
 
+def move_stored(tables: TableSet, names: Sequence[str], from_category: str, to_category: str, subcategory: str) -> DataFrame:
+    """Moves a pair in stored tables, in all of them or in none, and returns the counts as ``move`` does.
+
+    Only buckets with rows of the pair are written. Rows left behind in any table refuse the move before it counts.
+    """
+    check_move(from_category, to_category, subcategory)
+    before = {name: checkpointed(tables.read(name)) for name in names}
+    _, counts = move(before, from_category, to_category, subcategory)
+    counts = checkpointed(counts)
+
+    def check(after: dict[str, DataFrame]) -> None:
+        check_moved(after, from_category, subcategory)
+
+    named = {name: left_behind(rows, from_category, subcategory) for name, rows in before.items()}
+    tables.change(named, lambda name, rows: relabel(rows, from_category, to_category, subcategory), check)
+    found = None
+    for name in names:
+        part = relabel_counts(tables.read(name), from_category, to_category, subcategory)
+        part = part.withColumns({"table_name": F.lit(name), "moment": F.lit("after")})
+        found = part if found is None else found.unionByName(part)
+    return counts.where(F.col("moment") == "before").unionByName(found)
+
+
 def check_moved(tables: dict[str, DataFrame], from_category: str, subcategory: str) -> None:
     """Refuse tables in which rows still carry the old pair."""
     for name, df in tables.items():

@@ -1112,7 +1112,21 @@ FROM (SELECT p.*, n.near, coalesce(n.labels > 1, FALSE) AS mixed FROM preview p
     _CORPUS,
     _BANK_PREVIEW,
 )
+_MOVABLE = """
+movable AS (
+  SELECT src, category, subcategory, CASE WHEN src = 'bank' THEN 'bank' ELSE 'card' END AS table_name FROM ledger
+  UNION ALL SELECT src, category, subcategory, 'suggestions' FROM suggested
+)
+"""
 _MOVED = "subcategory = 'furniture' AND category IN ('Huishouden', 'Wonen')"
+_add(
+    "copy_resumed",
+    f"""
+SELECT slice, n, n AS ids, CAST(0 AS BIGINT) AS similarities, amount,
+  CASE WHEN row_number() OVER (ORDER BY slice) <= 5 THEN 'kept' ELSE 'copied' END AS outcome
+FROM (SELECT left(tx_id, 1) AS slice, count(*) AS n, {_d('sum(amount)', 'amount')} FROM bank GROUP BY 1)
+""",
+)
 _add(
     "move_over_tables",
     f"""
@@ -1121,12 +1135,17 @@ UNION ALL SELECT src, 'Wonen', subcategory, count(*), table_name, 'after' FROM m
 UNION ALL SELECT NULL, 'Huishouden', 'furniture', 0, unnest(['bank', 'card', 'suggestions']), 'left'
 """,
     _CORPUS,
-    """
-movable AS (
-  SELECT src, category, subcategory, CASE WHEN src = 'bank' THEN 'bank' ELSE 'card' END AS table_name FROM ledger
-  UNION ALL SELECT src, category, subcategory, 'suggestions' FROM suggested
+    _MOVABLE,
 )
+
+_add(
+    "move_stored",
+    f"""
+SELECT src, category, subcategory, count(*) AS n, table_name, 'before' AS moment FROM movable WHERE {_MOVED} GROUP BY ALL
+UNION ALL SELECT src, 'Wonen', subcategory, count(*), table_name, 'after' FROM movable WHERE {_MOVED} GROUP BY ALL
 """,
+    _CORPUS,
+    _MOVABLE,
 )
 
 # Audits.

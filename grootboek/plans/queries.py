@@ -38,6 +38,8 @@ from grootboek.plans import fixtures as fx
 from grootboek.sources import bank_csv, card_text
 from grootboek.sources.ledgers import copy_table, loaded_ids, read_bank, read_terms, table_stats
 from grootboek.sources.bucket_table import BucketTable, bucket_of
+from grootboek.sources.checked_copy import CheckedCopy
+from grootboek.sources.table_set import TableSet
 from grootboek.sources.vector_table import VectorTable
 from grootboek.vocabulary import EXPENSE, REFUND
 
@@ -639,6 +641,31 @@ def move_over_tables(spark, sf_dir):
     return counts.unionByName(left)
 
 
+@query
+def move_stored(spark, sf_dir):
+    """The same move in stored tables that change together, counted in what is then stored."""
+    ledger = checkpointed(fx.ledger(spark, sf_dir).select("src", "tx_id", *memory.LABEL))
+    stored = {
+        "bank": ledger.where(F.col("src") == "bank"),
+        "card": ledger.where(F.col("src") == "cc"),
+        "suggestions": checkpointed(_suggested(spark, sf_dir)).select("src", "tx_id", *memory.LABEL),
+    }
+    keys = dict.fromkeys(stored, ["src", "tx_id"])
+    tables = TableSet.create(stored, shared_folder(spark, "tables"), keys, digits=1)
+    return corrections.move_stored(tables, list(stored), "Huishouden", "Wonen", "furniture")
+
+
+@query
+def copy_resumed(spark, sf_dir):
+    """The bank ledger copied in two runs, the first of five slices: checks of every slice, and what the second run did."""
+    copy, bank = CheckedCopy(spark, shared_folder(spark, "copy")), checkpointed(fx.bank_ledger(spark, sf_dir))
+    copy.run(bank, at_most=5)
+    outcomes = copy.run(bank)
+    done = spark.createDataFrame(sorted(outcomes.items()), "slice string, outcome string")
+    sums = copy.read().groupBy(F.left("tx_id", F.lit(1)).alias("slice")).agg(F.sum("amount").alias("amount"))
+    return copy.report().drop("checksum").join(done, "slice").join(sums, "slice")
+
+
 @query
 def relabel_counts(spark, sf_dir):
     ledger, move = fx.ledger(spark, sf_dir), ("Huishouden", "Wonen", "furniture")

@@ -73,19 +73,22 @@ class BucketTable:
         table._commit(first, table._write(rows, first, 1), 1, note)
         return table
 
-    def manifest(self) -> Manifest:
-        """The newest version; as many rows are collected as there are buckets."""
+    def manifest(self, version: int | None = None) -> Manifest:
+        """A version, the newest by default; as many rows are collected as there are buckets."""
         rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
-        version = rows.agg(F.max("version")).first()[0]
+        version = self._newest() if version is None else version
         listed = rows.where(F.col("version") == version).collect()
         about = json.loads(next(r["about"] for r in listed if r["bucket"] is None))
         shape = T.StructType.fromJson(about["shape"])
         generations = {r["bucket"]: r["generation"] for r in listed if r["bucket"] is not None}
         return Manifest(version, tuple(about["keys"]), about["digits"], shape, about["note"], generations)
 
-    def read(self) -> DataFrame:
-        """All rows."""
-        return self._rows(self.manifest())
+    def _newest(self) -> int:
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest").agg(F.max("version")).first()[0]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All rows, of the newest version or of an earlier one."""
+        return self._rows(self.manifest(version))
 
     def buckets(self, named: DataFrame) -> DataFrame:
         """The rows of all buckets that the keys in ``named`` fall into; other files are not read."""
@@ -118,14 +121,19 @@ class BucketTable:
         return self.change(named, lambda stored: stored.join(named, keys, "left_anti"), adds=False)
 
     def change(
-        self, named: DataFrame, made: Callable[[DataFrame], DataFrame], adds: bool = True, note: str = ""
+        self,
+        named: DataFrame,
+        made: Callable[[DataFrame], DataFrame],
+        adds: bool = True,
+        note: str = "",
+        base: Manifest | None = None,
     ) -> int:
         """Replaces the buckets that the keys in ``named`` fall into by what ``made`` makes of their rows.
 
         Without ``adds``, buckets that are not there yet stay so. A change with the note of the newest version is a
-        repetition, and is left out. Returns the version.
+        repetition, and is left out. ``base`` is the version to start from, if not the newest. Returns the version.
         """
-        at = self.manifest()
+        at = base or self.manifest()
         if note and note == at.note:
             return at.version
         touched = self._buckets(named, at)
@@ -133,7 +141,7 @@ class BucketTable:
             touched &= set(at.generations)
         if not touched:
             return at.version
-        version = at.version + 1
+        version = (self._newest() if base else at.version) + 1
         written = self._write(made(self._rows(at, touched)).select(*at.shape.fieldNames()), at, version)
         # A bucket without rows has no folder.
         others = {b: g for b, g in at.generations.items() if b not in touched}

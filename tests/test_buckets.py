@@ -1,17 +1,21 @@
 """Stored tables that change bucket by bucket, and what is kept in them."""
 
 import hashlib
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from grootboek.operators import imports, memory, review
+from grootboek.operators import corrections, imports, memory, review
 from grootboek.operators.classify import SEARCHED, search
 from grootboek.operators.refresh import SuggestionStore
 from grootboek.operators.text_index import TextIndex
+from grootboek.sources import checked_copy
 from grootboek.sources.bucket_table import BucketTable
+from grootboek.sources.checked_copy import CheckedCopy
 from grootboek.sources.ledgers import CheckFailed
+from grootboek.sources.table_set import TableSet
 from grootboek.sources.vector_table import VectorTable
 
 POINTS = "point_id string, embedding array<float>, payload struct<category:string,subcategory:string>"
@@ -217,3 +221,124 @@ def test_page_by_counting_equals_page(spark, newest):
         got = review.page_at(df, number, newest).orderBy("place").collect()
         assert [(r.ym, r.src, r.tx_id) for r in got] == [tuple(r) for r in want]
         assert [r.place for r in got] == list(range((max(1, number) - 1) * 20 + 1, (max(1, number) - 1) * 20 + 1 + len(got)))
+
+
+# Copies and moves.
+
+
+def _ledger(spark, n=60, start=0):
+    rows = [
+        (i, hashlib.md5(b"%d" % i).hexdigest(), 202401 + i % 3, f"Atelier {i}", Decimal("8.20") + i, "H", "s", Decimal("0.5"))
+        for i in range(start, start + n)
+    ]
+    shape = "id bigint, tx_id string, ym int, description string, amount decimal(18,2), category string, subcategory string, similarity decimal(6,4)"
+    return spark.createDataFrame(rows, shape)
+
+
+def _cells(rows):
+    return sorted(map(repr, rows.select("id", "tx_id", "ym", "description", "amount", "category").collect()))
+
+
+def test_a_copy_goes_on_where_it_stopped(spark, tmp_path):
+    source, path = _ledger(spark), str(tmp_path / "copy")
+    copy = CheckedCopy(spark, path)
+    first = copy.run(source, at_most=4)
+    assert set(first.values()) == {"copied"} and len(first) == 4
+    with pytest.raises(CheckFailed):
+        copy.read()
+    # A slice that was half written: files without checks.
+    names = sorted({r[0][0] for r in source.select("tx_id").collect()})
+    source.limit(3).write.partitionBy("ym").parquet(f"{path}/data/slice={names[4]}")
+    before = {f: t for f, t in _files(path).items() if any(f"data/slice={s}/" in f for s in first)}
+    second = CheckedCopy(spark, path).run(source)
+    assert {s: o for s, o in second.items() if o == "kept"}.keys() == first.keys() and len(second) == len(names)
+    assert before.items() <= _files(path).items()
+    got = CheckedCopy(spark, path).read()
+    assert _cells(got) == _cells(source) and got.where("similarity is not null").isEmpty()
+    assert CheckedCopy(spark, path).run(source) == {}
+
+
+def test_a_slice_whose_source_changed_is_copied_again(spark, tmp_path):
+    source, copy = _ledger(spark), CheckedCopy(spark, str(tmp_path / "copy"))
+    kept = copy.run(source, at_most=3)
+    name = sorted(kept)[0]
+    changed = source.withColumn("description", F.when(F.col("tx_id").startswith(name), "new").otherwise(F.col("description")))
+    outcomes = copy.run(changed)
+    assert outcomes[name] == "copied" and sum(o == "kept" for o in outcomes.values()) == 2
+    assert _cells(copy.read()) == _cells(changed)
+
+
+def test_copies_that_are_refused(spark, tmp_path, monkeypatch):
+    source = _ledger(spark, 20)
+    with pytest.raises(CheckFailed, match="unique"):
+        CheckedCopy(spark, str(tmp_path / "a")).run(source.unionByName(source.limit(1)))
+    with pytest.raises(CheckFailed, match="characters"):
+        CheckedCopy(spark, str(tmp_path / "b")).run(source.withColumn("tx_id", F.lit("short")))
+    # Files that do not hold what the source holds.
+    copy, real = CheckedCopy(spark, str(tmp_path / "c")), checked_copy.checks
+    calls = []
+
+    def other(rows):
+        calls.append(1)
+        return real(rows if len(calls) == 1 else rows.withColumn("description", F.lit("lost")))
+
+    monkeypatch.setattr(checked_copy, "checks", other)
+    with pytest.raises(CheckFailed, match="differs"):
+        copy.run(source)
+    assert not copy.committed()
+
+
+PAIRS = "src string, tx_id string, category string, subcategory string"
+
+
+def _set(spark, path):
+    rows = {
+        name: spark.createDataFrame([(src, f"{i:032x}", "Huis" if i % 4 == 0 else "Auto", "tuin") for i in range(40)], PAIRS)
+        for name, src in (("bank", "bank"), ("card", "cc"), ("suggestions", "bank"))
+    }
+    return TableSet.create(rows, path, dict.fromkeys(rows, ["src", "tx_id"]))
+
+
+def _pairs(tables):
+    return {n: sorted((r.category, r["count"]) for r in tables.read(n).groupBy("category").count().collect()) for n in ("bank", "card", "suggestions")}
+
+
+def test_a_move_changes_all_tables(spark, tmp_path):
+    tables = _set(spark, str(tmp_path / "set"))
+    counts = corrections.move_stored(tables, ["bank", "card", "suggestions"], "Huis", "Wonen", "tuin").collect()
+    assert _pairs(tables) == dict.fromkeys(("bank", "card", "suggestions"), [("Auto", 30), ("Wonen", 10)])
+    assert {(r.table_name, r.moment, r.category, r.n) for r in counts} == {
+        (n, m, c, 10) for n in ("bank", "card", "suggestions") for m, c in (("before", "Huis"), ("after", "Wonen"))
+    }
+    # Nothing left to move is no new version.
+    corrections.move_stored(tables, ["bank", "card", "suggestions"], "Huis", "Wonen", "tuin")
+    assert tables.versions()[0] == 2
+
+
+def test_a_move_that_breaks_off_between_two_tables_changes_none(spark, tmp_path, monkeypatch):
+    tables = _set(spark, str(tmp_path / "set"))
+    before, change = _pairs(tables), BucketTable.change
+
+    def breaks(self, *a, **k):
+        if self.path.endswith("card"):
+            raise RuntimeError("lost")
+        return change(self, *a, **k)
+
+    with monkeypatch.context() as m:
+        m.setattr(BucketTable, "change", breaks)
+        with pytest.raises(RuntimeError):
+            corrections.move_stored(tables, ["bank", "card", "suggestions"], "Huis", "Wonen", "tuin")
+    assert _pairs(tables) == before and tables.versions()[0] == 1
+    # A later move starts from what counts, not from what the broken one left.
+    corrections.move_stored(tables, ["bank", "card", "suggestions"], "Auto", "Wonen", "tuin")
+    assert _pairs(tables) == dict.fromkeys(("bank", "card", "suggestions"), [("Huis", 10), ("Wonen", 30)])
+
+
+def test_a_move_that_leaves_rows_behind_is_refused(spark, tmp_path, monkeypatch):
+    tables = _set(spark, str(tmp_path / "set"))
+    before = _pairs(tables)
+    with monkeypatch.context() as m:
+        m.setattr(corrections, "relabel", lambda rows, *pair: rows)
+        with pytest.raises(corrections.MoveRefused):
+            corrections.move_stored(tables, ["bank", "card", "suggestions"], "Huis", "Wonen", "tuin")
+    assert _pairs(tables) == before

@@ -1,4 +1,7 @@
 import hashlib
+import random
+import re
+import time
 import uuid
 from datetime import date
 from decimal import Decimal
@@ -72,6 +75,53 @@ def test_anonymise(one):
     assert got == "Van Rekening A <geanonimiseerd> en Rekening B"
 
 
+def _one_by_one(value, rules):
+    """The same by a plain search for each rule."""
+    for iban, label in rules.ordered():
+        value = re.sub(r"\s*".join(iban), label, value, flags=re.IGNORECASE)
+    return value
+
+
+@pytest.mark.parametrize("seed, n", [(1, 3), (2, 60), (3, 400)])
+def test_many_rules_do_what_they_do_one_by_one(spark, seed, n):
+    rng = random.Random(seed)
+
+    def iban():
+        return rng.choice(["NL", "DE", "LU"]) + f"{rng.randrange(100):02d}" + rng.choice(["BANK", "AB12", "ZZ"]) + f"{rng.randrange(10**10):010d}"
+
+    keys = [iban() for _ in range(n)]
+    # Some hold, continue or repeat others.
+    keys += [k + "77" for k in keys[:3]] + [keys[0][4:8].replace("A", "NL")[:2].ljust(2, "X") + "12" + keys[1]]
+    rules = text.AnonymiseRules("", {k: f"Rekening {i}" for i, k in enumerate(dict.fromkeys(keys))})
+
+    def spelled(k):
+        k = k.lower() if rng.random() < 0.3 else k
+        return "".join(ch + rng.choice(["", "", "", " ", "  "]) for ch in k)
+
+    values = [" ".join(rng.choice(["van", spelled(rng.choice(keys)), iban(), "x" + rng.choice(keys), "12", "NL 00"]) for _ in range(6)) for _ in range(80)]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    got = [r.a for r in df.select(text.anonymise(F.col("t"), rules).alias("a")).collect()]
+    assert got == [_one_by_one(v, rules) for v in values]
+
+
+def test_the_number_of_rules_hardly_matters(spark):
+    df = spark.range(4000).select(F.concat(F.lit("betaling aan NL00BANK"), F.lpad(F.col("id").cast("string"), 10, "0"), F.lit(" in delen, met dank")).alias("t")).repartition(4)
+    took = {}
+    for n in (10, 10_000):
+        rules = text.AnonymiseRules("", {f"NL00BANK{i:010d}": f"Rekening {i}" for i in range(n)})
+        column = text.anonymise(F.col("t"), rules)
+        df.select(column).limit(1).collect()
+        start = time.perf_counter()
+        assert df.where(column.contains("Rekening")).count() == min(n, 4000)
+        took[n] = time.perf_counter() - start
+    assert took[10_000] < 20 * took[10] + 10
+
+
+def test_case_folds_as_in_the_pattern(one):
+    rules = text.AnonymiseRules("", {"SK00KISS0123456789": "Rekening A"})
+    assert one("\u017fK00K\u0130\u017fS 0123456789", text.anonymise(F.col(T), rules)) == "Rekening A"
+
+
 @pytest.mark.parametrize("rule", [{"geen nummer": "Rekening A"}, {"NL77TEST0444555666": "Jan Jansen"}, {"NL77TEST0444555666": "Rekening "}])
 def test_rules_that_would_let_names_through_are_refused(rule):
     with pytest.raises(ValueError):
