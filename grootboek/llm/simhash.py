@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grootboek.llm import super_minhash
 from grootboek.llm.common import explode_texts, map_texts, small, stored
 from grootboek.llm.components import components
-from grootboek.llm.words import Runs, Words, mixed
+from grootboek.llm.words import mixed
 
 #: Words to a shingle, seed of the hash and differing bits that still link. Fixed values of the near-duplicate query.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -191,28 +192,34 @@ def _compare(nodes: list, seconds: list, fps: list, radius: int, kind: str) -> l
 
 @dataclass(frozen=True)
 class Similar:
-    """Near copies by similarity: SimHashes of ``words`` times 64 bits over different shingles of ``shingle`` words, that
-    link at up to ``radius`` differing bits.
-
-    Two sets of shingles with the Jaccard similarity s differ in a share acos(2 s / (1 + s)) / pi of the bits: 68 of 448
-    for s = 0.8, with a deviation of 8. No part of the bits need agree at that distance, so fingerprints are compared
-    when one of ``bands`` runs of ``band_bits`` bits agrees; at s = 0.8 that misses one pair in 50, and copies of copies
-    are reached over each other.
+    """Near copies by similarity: SimHashes of ``words`` times 64 bits over different shingles of ``shingle`` words find
+    candidates, whose sets of shingles are then compared as a whole: they link at ``percent`` of their union.
+
+    Two sets with the Jaccard similarity s differ in a share acos(2 s / (1 + s)) / pi of the bits: 68 of 448 for s = 0.8,
+    with a deviation of 8, so ``radius`` is four of those further out. No part of the bits need agree at that distance,
+    so fingerprints are compared when one of ``bands`` choices of ``band_bits`` bits agrees; at s = 0.8 that misses about
+    one pair in a thousand, and copies of copies are reached over each other. ``bands`` may take bits several times: the
+    first ones take each bit once, in order, the next ones in another order.
     """
 
     words: int = 7
     shingle: int = 5
-    radius: int = 80
-    bands: int = 32
+    radius: int = 100
+    bands: int = 64
     band_bits: int = 13
+    percent: int = 80
+
+    def band_places(self) -> np.ndarray:
+        """The bits of each band, a row each."""
+        bits, each = self.words * BITS, self.words * BITS // self.band_bits
+        orders = [np.arange(bits) if i == 0 else np.random.default_rng(i).permutation(bits) for i in range(-(-self.bands // each))]
+        return np.concatenate([o[: each * self.band_bits].reshape(each, -1) for o in orders])[: self.bands]
 
 
-def long_fingerprint(words: np.ndarray, rule: Similar) -> bytes:
-    """The SimHash of the shingles of a text, given by the hashes of its words; zeros without words."""
-    if not len(words):
+def long_fingerprint(base: np.ndarray, rule: Similar) -> bytes:
+    """The SimHash of a set of shingles, given by their hashes; zeros for an empty one."""
+    if not len(base):
         return bytes(8 * rule.words)
-    size = min(rule.shingle, len(words))
-    base = np.unique(Runs(words).hash(np.arange(len(words) - size + 1), size))
     counts = np.zeros(rule.words * BITS, np.int64)
     for at in range(0, len(base), 1 << 12):
         part = base[at : at + (1 << 12), None] + (np.arange(rule.words, dtype=np.uint64) << np.uint64(40))
@@ -223,14 +230,14 @@ def long_fingerprint(words: np.ndarray, rule: Similar) -> bytes:
 
 def _bands(nodes: DataFrame, rule: Similar) -> DataFrame:
     def start():
-        weights = 1 << np.arange(rule.band_bits)
+        weights, places = 1 << np.arange(rule.band_bits), rule.band_places()
 
         def work(columns):
             ids, fps = columns
-            bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-            bits = bits[:, : rule.bands * rule.band_bits].reshape(len(fps), rule.bands, -1)
-            values = (bits @ weights).ravel()
-            pops = np.repeat(np.bitwise_count(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)).sum(axis=1), rule.bands)
+            raw = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            values = (bits[:, places] @ weights).ravel()
+            pops = np.repeat(np.bitwise_count(raw).sum(axis=1), rule.bands)
             again = np.repeat(np.arange(len(fps)), rule.bands).tolist()
             bands = np.tile(np.arange(rule.bands), len(fps))
             return [bands, values, [ids[i] for i in again], [fps[i] for i in again], pops.astype(np.int32)]
@@ -245,7 +252,8 @@ def near_duplicates(
 ) -> DataFrame:
     """The ``keep`` columns, which hold ``doc_id``, and of each row its ``fingerprint`` (hexadecimal digits), the
     ``component_id`` (smallest doc_id that links of at most ``radius`` differing bits reach, its own included) and
-    ``is_first``, true for the rows of that document. With ``similar``, fingerprints and links are as that says.
+    ``is_first``, true for the rows of that document. With ``similar``, links are as that says, and the fingerprint is
+    that of the whole set of shingles: equal sets have it alike.
 
     Texts without words have the fingerprint 0 and link like others. Rows with the same doc_id are documents of their
     own; equal fingerprints are one node however many rows have them. A null doc_id counts as the largest, so a
@@ -253,17 +261,18 @@ def near_duplicates(
     ``keep`` holds no text.
     """
     if similar:
-        rows = map_texts(documents, keep, "text", "bits binary", lambda: lambda texts: [_long(texts, similar)])
-        rows = stored(rows.withColumn("fp", F.xxhash64("bits")), "fingerprints")
+        rows = map_texts(documents, keep, "text", "fp long, bits binary", lambda: lambda texts: _keyed(texts, similar))
+        rows = stored(rows, "fingerprints")
         firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("bits").alias("bits"))
         bands = _bands(firsts.select(F.col("fp").alias("node"), F.col("bits").alias("fp")), similar)
-        edges = compared(bands, similar.radius, similar.words * BITS)
-        shown = F.lower(F.hex("bits"))
+        near = stored(compared(bands, similar.radius, similar.words * BITS), "near")
+        rule = super_minhash.Rule(shingle=similar.shingle, percent=similar.percent)
+        edges = super_minhash.links(documents, rows.withColumnRenamed("fp", "node"), rule, near)
     else:
         rows = stored(fingerprints(documents, keep), "fingerprints")
         firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
         edges = linked(firsts.select("fp"), radius, blocks)
-        shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
     nodes = components(stored(edges, "links"))
     labelled = nodes.withColumnRenamed("node", "fp").join(firsts, "fp")
     # A null id must not win, and of rows with one id the smallest fingerprint does.
@@ -287,10 +296,14 @@ def near_duplicates(
     )
 
 
-def _long(texts: list, rule: Similar) -> list[bytes]:
-    words = Words.read(texts)
-    ends = [*words.first[1:].tolist(), len(words.hashes)]
-    return [long_fingerprint(words.hashes[a:b], rule) for a, b in zip(words.first.tolist(), ends, strict=True)]
+def _keyed(texts: list, rule: Similar) -> list[list]:
+    """Of each text the key of its set of shingles, and its fingerprint."""
+    sets = super_minhash.shingle_sets(texts, rule.shingle)
+    return [[super_minhash.set_key(s) for s in sets], [long_fingerprint(s, rule) for s in sets]]
+
+
+def _set_keys(texts: list, rule: Similar) -> list[int]:
+    return [super_minhash.set_key(s) for s in super_minhash.shingle_sets(texts, rule.shingle)]
 
 
 def first_of_each(documents: DataFrame, keep: list[str], similar: Similar = Similar()) -> DataFrame:
@@ -312,7 +325,7 @@ def first_of_each(documents: DataFrame, keep: list[str], similar: Similar = Simi
         keep,
         "text",
         "fingerprint string",
-        lambda: lambda texts: [[bits.hex() for bits in _long(texts, similar)]],
+        lambda: lambda texts: [[f"{key % (1 << BITS):016x}" for key in _set_keys(texts, similar)]],
     )
     firsts = rows.filter("is_first").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp")).distinct()
     kept = again.join(firsts, same_id & (F.col("fingerprint") == F.col("_fp")), "left_semi")

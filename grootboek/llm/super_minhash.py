@@ -226,15 +226,16 @@ def _sets_of(documents: DataFrame, rows: DataFrame, clusters: DataFrame, rule: R
     return once.agg(F.first("set").alias("set")).withColumn("n_shingles", (F.length("set") / 8).cast("long"))
 
 
-def links(documents: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+def links(documents: DataFrame, rows: DataFrame, rule: Rule, near: DataFrame | None = None) -> DataFrame:
     """(u, v): links between sets that make the same components as all links.
 
-    Sets that share a band, over each other, are a cluster. A cluster of one tile is compared within it, all pairs. A
+    Sets that share a band, or are joined by the stored edges ``near`` instead, over each other, are a cluster. A cluster of one tile is compared within it, all pairs. A
     larger one is cut into tiles by hash; each is compared within itself and with the cluster's hubs, the sets that share
     bands with most others. Only sets that are then outside the cluster's largest group are still compared with all
     tiles. What is shuffled for a family of very many copies of few texts thus grows with its sets, not with its pairs.
     """
-    near = stored(candidates(stored(banded(documents, rule), "bands")), "candidates")
+    if near is None:
+        near = stored(candidates(stored(banded(documents, rule), "bands")), "candidates")
     clusters = components(near).withColumnRenamed("label", "cluster")
     sets = stored(_sets_of(documents, rows, stored(clusters, "clusters"), rule), "sets")
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("elements"))
