@@ -43,6 +43,19 @@ def test_odd_tables(spark, tmp_path):
         assert pipeline.run(spark, f"{tmp_path}/{name}").count() == 0
 
 
+def test_odd_rows_beside_rows_that_stay(spark):
+    """Ties in similarity, null and empty texts, and columns whose names the stage uses itself."""
+    words = [f"word{i}" for i in range(90)]
+    near = [" ".join([*words[:45], f"x{k}", *words[46:]]) for k in range(3)]
+    rows = [(7, near[0]), (5, near[1]), (6, near[2]), (8, None), (9, None), (3, ""), (1, " ".join(f"other{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.selectExpr("*", "1 as node", "2 as fp", "3 as fingerprint", "4 as component_id", "'k' as kept", "5 as cluster")
+    got = dict(pipeline.STAGES)["near duplicates"](spark, odd, SF)
+    assert got.columns == pipeline.COLUMNS
+    # Of the copies the smallest id stays, and one of the texts without words.
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 5]
+
+
 def test_repeated_rows_leave_one(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(4, text), (4, text), (9, text), (2, " ".join(f"other{i}" for i in range(80))), (None, text)]
