@@ -172,7 +172,7 @@ def _entangled(ibans: list[str]) -> set[str]:
     lengths, found = sorted({len(i) for i in ibans}), set()
     for iban in ibans:
         for at in range(len(iban)):
-            inside = {iban[at : at + n] for n in lengths} & known - {iban}
+            inside = ({iban[at : at + n] for n in lengths} & known) - {iban}
             after = heads.get(iban[at:], []) if at else []
             if inside or after:
                 found |= {iban, *inside, *after}
