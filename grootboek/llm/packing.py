@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterable
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,8 @@ from grootboek.llm.common import explode_texts, stored
 from grootboek.llm.tokens import byte_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long"
+#: Numbers that pieces of one length are spread over before they are grouped for ranking.
+SPREAD = 1 << 20
 PLAN = "length long, first long, last long, sequence long, step long, per_sequence long, offset long"
 
 
@@ -28,13 +31,15 @@ def cut(n: int, size: int) -> list[int]:
 def pieces(documents: DataFrame, tokenizer: str, size: int, end: int) -> DataFrame:
     """The pieces of every document's ids, ``end`` after the last one.
 
-    ``part`` spreads pieces of one length over many groups for ranking.
+    ``part`` spreads pieces of one length over many groups for ranking, also those of equal rows or of one long text: it
+    comes from the row and a running number in the task. The result must be stored before it is used twice.
     """
-    source = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("part"))
+    source = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("part"))
 
     def start():
         tokens = byte_tokens(tokenizer)
         last = np.array([end], "<u4")
+        number = count()
 
         def work(columns):
             rows = []
@@ -42,7 +47,8 @@ def pieces(documents: DataFrame, tokenizer: str, size: int, end: int) -> DataFra
                 ids = np.concatenate([tokens.encode(text), last]) if text else last
                 at = 0
                 for k, length in enumerate(cut(len(ids), size)):
-                    rows.append((doc, k, at, length, zlib.crc32(ids[at : at + length].tobytes()), part))
+                    spread = zlib.crc32(f"{part} {next(number)}".encode()) % SPREAD
+                    rows.append((doc, k, at, length, zlib.crc32(ids[at : at + length].tobytes()), spread))
                     at += length
             return list(zip(*rows, strict=True))
 

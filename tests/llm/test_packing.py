@@ -69,3 +69,14 @@ def test_rows_of_every_kind(spark):
         assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 1024
     assert len(used) <= _best_fit([e[3] for e in expected], 1024) + 1
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_pieces_of_equal_rows_and_of_one_text_are_spread(spark):
+    rows = [(1, "the same row")] * 3000 + [(2, "long text here " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    parts = packing.pieces(df, PATH, 1024, 2).selectExpr("doc_id", "part % 16 p").groupBy("doc_id", "p").count().collect()
+    for doc in (1, 2):
+        counts = [r["count"] for r in parts if r.doc_id == doc]
+        assert len(counts) == 16 and max(counts) < 2 * sum(counts) / 16
+    got = packing.pack(df, PATH, group=64).select("doc_id", "sequence_id", "offset", "length").collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == sum(r["count"] for r in parts)
