@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grootboek.llm.common import explode_texts, scratch
+from grootboek.llm.common import explode_texts, scratch, stored
+from grootboek.skew import lookup
 
 VERSION = "WARC/1.1"
 END = "\r\n"
@@ -96,7 +97,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = 32_768
 
     Of rows with equal payloads of at least ``min_bytes``, those with the smallest page_id are responses and the others
     revisits that hold no payload. A null page_id counts as the largest; smaller payloads are all responses. Repeated
-    rows are written each for itself. Blocks longer than ``segment`` characters go on in continuation records.
+    rows are written each for itself. Pages meet the first of their payload by ``lookup``, so one that a third of them
+    have can be split over tasks. Blocks longer than ``segment`` characters go on in continuation records.
     """
     text = F.coalesce("html", F.lit(""))
     keyed = pages.select(
@@ -108,7 +110,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = 32_768
     )
     firsts = keyed.filter("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     several = firsts.filter("n > 1 and first is not null").select("same", "first")
-    joined = keyed.join(several, "same", "left").select(
+    joined = lookup(keyed, several, "same", ["page", "url"]).select(
         "page",
         "url",
         F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("first"),
@@ -236,20 +238,23 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     path = scratch(pages.sparkSession, "warc")
     write(pages, path)
-    found = read(pages.sparkSession, path).select(
-        F.col("page").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("own_bytes"),
-        F.col("digest").alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        F.col("refers_to").cast("long").alias("refers_to"),
+    # Stored without payloads: it is used twice, and the archives are unzipped and parsed once.
+    found = stored(
+        read(pages.sparkSession, path).select(
+            F.col("page").cast("long").alias("page_id"),
+            F.octet_length("payload").cast("long").alias("own_bytes"),
+            F.col("digest").alias("payload_digest"),
+            F.col("type").alias("record_type"),
+            F.col("refers_to").cast("long").alias("refers_to"),
+        ),
+        "records",
     )
     sizes = (
         found.filter("record_type = 'response' and page_id is not null")
-        .groupBy(F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest"))
+        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
         .agg(F.max("own_bytes").alias("of_bytes"))
     )
-    same = (F.col("refers_to") == F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest"))
-    return found.join(sizes, same, "left").select(
+    return lookup(found, sizes, ["refers_to", "payload_digest"], ["page_id", "payload_digest"]).select(
         "page_id",
         F.coalesce("own_bytes", "of_bytes").alias("payload_bytes"),
         "payload_digest",

@@ -54,3 +54,19 @@ def test_segments_are_put_together_across_files_and_checked(spark):
     rows = {r.page: r for r in warc.read(spark, broken).collect()}
     assert rows["1"].payload is None and rows["1"].error == "segments missing"
     assert bytes(rows["2"].payload) == b"small"
+
+
+def test_hot_payload_and_one_reading(spark, monkeypatch):
+    rows = [(i, "u", ("hot " * 400) if i % 3 == 0 else f"page {i} " * 30) for i in range(6000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    reads, spread = [], []
+    read, lookup = warc.read, warc.lookup
+    monkeypatch.setattr(warc, "read", lambda *a: reads.append(a) or read(*a))
+    monkeypatch.setattr(warc, "lookup", lambda facts, dim, *a: spread.append(dim.count()) or lookup(facts, dim, *a))
+    result = warc.round_trip(df)
+    got = result.collect()
+    assert sum(r.record_type == "revisit" for r in got) == 1999
+    assert {r.payload_bytes for r in got if r.page_id % 3 == 0} == {1600} and len(got) == 6000
+    # Both joins that meet hot keys can be split; the payloads are read once and not again for the result.
+    assert spread == [1, 4001] and len(reads) == 1
+    assert not any("warc-" in name for name in result.inputFiles())
