@@ -79,15 +79,15 @@ class CellFile:
     def _order(self, angles: np.ndarray) -> np.ndarray:
         return np.argsort(angles, axis=1, kind="stable")
 
-    def nearest(self, vector: Column, n: int) -> Column:
-        """The ``n`` cells whose centroids are nearest to a query."""
-        file = self
-
-        @F.pandas_udf("array<int>")
-        def cells(vectors: pd.Series) -> pd.Series:
-            return pd.Series(list(file._order(_angles(unit_rows(vectors), file.centroids))[:, :n].astype(np.int32)))
-
-        return cells(vector)
+    def open_cells(self, units: np.ndarray, to_beat: np.ndarray) -> np.ndarray:
+        """Of each query (a row) the cells that may hold a vector with at least the score ``to_beat``; the last column is
+        the cell of zeros."""
+        angles = _angles(units, self.centroids)
+        apart = np.maximum(np.maximum(angles - self.outer, self.inner - angles), 0.0)
+        limit = to_beat[:, None] - SLACK
+        # A query of zeros has the score 0 with every vector.
+        bound = np.where(units.any(axis=1)[:, None], np.cos(np.minimum(apart, np.pi)), 0.0)
+        return np.hstack([(bound >= limit) & ~np.isnan(self.outer), (limit <= 0) & self.has_zeros])
 
     def reachable(self, vector: Column, to_beat: Column, but: int) -> Column:
         """The cells that may hold a vector with at least the score ``to_beat``, without the ``but`` nearest ones."""
@@ -96,18 +96,10 @@ class CellFile:
         @F.pandas_udf("array<int>")
         def cells(vectors: pd.Series, beat: pd.Series) -> pd.Series:
             units = unit_rows(vectors)
-            angles = _angles(units, file.centroids)
-            apart = np.maximum(np.maximum(angles - file.outer, file.inner - angles), 0.0)
-            limit = beat.to_numpy()[:, None] - SLACK
-            # A query of zeros has the score 0 with every vector.
-            bound = np.where(units.any(axis=1)[:, None], np.cos(np.minimum(apart, np.pi)), 0.0)
-            open_ = (bound >= limit) & ~np.isnan(file.outer)
-            np.put_along_axis(open_, file._order(angles)[:, :but], False, axis=1)
-            made = []
-            for row, least in zip(open_, limit[:, 0], strict=True):
-                found = np.flatnonzero(row).astype(np.int32)
-                made.append(np.append(found, np.int32(ZERO_CELL)) if file.has_zeros and least <= 0 else found)
-            return pd.Series(made)
+            open_ = file.open_cells(units, beat.to_numpy())
+            np.put_along_axis(open_, file._order(_angles(units, file.centroids))[:, :but], False, axis=1)
+            numbers = np.append(np.arange(file.size, dtype=np.int32), np.int32(ZERO_CELL))
+            return pd.Series([numbers[row] for row in open_])
 
         return cells(vector, to_beat)
 
@@ -125,6 +117,26 @@ class CellFile:
         return rank(vector, cell)
 
 
+@dataclass(frozen=True)
+class Look:
+    """Which cells a query looks into: the ``probes`` nearest ones and, with ``whole``, all that may hold a better vector."""
+
+    file: CellFile
+    probes: int
+    whole: bool
+
+    def own(self, units: np.ndarray) -> np.ndarray:
+        """The nearest cell of each query."""
+        steps = range(0, len(units), CELL_ROWS)
+        return np.concatenate([_angles(units[i : i + CELL_ROWS], self.file.centroids).argmin(axis=1) for i in steps])
+
+    def first(self, units: np.ndarray) -> np.ndarray:
+        """The nearest cells of each query (a row), as marks; the last column is the cell of zeros."""
+        marks = np.zeros((len(units), self.file.size + 1), bool)
+        np.put_along_axis(marks, self.file._order(_angles(units, self.file.centroids))[:, : self.probes], True, axis=1)
+        return marks
+
+
 def trained(vectors: DataFrame, n_cells: int | None = None) -> CellFile | None:
     """Centroids of the column ``vector``, by k-means on Spark over a bounded part of the rows, picked by their hash.
 

@@ -4,14 +4,14 @@ The search uses an inverted file of cells (``cells``) and is exact unless told o
 
 1. Equal vectors are one vector. It keeps its ``k + 1`` lowest point ids; no further copy can enter a top ``k``.
 2. Every vector is in the cell of its nearest centroid.
-3. A query is compared, exactly, with all vectors of its scope in the cells nearest to it. What it finds there gives a
-   score to beat.
-4. A cell whose vectors, by their distances from the centroid, may reach that score is looked into as well. With a
-   ``recall`` that step is left out, and the number of cells in step 3 is chosen on a sample to reach that recall.
-
-Cells of any size are cut into blocks, and so are the queries that look into them; all blocks are compared, each by one
-matrix product in a task of its own, which passes on ``k + 1`` vectors per query. ``nearest_exact`` compares every query
-with every vector of its scope.
+3. Queries and points of a scope are dealt to a grid of blocks by hash. Every block of queries meets every block of points
+   once, in a task of its own; a row moves as often as the grid is wide, whatever the number of cells.
+4. In a block, queries that lie near each other are compared, exactly, with all vectors in the cells nearest to them.
+   What they find there gives a score to beat.
+5. Cells whose vectors, by their distances from the centroid, may reach that score are looked into as well. With a
+   ``recall`` that step is left out, and the number of cells in step 4 is chosen on a sample to reach that recall.
+
+A block passes on ``k + 1`` vectors per query. ``nearest_exact`` compares every query with every vector of its scope.
 """
 
 from __future__ import annotations
@@ -34,7 +34,14 @@ from grootboek.vocabulary import DEFAULT, Vocabulary
 
 NEIGHBOURS = 5
 UNANIMOUS_MIN = 3
-BLOCK_ROWS = 4096
+#: So many queries are compared at once, with four times as many points.
+BLOCK_ROWS = 1024
+#: The queries and the points of a scope are dealt to so many blocks, where that many rows are in each, and to more only
+#: where a block would hold more numbers than ``BLOCK_VALUES``. What is shuffled grows with the rows until then.
+QUERY_BLOCKS, POINT_BLOCKS = 8, 4
+BLOCK_VALUES = 1 << 23
+#: So many pairs are scored again at once in double precision.
+PAIRS = 1 << 14
 #: Queries that the number of cells for a recall is chosen on: those with the lowest hashes, so their number is bounded.
 TRIAL_QUERIES = 256
 #: Scores are equal when they agree to so many decimals; products of different blocks differ in the last ones.
@@ -61,16 +68,96 @@ def _distinct_vectors(rows: DataFrame, id_column: str, scope: str | None, keep:
     )
 
 
-def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
-    """The ``need`` best vectors per query, from bounded blocks of queries and points."""
-    block = ["scope", "cell", "part", "group"]
-
-    def blocks(rows: DataFrame, size: str, count: str) -> DataFrame:
-        sizes = rows.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias(size))
-        return sizes.withColumn(count, F.ceil(F.col(size) / BLOCK_ROWS).cast("int"))
-
-    # One row per (scope, bucket): how many blocks of points and of queries meet there.
-    shape = blocks(points, "points_n", "parts").join(blocks(probes, "probes_n", "groups"), ["scope", "cell"], "left")
+def _best(asked: np.ndarray, units: np.ndarray, need: int, cell: np.ndarray | None, look: cells.Look | None):
+    """The places (query, point) and scores of the ``need`` best ``units`` of each query; among equal scores those that
+    come first. ``cell`` is that of each point, and ``look`` says which cells a query looks into; without it, all."""
+    if look is None:
+        order = np.arange(len(asked))
+        spans = None
+    else:
+        order = np.argsort(look.own(asked), kind="stable")
+        cell = np.where(cell == cells.ZERO_CELL, look.file.size, cell)
+        by_cell = np.argsort(cell, kind="stable")
+        spans = np.split(by_cell, np.searchsorted(cell[by_cell], np.arange(1, look.file.size + 1)))
+    single = units.astype(np.float32)
+    found = []
+    for at in range(0, len(asked), BLOCK_ROWS):
+        rows = order[at : at + BLOCK_ROWS]
+        top = _Top(asked[rows], units, single, need)
+        if look is None:
+            top.meet(np.arange(len(units)))
+        else:
+            near = look.first(asked[rows])
+            met = near.any(axis=0)
+            inside = np.concatenate([spans[c] for c in np.flatnonzero(met)])
+            top.meet(inside, None if look.whole else near[:, cell[inside]])
+            if look.whole:
+                more = look.file.open_cells(asked[rows], top.score[:, -1]).any(axis=0) & ~met
+                if more.any():
+                    top.meet(np.concatenate([spans[c] for c in np.flatnonzero(more)]))
+        row, place = np.nonzero(top.at >= 0)
+        found.append((rows[row], top.at[row, place], top.score[row, place]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+class _Top:
+    """The best points so far of some queries. Products in single precision say which pairs can be among them, and only
+    those are scored."""
+
+    def __init__(self, asked: np.ndarray, units: np.ndarray, single: np.ndarray, need: int):
+        self.asked, self.units, self.single, self.need = asked, units, single, need
+        self.asked_single = asked.astype(np.float32)
+        self.score = np.full((len(asked), need), -np.inf)
+        self.at = np.full((len(asked), need), -1)
+        # More than twice what a sum of so many products of numbers up to 1 loses in single precision.
+        self.slack = (asked.shape[1] + 8) * 2.0**-22
+
+    def meet(self, points: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Compares all queries with the ``points`` (places), or the pairs ``allowed``."""
+        step = 4 * BLOCK_ROWS
+        for at in range(0, len(points), step):
+            part = points[at : at + step]
+            may = None if allowed is None else allowed[:, at : at + step]
+            about = self.asked_single @ self.single[part].T
+            if may is not None:
+                about[~may] = -np.inf
+            beat = self.score[:, -1]
+            if len(part) > self.need and np.isneginf(beat).any():
+                beat = np.maximum(beat, np.partition(about, len(part) - self.need, axis=1)[:, len(part) - self.need] - self.slack)
+            hit = about >= (beat - self.slack).astype(np.float32)[:, None]
+            row, place = np.nonzero(hit if may is None else hit & may)
+            if len(row):
+                self._take(row, part[place])
+
+    def _take(self, row: np.ndarray, at: np.ndarray) -> None:
+        score = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            pairs = slice(i, i + PAIRS)
+            score[pairs] = np.einsum("ij,ij->i", self.asked[row[pairs]], self.units[at[pairs]])
+        old = np.nonzero(self.at >= 0)
+        row = np.concatenate([old[0], row])
+        at = np.concatenate([self.at[old], at])
+        score = np.concatenate([self.score[old], np.round(score, DECIMALS)])
+        order = np.lexsort((at, -score, row))
+        row, at, score = row[order], at[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.need
+        self.score[row[kept], place[kept]] = score[kept]
+        self.at[row[kept], place[kept]] = at[kept]
+
+
+def _compare(probes: DataFrame, points: DataFrame, need: int, look: cells.Look | None = None) -> DataFrame:
+    """The ``need`` best vectors per query of every block of points, from bounded blocks of queries and points."""
+    block = ["scope", "part", "group"]
+
+    def blocks(rows: DataFrame, most: int, count: str) -> DataFrame:
+        sizes = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
+        few = F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(most))
+        bounded = F.ceil(F.col("n") * F.col("width") / BLOCK_VALUES)
+        return sizes.select("scope", F.greatest(few, bounded).cast("int").alias(count))
+
+    # One row per scope: how many blocks of points and of queries meet there.
+    shape = checkpointed(blocks(points, POINT_BLOCKS, "parts").join(blocks(probes, QUERY_BLOCKS, "groups"), "scope"))
 
     def place(count: str) -> Column:
         return F.pmod(F.xxhash64("vector_key"), F.col(count)).cast("int")
@@ -78,43 +165,42 @@ def _compare(probes: DataFrame, points: DataFrame, need: int) -> DataFrame:
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    cell, spread = ["scope", "cell"], ["vector_key"]
-    left = lookup(probes, shape.fillna(0, ["probes_n"]), cell, spread=spread, how="inner")
+    cell = F.col("cell") if look else F.lit(0)
+    left = lookup(probes.select(*_VECTOR, "vector"), shape, "scope", ["vector_key"], how="inner")
     left = left.withColumn("group", place("groups")).withColumn("part", every("parts"))
-    right = lookup(points, shape, cell, spread=spread).where(F.col("groups") > 0)
+    right = points.select(*_VECTOR, "first_id", cell.alias("cell"), "vector")
+    right = lookup(right, shape, "scope", ["vector_key"], how="inner")
     right = right.withColumn("part", place("parts")).withColumn("group", every("groups"))
 
     def best(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or corpus.empty:
             return pd.DataFrame({c: [] for c in ("scope", "vector_key", "hit_key", "first_id", "score")})
-        # In the order of ids, so that a stable sort by score puts lower ids first among equals.
+        # In the order of ids, which puts lower ids first among equals.
         corpus = corpus.sort_values("first_id")
-        scores = np.round(unit_rows(queries["vector"]) @ unit_rows(corpus["vector"]).T, DECIMALS)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :need]
-        asked, hits = np.repeat(np.arange(len(order)), order.shape[1]), order.ravel()
+        found = _best(unit_rows(queries["vector"]), unit_rows(corpus["vector"]), need, corpus["cell"].to_numpy(), look)
+        asked, hits, score = found
         return pd.DataFrame(
             {
                 "scope": queries["scope"].to_numpy()[asked],
                 "vector_key": queries["vector_key"].to_numpy()[asked],
                 "hit_key": corpus["vector_key"].to_numpy()[hits],
                 "first_id": corpus["first_id"].to_numpy()[hits],
-                "score": scores[asked, hits],
+                "score": score,
             }
         )
 
     pairs = (
         left.select(*block, "vector_key", "vector")
         .groupBy(*block)
-        .cogroup(right.select(*block, "vector_key", "first_id", "vector").groupBy(*block))
+        .cogroup(right.select(*block, "vector_key", "first_id", "cell", "vector").groupBy(*block))
     )
     return pairs.applyInPandas(best, _HIT)
 
 
 def _answers(found: DataFrame, vectors: DataFrame, need: int) -> DataFrame:
-    """The best vectors per query over all blocks it looked into, with their members: ``near``, best first."""
-    once = found.groupBy(*_VECTOR, "hit_key", "first_id").agg(F.max("score").alias("score"))
+    """The best vectors per query over all blocks of points, with their members: ``near``, best first."""
     order = Window.partitionBy(*_VECTOR).orderBy(F.desc("score"), "first_id")
-    best = once.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= need)
+    best = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= need)
     named = vectors.select(F.col("scope").alias("hit_scope"), F.col("vector_key").alias("hit"), "members")
     same = (F.col("scope") == F.col("hit_scope")) & (F.col("hit_key") == F.col("hit"))
     members = F.explode("members").alias("m")
@@ -146,29 +232,6 @@ def _search(queries: DataFrame, points: DataFrame, k: int, scope: str | None, co
     return joined.select("point_id", F.slice(others, 1, k).alias("neighbours"))
 
 
-def _to_beat(found: DataFrame, need: int) -> DataFrame:
-    """The score of each query's last place; queries that found fewer have no row."""
-    order = Window.partitionBy(*_VECTOR).orderBy(F.desc("score"))
-    placed = found.select(*_VECTOR, "score").withColumn("_place", F.row_number().over(order))
-    return placed.where(F.col("_place") == need).select(*_VECTOR, F.col("score").alias("to_beat"))
-
-
-def _by_cells(file: cells.CellFile, placed: DataFrame, probes: int, whole: bool):
-    """A comparison of queries with the vectors ``placed`` in cells; ``whole`` also looks where more could be."""
-
-    def compare(asked: DataFrame, need: int) -> DataFrame:
-        near = asked.withColumn("cell", F.explode(file.nearest(F.col("vector"), probes)))
-        found = _compare(near, placed, need)
-        if not whole or (probes >= file.size and not file.has_zeros):
-            return found
-        found = checkpointed(found)
-        beaten = lookup(asked, _to_beat(found, need), _VECTOR, spread=["vector_key"])
-        still = file.reachable(F.col("vector"), F.coalesce("to_beat", F.lit(-2.0)), probes)
-        return found.unionByName(_compare(beaten.withColumn("cell", F.explode(still)), placed, need))
-
-    return compare
-
-
 def nearest(
     queries: DataFrame,
     points: DataFrame,
@@ -198,9 +261,9 @@ def nearest(
         file = file.with_rings(placed)
         first = probes or max(1, round(file.size**0.5))
         if recall is None:
-            return _by_cells(file, placed, first, True)(asked, need)
+            return _compare(asked, placed, need, cells.Look(file, first, True))
         enough = _probes_for(recall, file, placed, first, asked, need)
-        return _by_cells(file, placed, enough, False)(asked, need)
+        return _compare(asked, placed, need, cells.Look(file, enough, False))
 
     return _search(queries, points, k, scope, compare)
 
@@ -208,7 +271,7 @@ def nearest(
 def _probes_for(recall: float, file: cells.CellFile, placed: DataFrame, first: int, asked: DataFrame, need: int) -> int:
     """How many of the nearest cells hold ``recall`` of the true neighbours of a sample of queries."""
     trial = checkpointed(asked.orderBy(F.xxhash64(*_VECTOR), *_VECTOR).limit(TRIAL_QUERIES))
-    found = _by_cells(file, placed, first, True)(trial, need)
+    found = _compare(trial, placed, need, cells.Look(file, first, True))
     order = Window.partitionBy(*_VECTOR).orderBy(F.desc("score"), "first_id")
     best = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= need)
     cell_of = placed.select(F.col("scope").alias("_scope"), F.col("vector_key").alias("_key"), "cell")
@@ -233,7 +296,7 @@ def nearest_exact(
 
 
 def _all_with_all(asked: DataFrame, candidates: DataFrame, need: int) -> DataFrame:
-    return _compare(asked.withColumn("cell", F.lit(0)), candidates.withColumn("cell", F.lit(0)), need)
+    return _compare(asked, candidates, need)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

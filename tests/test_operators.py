@@ -356,6 +356,23 @@ def test_nearest_of_odd_vectors(spark):
     assert _ids(neighbours.nearest(zeros, same.limit(0))) == {f"z{i}": [] for i in range(4)}
 
 
+def test_cells_do_not_multiply_what_moves(spark, monkeypatch):
+    """Vectors without clusters are looked for in nearly all cells; what is passed on does not grow with those."""
+    rng = np.random.default_rng(3)
+    rows = [(f"{i:04d}", "Af", v.astype("float32").tolist(), ("c", "s")) for i, v in enumerate(rng.normal(size=(300, 12)))]
+    df = spark.createDataFrame(rows, _POINTS)
+    moved, answers = [], neighbours._answers
+
+    def counted(found, *more):
+        moved.append(found.count())
+        return answers(found, *more)
+
+    monkeypatch.setattr(neighbours, "_answers", counted)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    assert _ids(neighbours.nearest(df, df, n_cells=30, probes=2)) == _ids(neighbours.nearest_exact(df, df))
+    assert moved == [300 * 6 * 4] * 2
+
+
 def test_cells_spare_most_comparisons(spark):
     """On vectors in clusters, bounds leave few cells to look into after the first ones."""
     df = _clustered(spark, 1500, 5)
