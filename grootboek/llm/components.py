@@ -11,15 +11,13 @@ from grootboek.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge (u, v); the label is the smallest node that can be reached.
 
-    Large-star and small-star steps by turns until nothing changes: every node points its larger neighbours, then its
+    Large-star and small-star steps by turns until all edges are stars: every node points its larger neighbours, then its
     smaller ones, at the smallest node it knows. Steps are aggregations and joins on nodes, so a node with very many
     neighbours is combined before the shuffle and split in the join. Loops and repeated edges do no harm; null ends are
     dropped; without edges there are no rows.
     """
     current = stored(_tidy(edges.select("u", "v")), "edges")
-    before = None
-    while (now := _state(current)) != before:
-        before = now
+    while not _are_stars(current):
         current = stored(_small_star(_large_star(current)), "edges")
     pointed = current.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return pointed.unionByName(pointed.select(F.col("label").alias("node"), "label").distinct())
@@ -34,8 +32,11 @@ def _tidy(edges: DataFrame) -> DataFrame:
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and no larger ones, or larger ones only; no step changes that."""
+    ends = edges.select("u", F.lit(1).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("low")))
+    counts = ends.groupBy("u").agg(F.sum("low").alias("low"), F.count("*").alias("n"))
+    return counts.filter("low > 1 or low = 1 and n > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

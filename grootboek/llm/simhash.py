@@ -178,15 +178,22 @@ def _tile_pairs(rows: DataFrame, highest: int) -> DataFrame:
 
 
 def _compare(nodes: list, seconds: list, fps: list, radius: int, kind: str) -> list:
+    """Links from each node to the smallest one that it is joined with in a tile: tiles with the same nodes, as those of
+    near copies are in many bands, then give the same links."""
     ends: list[list] = [[], []]
     for node, second, fp in zip(nodes, seconds, fps, strict=True):
         if kind == "binary":
             values = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
         else:
             values = np.array(fp, np.int64).view(np.uint64)[:, None]
-        found = links(values, None if second is None else np.array(second, bool), radius)
-        for end, places in zip(ends, found, strict=True):
-            end += [node[i] for i in places.tolist()]
+        moved, root = links(values, None if second is None else np.array(second, bool), radius)
+        centres, ids = np.unique(root), np.array(node, np.int64)
+        own, of = ids[np.concatenate([moved, centres])], np.concatenate([root, centres])
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, own)
+        end = least[of]
+        ends[0] += own[own != end].tolist()
+        ends[1] += end[own != end].tolist()
     return ends
 
 

@@ -125,9 +125,9 @@ class _Top:
             if len(part) > self.need and np.isneginf(beat).any():
                 beat = np.maximum(beat, np.partition(about, len(part) - self.need, axis=1)[:, len(part) - self.need] - self.slack)
             hit = about >= (beat - self.slack).astype(np.float32)[:, None]
-            row, place = np.nonzero(hit if may is None else hit & may)
-            if len(row):
-                self._take(row, part[place])
+            pairs = np.flatnonzero(hit if may is None else hit & may)
+            if len(pairs):
+                self._take(pairs // len(part), part[pairs % len(part)])
 
     def _take(self, row: np.ndarray, at: np.ndarray) -> None:
         score = np.empty(len(row))
