@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grootboek.checkpoints import kept
 from grootboek.functions.text import (
     MERCHANT_DISPLAY_LIMIT,
     casefold,
@@ -318,7 +319,8 @@ def flag(
 
 
 def doubt_flags(ledger: DataFrame, bank: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
-    """Every reviewable row with its suggestion and flags."""
+    """Every reviewable row with its suggestion and flags. The ledger is made once and stored for its three uses."""
+    ledger = kept(ledger, "ledger")
     plain = without_structural(ledger)
     rows = present(with_suggestions(plain, memory_corpus(ledger)))
     return flag(rows, merchant_stats(bank, v), split_texts(ledger), v=v)

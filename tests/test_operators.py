@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grootboek.functions.text import AnonymiseRules
 from grootboek.operators import corrections, imports, memory, neighbours, review, settle
-from grootboek.operators.classify import on_leg, transfer_legs
+from grootboek.operators.classify import on_leg, transfer_legs, unify
 from grootboek.operators.period import Period
 from grootboek.plans import fixtures
 from grootboek.skew import lookup
@@ -396,6 +396,19 @@ def test_recall_on_the_given_vectors(spark, sf):
     assert whole.recall == 1.0 and whole.neighbours == 5 * whole.queries
 
 
+def test_doubt_flags_make_the_ledger_once(spark):
+    bank, card = fixtures.bank_ledger(spark, "/root/testdata/sf0.001"), fixtures.card_ledger(spark, "/root/testdata/sf0.001")
+    ledger, made = unify(bank, card).limit(200).coalesce(1), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    review.doubt_flags(ledger.mapInArrow(seen, ledger.schema), bank).collect()
+    assert made.value == 200
+
+
 def test_a_page_far_down_and_one_after_a_row(spark):
     rows = [(202400 + i % 12 + 1, "bank" if i % 2 else "card", f"{i:04d}") for i in range(2100)]
     df = spark.createDataFrame(rows, "ym int, src string, tx_id string")
