@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grootboek.checkpoints import checkpointed, shared_folder
+from grootboek.checkpoints import checkpointed, kept, shared_folder
 from grootboek.functions.text import (
     INDEX_LIMIT,
     anonymise,
@@ -538,7 +538,9 @@ def split_text_page(spark, sf_dir):
 @query
 def queue_totals(spark, sf_dir):
     """How many rows each queue holds."""
-    ledger, suggested = fx.ledger(spark, sf_dir), _suggested(spark, sf_dir)
+    ledger = kept(fx.ledger(spark, sf_dir), "ledger")
+    suggested = memory.suggestions(memory.memory_corpus(ledger)).select("src", "tx_id", "layer", "disagrees")
+    suggested = kept(suggested, "suggested")
     totals = None
     for name in review.QUEUES:
         rows = review.queue(ledger, name, WHOLE, suggested, "  FURN%" if name == "zoek" else None)
