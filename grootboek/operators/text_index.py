@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grootboek.checkpoints import checkpointed
+from grootboek.checkpoints import checkpointed, kept
 from grootboek.functions.text import casefold, contains_any, search_needle, text_or_empty
 from grootboek.operators.classify import SEARCHED
 from grootboek.sources.bucket_table import DIGITS, BucketTable
@@ -52,10 +52,10 @@ class TextIndex:
     def add(self, rows: DataFrame, segment: str, digits: int = DIGITS) -> None:
         """Indexes more rows (``src``, ``tx_id`` and the searched columns). A segment that is there is refused."""
         texts = [text_or_empty(F.col(c)).alias(c) for c in SEARCHED]
-        rows = checkpointed(rows.select(*_ROW, *texts))
+        rows = kept(rows.select(*_ROW, *texts), "texts")
         shards = max(1, -(-rows.count() // SHARD_ROWS))
-        placed = checkpointed(
-            rows.withColumns({"shard": F.pmod(F.xxhash64(*_ROW), F.lit(shards)), "place": F.xxhash64(*_ROW, F.lit(1))})
+        placed = rows.withColumns(
+            {"shard": F.pmod(F.xxhash64(*_ROW), F.lit(shards)), "place": F.xxhash64(*_ROW, F.lit(1))}
         )
         both = F.array_distinct(F.flatten(F.array(*[_grams(casefold(F.col(c))) for c in SEARCHED])))
         each = placed.select("shard", "place", F.explode(both).alias("gram"))

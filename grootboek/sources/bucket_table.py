@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grootboek.checkpoints import checkpointed
+from grootboek.checkpoints import checkpointed, kept
 from grootboek.sources.ledgers import CheckFailed
 
 #: Hexadecimal digits of a key's MD5 that name its bucket: 256 buckets, at most 65,536.
@@ -68,7 +68,6 @@ class BucketTable:
         if not 1 <= digits <= MOST_DIGITS:
             raise ValueError(f"digits must be 1 to {MOST_DIGITS}")
         table = cls(rows.sparkSession, path)
-        rows = checkpointed(rows)
         first = Manifest(1, tuple(keys), digits, rows.schema, note, {})
         table._commit(first, table._write(rows, first, 1), 1, note)
         return table
@@ -163,13 +162,15 @@ class BucketTable:
     def _write(self, rows: DataFrame, at: Manifest, version: int) -> dict[str, str]:
         """Writes the rows as a generation of its own; returns the buckets it has, each with its name."""
         generation = f"{version}-{uuid.uuid4().hex[:8]}"
-        rows = checkpointed(rows.withColumn("bucket", bucket_of(at.keys, at.digits)))
-        files = max(1, -(-rows.count() // (16**at.digits * FILE_ROWS)))
+        rows = kept(rows.withColumn("bucket", bucket_of(at.keys, at.digits)), "rows")
+        # At most as many rows as there are buckets.
+        counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+        files = max(1, -(-sum(counts.values()) // (16**at.digits * FILE_ROWS)))
         # By bucket and part of it, so that a large bucket is written by several tasks and a small one to one file.
         spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "bucket" and _plain(rows, c)]), F.lit(files))
         dealt = rows.repartition("bucket", spread)
         dealt.write.partitionBy("bucket").mode("errorifexists").parquet(f"{self.path}/data/{generation}")
-        return {r[0]: generation for r in rows.select("bucket").distinct().collect()}
+        return dict.fromkeys(counts, generation)
 
     def _commit(self, at: Manifest, generations: dict[str, str], version: int, note: str) -> None:
         about = {"keys": at.keys, "digits": at.digits, "shape": at.shape.jsonValue(), "note": note}
