@@ -162,3 +162,25 @@ def test_pairs_below_the_limit_stay(spark):
     want = _plain_components(range(len(texts)), pairs)
     assert all(want[got[i]] == want[i] for i in want)
     assert sum(got[i] != want[i] for i in want) <= 2
+
+
+def test_stars_are_components_already(spark, monkeypatch):
+    from grootboek.llm import components as module
+
+    def another_round(edges):
+        raise AssertionError("nothing is left to join")
+
+    monkeypatch.setattr(module, "_large_star", another_round)
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 8), (5, 1), (3, 3)], "u long, v long")
+    assert {(r.node, r.label) for r in components(stars).collect()} == {(1, 1), (5, 1), (7, 1), (8, 8), (9, 8)}
+
+
+def test_tiles_of_the_same_nodes_give_the_same_links():
+    from grootboek.llm import simhash
+
+    nodes, fps = [40, 7, 30, 12, 99], [0b0011, 0b0111, 0b0001, 0b1111, -1]
+    found = set()
+    for order in ([0, 1, 2, 3, 4], [3, 4, 2, 1, 0], [1, 3, 0, 2, 4]):
+        u, v = simhash._compare([[nodes[i] for i in order]], [None], [[fps[i] for i in order]], 4, "bigint")
+        found |= set(zip(u, v, strict=True))
+    assert found == {(40, 7), (30, 7), (12, 7)}
