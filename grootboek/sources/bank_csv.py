@@ -3,8 +3,8 @@
 Files are read with an explicit all-text schema and split over tasks, whatever is in them. Two facts are looked up per
 file before that: its header and separator (from its first lines), and whether a quoted cell runs over a line's end. A
 file without such cells goes to Spark's CSV reader. Otherwise its lines are put together to records first
-(``_records``): a file block is read by a task of its own, and whether a line begins inside a quoted cell follows from
-what the lines before it do to an open quote, block by block.
+(``_records``): lines are ordered in short spans of the file block Spark read them from, and whether a line begins
+inside a quoted cell follows from what the lines before it do to an open quote, span by span.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,11 @@ from grootboek.functions.dates import bank_date
 from grootboek.functions.ids import bank_tx_id
 from grootboek.functions.money import MONEY, parse_amount
 from grootboek.functions.text import strip, text_or_empty
-from grootboek.skew import lookup
 from grootboek.sources.ledgers import union_all
+from grootboek.sources.spans import KEYS, in_file, in_span, in_spans, read_lines
+
+#: So many bytes of files at most make one task, where that gives more tasks than the session's own number.
+TASK_BYTES = 32 << 20
 
 # Header names of the bank's export, and ours.
 COLUMNS = {
@@ -55,16 +58,6 @@ class CsvFormatError(ValueError):
         self.headers = list(headers)
 
 
-def _lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    text = spark.read.option("lineSep", "\n").option("encoding", encoding).text(paths)
-    return text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").alias("line"),
-    )
-
-
 def _opens(line: Column, separator: str) -> Column:
     """Whether a line that begins outside of quotes ends inside a quoted cell. A quote inside a bare cell is text."""
     inside, bare = '(?:[^"]|"")*+', f"[^{separator}]*+"
@@ -79,11 +72,11 @@ def _stays_open(line: Column, separator: str) -> Column:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """First line, separator and whether a quoted cell holds a line break, per file, in one pass over the lines."""
+    """First line, separator, whether a quoted cell holds a line break, and size, per file, in one pass over the lines."""
     first = F.min(F.when(F.col("block") == 0, F.struct("seq", "line")))["line"]
     some = F.col("line").contains('"')
     broken = [F.max(some & _opens(F.col("line"), sep)).alias(name) for sep, name in ((";", "_semi"), (",", "_comma"))]
-    heads = lines.groupBy("file").agg(first.alias("header"), *broken)
+    heads = lines.groupBy("file").agg(first.alias("header"), F.max("size").alias("size"), *broken)
 
     def occurrences(char: str) -> Column:
         return F.length("header") - F.length(F.translate("header", char, ""))
@@ -94,73 +87,89 @@ def _heads(lines: DataFrame) -> DataFrame:
         "header",
         F.when(semi, ";").otherwise(",").alias("separator"),
         F.when(semi, F.col("_semi")).otherwise(F.col("_comma")).alias("broken"),
+        "size",
     )
 
 
-def _records(lines: DataFrame, separator: str) -> DataFrame:
+def _spread(lines: DataFrame, size: int) -> DataFrame:
+    """``lines`` dealt out by span to so many tasks that each has a bounded share of the ``size`` bytes of the files."""
+    n = -(-size // TASK_BYTES)
+    return lines.repartition(n, *KEYS) if n > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) else lines
+
+
+def _records(lines: DataFrame, separator: str, size: int) -> DataFrame:
     """The records of files whose quoted cells hold line breaks: (file, block, seq, line, first) with the place of the
     record's first line, the whole text of the record, and whether it is the file's first.
 
     A line keeps a quote open or shut, opens, shuts or flips it. Whether it begins inside a quoted cell is decided by the
-    last line before it that opens or shuts whatever came, and by the flips since then; for the lines before a block,
-    that is one value per block. Lines of one record meet by its first line; all other lines stay where they are. A quote
+    last line before it that opens or shuts whatever came, and by the flips since then; for the lines before a span,
+    that is one value per span. Lines of one record meet by its first line; all other lines stay where they are. A quote
     that is never shut makes the rest of its file one record.
     """
+    lines = in_spans(lines.select("file", "block", "seq", "line"))
     kinds = lines.withColumns({"_out": _opens(F.col("line"), separator), "_in": _stays_open(F.col("line"), separator)})
     flips = (F.col("_out") & ~F.col("_in")).cast("int")
     # Opens or shuts, whatever came.
     fixed = F.when(F.col("_out") == F.col("_in"), F.col("_in").cast("int"))
-    here = Window.partitionBy("file", "block").orderBy("seq")
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    counted = kinds.select(
-        "file", "block", "seq", "line", fixed.alias("_fixed"), F.sum(flips).over(here).alias("_flips"), flips.alias("_flip")
-    )
+    before = in_span().rowsBetween(Window.unboundedPreceding, -1)
+    stated = kinds.select(*KEYS, "seq", "line", fixed.alias("_fixed"), flips.alias("_flip"))
+    counted = _spread(stated, size).withColumn("_flips", F.sum("_flip").over(in_span()))
     marked = F.when(F.col("_fixed").isNotNull(), F.struct(F.col("_fixed").alias("to"), F.col("_flips").alias("at")))
     traced = counted.select(
-        "file",
-        "block",
+        *KEYS,
         "seq",
         "line",
         marked.alias("_mark"),
         "_flips",
         F.last(marked, ignorenulls=True).over(before).alias("_last"),
         (F.col("_flips") - F.col("_flip")).alias("_sofar"),
-        F.row_number().over(here).alias("_nth"),
+        F.row_number().over(in_span()).alias("_nth"),
     )
-    # What a whole block does to an open quote, and from that the state in which each block begins.
-    end = traced.groupBy("file", "block").agg(
-        F.max_by(F.coalesce("_mark", "_last"), "seq").alias("_end"), F.max("_flips").alias("_all")
+
+    def begins(enters: Column) -> Column:
+        """Whether a line begins a record, if the span begins inside a quoted cell (1) or not (0)."""
+        since = F.when(F.col("_last").isNull(), enters).otherwise(F.col("_last.to") - F.col("_last.at"))
+        return (since + F.col("_sofar")) % 2 == 0
+
+    # What a whole span does to an open quote, and from that the state in which each span begins; and the last line
+    # before each span that begins a record, which a span gives for both states that it may begin in.
+    end = traced.groupBy(*KEYS).agg(
+        F.max_by(F.coalesce("_mark", "_last"), "seq").alias("_end"),
+        F.max("_flips").alias("_all"),
+        *[F.max(F.when(begins(F.lit(i)), F.struct("block", "seq"))).alias(f"_begun{i}") for i in (0, 1)],
     )
-    by_block = Window.partitionBy("file").orderBy("block")
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_all").over(by_block) - F.col("_all")
-    ends = end.withColumn("_total", total)
+    earlier = in_file().rowsBetween(Window.unboundedPreceding, -1)
+    ends = end.withColumn("_total", F.sum("_all").over(in_file()) - F.col("_all"))
     known = F.when(
         F.col("_end").isNotNull(),
         F.struct(F.col("_end.to").alias("to"), (F.col("_total") + F.col("_end.at")).alias("at")),
     )
     carried = F.last(known, ignorenulls=True).over(earlier)
-    starts = ends.select("file", "block", carried.alias("_carried"), "_total").select(
-        "file",
-        "block",
-        ((F.coalesce("_carried.to", F.lit(0)) + F.col("_total") - F.coalesce("_carried.at", F.lit(0))) % 2).alias("_enters"),
+    enters = (F.coalesce("_carried.to", F.lit(0)) + F.col("_total") - F.coalesce("_carried.at", F.lit(0))) % 2
+    starts = ends.withColumn("_carried", carried).withColumn("_enters", enters)
+    begun = F.when(F.col("_enters") == 0, F.col("_begun0")).otherwise(F.col("_begun1"))
+    starts = starts.select(
+        *KEYS,
+        "_enters",
+        F.last(begun, ignorenulls=True).over(earlier).alias("_before"),
+        (F.row_number().over(in_file()) == 1).alias("_first"),
+    )
+    # One row for each span: so small that the lines stay where they are.
+    placed = traced.join(F.broadcast(starts), KEYS)
+    rows = placed.withColumn("_begins", begins(F.col("_enters")))
+    # The last line of the file so far that begins a record: within the span, or in an earlier one.
+    own = F.last(F.when(F.col("_begins"), F.struct("block", "seq")), ignorenulls=True).over(in_span())
+    first = F.col("_first") & (F.col("block") == 0) & (F.col("_nth") == 1)
+    rows = rows.select(
+        *KEYS,
+        "seq",
+        "line",
+        first.alias("first"),
+        F.coalesce(own, "_before").alias("_from"),
+        "_begins",
+        F.lead("_begins").over(in_span()).alias("_next"),
     )
-    placed = lookup(traced, starts, ["file", "block"], spread=["seq"])
-    inside = F.when(
-        F.col("_last").isNull(), (F.col("_enters") + F.col("_sofar")) % 2
-    ).otherwise((F.col("_last.to") + F.col("_sofar") - F.col("_last.at")) % 2)
-    stated = placed.select("file", "block", "seq", "line", (inside == 0).alias("_begins"), "_nth")
-    # The last line of the file so far that begins a record: within the block, or in an earlier one.
-    begun = F.when(F.col("_begins"), F.struct("block", "seq"))
-    within = stated.withColumn("_own", F.last(begun, ignorenulls=True).over(here))
-    last_of_block = within.groupBy("file", "block").agg(F.max("_own").alias("_lasts"))
-    before_block = last_of_block.select("file", "block", F.last("_lasts", ignorenulls=True).over(earlier).alias("_before"))
-    after = F.lead("_begins").over(here)
-    joined = lookup(within.withColumn("_next", after), before_block, ["file", "block"], spread=["seq"])
-    origin = F.coalesce("_own", "_before")
-    first = (F.col("block") == 0) & (F.col("_nth") == 1)
-    # A line that begins a record and is followed, in its block, by another such line is a whole record.
-    rows = joined.select("file", "block", "seq", "line", first.alias("first"), origin.alias("_from"), "_begins", "_next")
+    # A line that begins a record and is followed, in its span, by another such line is a whole record.
     alone = rows.where(F.col("_begins") & F.coalesce("_next", F.lit(False)))
     parts = rows.where(~F.col("_begins") | ~F.coalesce("_next", F.lit(False)))
     whole = parts.groupBy("file", "_from").agg(
@@ -182,8 +191,7 @@ def read_bank_csv(spark: SparkSession, paths: str | list[str], encoding: str = "
     What is collected is one line per file, never rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = _lines(spark, paths, encoding)
-    heads = _heads(lines).collect()
+    heads = _heads(read_lines(spark, paths, encoding)).collect()
     if not heads:
         raise CsvFormatError("empty csv")
 
@@ -193,21 +201,23 @@ def read_bank_csv(spark: SparkSession, paths: str | list[str], encoding: str = "
         missing = [c for c in REQUIRED if c not in names]
         if missing:
             raise CsvFormatError("missing columns: " + ", ".join(missing), names)
-        alike[(tuple(names), head.separator, bool(head.broken))].append(head.file)
+        alike[(tuple(names), head.separator, bool(head.broken))].append(head)
     return union_all(
-        [_read_alike(spark, files, names, sep, broken, encoding) for (names, sep, broken), files in alike.items()]
+        [_read_alike(spark, found, names, sep, broken, encoding) for (names, sep, broken), found in alike.items()]
     )
 
 
 def _read_alike(
-    spark: SparkSession, files: list[str], names: tuple[str, ...], separator: str, broken: bool, encoding: str
+    spark: SparkSession, heads: list[Row], names: tuple[str, ...], separator: str, broken: bool, encoding: str
 ) -> DataFrame:
+    files = [head.file for head in heads]
     places = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(place, T.StringType()) for place in places])
     options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     block = F.struct(F.col("_block").alias("block"), F.col("_seq").alias("seq"))
     if broken:
-        records = _records(_lines(spark, files, encoding), separator).where(~F.col("first"))
+        size = sum(head.size for head in heads)
+        records = _records(read_lines(spark, files, encoding), separator, size).where(~F.col("first"))
         line = F.regexp_replace("line", "\r$", "")
         cells = F.from_csv(line, ", ".join(f"{place} string" for place in places), options | {"multiLine": "true"})
         found = records.where(line != "").select(

@@ -157,3 +157,32 @@ def test_files_without_line_breaks_are_read_as_they_are(spark, tmp_path):
     path = _write(tmp_path, "p.csv", HEADER + '\n1;"a;b";R;;;Af;1;x;m;2\n')
     plan = read_bank_csv(spark, path)._jdf.queryExecution().toString()
     assert "Window" not in plan and read_bank_csv(spark, path).first().raw_description == "a;b"
+
+
+# Spans of a block.
+
+
+@pytest.fixture
+def short_spans(monkeypatch):
+    """Blocks are cut into spans of two lines."""
+    monkeypatch.setattr("grootboek.sources.spans.SPAN_BITS", 1)
+
+
+@pytest.mark.parametrize("seed, sep", [(4, ";"), (5, ",")])
+def test_records_over_lines_blocks_and_spans(spark, tmp_path, small_blocks, short_spans, seed, sep):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    content, want = _random_csv(seed, sep=sep)
+    rows = read_bank_csv(spark, _write(tmp_path, "a.csv", content))
+    order = ["raw_date", "raw_description", "raw_account", "raw_counter_account", "code", "direction", "raw_amount", "mutation_kind", "raw_memo", "raw_balance"]
+    assert [list(r) for r in rows.orderBy("pos").select(*order).collect()] == want
+
+
+def test_windows_over_records_hold_a_span_and_tasks_grow_in_number(spark, tmp_path, monkeypatch):
+    content, want = _random_csv(6)
+    path = _write(tmp_path, "a.csv", content)
+    plan = read_bank_csv(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line and "seq#" in line]
+    assert windows and all("span#" in line for line in windows)
+    monkeypatch.setattr(bank_csv, "TASK_BYTES", len(content) // 9)
+    rows = read_bank_csv(spark, path)
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == len(want)
