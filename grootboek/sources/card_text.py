@@ -1,19 +1,20 @@
 """Card statements as text lines.
 
 Some statements break a transaction over two lines: date and description, then type and amount. Joining the two needs
-the next line. Lines are therefore ordered inside the file block Spark read them from, which bounds how many one task
-sorts; the last line of a block looks at the first line of the next one.
+the next line. Lines are therefore ordered inside short spans of the file block Spark read them from, which bounds how
+many belong together; the last line of a span looks at the first line of the next one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grootboek.functions.dates import card_date
 from grootboek.functions.ids import card_tx_id
 from grootboek.functions.money import MONEY, hash_token, parse_amount
 from grootboek.functions.text import strip
+from grootboek.sources.spans import KEYS, in_file, in_span, in_spans, read_lines
 from grootboek.vocabulary import DEFAULT, Vocabulary
 
 # The shape of a statement line.
@@ -41,13 +42,7 @@ def is_transaction_line(line: Column, v: Vocabulary = DEFAULT) -> Column:
 
 def read_card_text(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """Lines of statement texts with their ``file``, the ``block`` they came from and their order in it."""
-    text = spark.read.option("lineSep", "\n").option("encoding", encoding).text(paths)
-    return text.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").alias("line"),
-    )
+    return read_lines(spark, paths, encoding).select("file", "block", "seq", "line")
 
 
 def stitch_lines(lines: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
@@ -56,26 +51,25 @@ def stitch_lines(lines: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
     A dated line followed by a bare ``Type amount`` line is joined with it. Such a continuation never starts with a
     date, so using it up cannot change what any other line becomes.
     """
-    filled = lines.withColumn("line", strip(F.col("line"))).where(F.col("line") != "")
-    in_block = Window.partitionBy("file", "block").orderBy("seq")
-    starts = filled.groupBy("file", "block").agg(F.min_by("line", "seq").alias("first_line"))
-    after = F.lead("first_line").over(Window.partitionBy("file").orderBy("block"))
-    starts = starts.select("file", "block", after.alias("after_block"))
-
-    next_here = filled.withColumn("next_here", F.lead("line").over(in_block))
-    linked = next_here.join(starts, ["file", "block"])
-    following = F.coalesce("next_here", "after_block")
     line = F.col("line")
+    filled = in_spans(lines.withColumn("line", strip(line)).where(line != ""))
+    starts = filled.groupBy(*KEYS).agg(F.min_by("line", "seq").alias("first_line"))
+    after = F.lead("first_line").over(in_file())
+    # One row for each span: so small that the lines stay where they are.
+    starts = F.broadcast(starts.select(*KEYS, after.alias("after_span")))
+
+    next_here = filled.withColumns({"whole": is_transaction_line(line, v), "next_here": F.lead("line").over(in_span())})
+    linked = next_here.where(line.rlike(DATE)).join(starts, KEYS)
+    following = F.coalesce("next_here", "after_span")
     joined = F.concat_ws(" ", line, following)
     continues = following.rlike(rf"{UNIX_LINES}^{OTHER_TYPE} {AMOUNT}$") & is_transaction_line(joined, v)
-    whole = is_transaction_line(line, v)
-    dated = line.rlike(DATE)
-    text = F.when(~whole & F.coalesce(continues, F.lit(False)), joined).otherwise(line)
-    return linked.where(dated).select(
+    continued = ~F.col("whole") & F.coalesce(continues, F.lit(False))
+    return linked.withColumn("continued", continued).select(
         "file",
         F.struct("block", "seq").alias("pos"),
-        text.alias("line"),
-        is_transaction_line(text, v).alias("matched"),
+        F.when(F.col("continued"), joined).otherwise(line).alias("line"),
+        # Where lines were joined, the joined one is a transaction line.
+        (F.col("whole") | F.col("continued")).alias("matched"),
     )
 
 

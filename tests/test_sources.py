@@ -168,6 +168,28 @@ def short_spans(monkeypatch):
     monkeypatch.setattr("grootboek.sources.spans.SPAN_BITS", 1)
 
 
+def test_card_lines_meet_across_spans(spark, short_spans):
+    rows = []
+    for file in "fg":
+        for i in range(40):
+            at, block = 6 * i, 900 * (i // 20)
+            rows.append((file, block, at, f"20-10-2023 {file}{i}"))
+            rows += [(file, block, at + k, " ") for k in range(1, 1 + i % 5)]
+            # Every third line is not continued; at the end of the first block, the next line is in the second one.
+            if i % 3:
+                rows.append((file, 900 if i == 19 else block, at + 5, f"Credit + {i},10"))
+    lines = spark.createDataFrame(rows, "file string, block bigint, seq bigint, line string").repartition(3)
+    order = sorted(((f, b, n, line) for f, b, n, line in rows if line.strip()))
+    want = []
+    for (f, *_, line), after in zip(order, [*order[1:], (None,) * 4]):
+        if line[:2] == "20":
+            meets = after[0] == f and after[3].startswith("Credit")
+            want.append(f"{line} {after[3]}" if meets else line)
+    got = card_text.stitch_lines(lines).collect()
+    assert sorted(r.line for r in got) == sorted(want) and all(r.matched == ("Credit" in r.line) for r in got)
+    assert "span" in str(card_text.stitch_lines(lines)._jdf.queryExecution().optimizedPlan())
+
+
 @pytest.mark.parametrize("seed, sep", [(4, ";"), (5, ",")])
 def test_records_over_lines_blocks_and_spans(spark, tmp_path, small_blocks, short_spans, seed, sep):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
