@@ -107,3 +107,15 @@ def test_a_language_with_few_trusted_documents_has_a_limit_of_its_own(spark):
     assert got[0].limit < got[200].limit and got[0].limit < got[400].limit
     assert not any(got[i].kept for i in range(300, 310))
     assert all(got[i].kept for i in range(200, 235)) and got[400].kept
+
+
+def test_a_table_takes_little_memory_and_finds_every_key():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(1, 1 << 63, 1 << 17, dtype=np.uint64))
+    values = rng.integers(-745_000_000, 0, len(keys))
+    table = kn._Table(keys, values)
+    assert table.keys.nbytes + table.values.nbytes <= 48 * len(keys) + 48
+    asked = np.concatenate([keys, keys + np.uint64(1 << 63)])
+    found, missing = table.find(asked)
+    assert found[: len(keys)].tolist() == values.tolist()
+    assert not missing[: len(keys)].any() and missing[len(keys) :].all()
